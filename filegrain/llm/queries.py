@@ -7,6 +7,8 @@ from importlib import import_module
 #: Module and query name of each operator.
 OPERATORS = {
     "op1_substring_dedup": "op1_substring_dedup",
+    "op2_exact_dedup": "op2_exact_dedup",
+    "op10_simhash": "op10_simhash",
 }
 
 
