@@ -8,6 +8,8 @@ from importlib import import_module
 OPERATORS = {
     "op1_substring_dedup": "op1_substring_dedup",
     "op2_exact_dedup": "op2_exact_dedup",
+    "op4_line_dedup": "op4_line_dedup",
+    "op7_quality": "op7_quality",
     "op10_simhash": "op10_simhash",
 }
 
