@@ -128,3 +128,14 @@ def pieces(columns: dict, text: str = "text", most: int = 4 << 20):
             a, total = b + 1, 0
     if a < len(sizes):
         yield a, len(sizes)
+
+
+def without(df: DataFrame, ids: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 500_000) -> DataFrame:
+    """Rows of df whose id isn't among ids (one column, checkpointed). Rows without an id stay.
+
+    A list of at most broadcast_rows ids (8 bytes each) goes to every task; a longer one is joined by a shuffle.
+    """
+    gone = ids.toDF("fg_gone").where("fg_gone IS NOT NULL").distinct()
+    if ids.count() <= broadcast_rows:
+        gone = F.broadcast(gone)
+    return df.join(gone, F.col(f"`{id_col}`") == F.col("fg_gone"), "left_anti")

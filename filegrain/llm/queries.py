@@ -9,7 +9,9 @@ OPERATORS = {
     "op1_substring_dedup": "op1_substring_dedup",
     "op2_exact_dedup": "op2_exact_dedup",
     "op4_line_dedup": "op4_line_dedup",
+    "op5_byte_bpe": "op5_byte_bpe",
     "op7_quality": "op7_quality",
+    "op9_mixing": "op9_mixing",
     "op10_simhash": "op10_simhash",
 }
 
