@@ -8,9 +8,12 @@ from importlib import import_module
 OPERATORS = {
     "op1_substring_dedup": "op1_substring_dedup",
     "op2_exact_dedup": "op2_exact_dedup",
+    "op3_secrets": "op3_secrets",
     "op4_line_dedup": "op4_line_dedup",
     "op5_byte_bpe": "op5_byte_bpe",
+    "op6_chat": "op6_chat",
     "op7_quality": "op7_quality",
+    "op8_token_files": "op8_token_files",
     "op9_mixing": "op9_mixing",
     "op10_simhash": "op10_simhash",
 }
