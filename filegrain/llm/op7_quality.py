@@ -100,37 +100,27 @@ def base_failed():
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def _shares(lang: str) -> tuple:
-    """Arrays of a document's shares: character classes; common words of the language and the rest."""
-    letters = F.greatest(F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
-    words_ = F.greatest(F.col("n_words"), F.lit(1))
-    own = [F.col("common")[VOCABULARY.index(w)] / words_ for w in COMMON[lang]]
-    rest = F.lit(1.0)
-    for x in own:
-        rest = rest - x
-    return [F.col("chars")[i] / letters for i in range(len(CLASSES))], [*own, F.greatest(rest, F.lit(0.0))]
-
-
 def references(measured: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """By language: mean shares of classes and of common words, from all documents that pass the base rules. A bounded result."""
+    words_ = F.greatest(F.col("n_words"), F.lit(1))
+    letters = F.greatest(F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
+    fit = measured.where(F.col("lang").isin(LANGS) & ~base_failed() & (F.col("n_words") >= MIN_WORDS))
+    shares = fit.select("lang", F.posexplode(F.concat(F.transform("chars", lambda x: x / letters), F.transform("common", lambda x: x / words_))).alias("i", "share"))
+    means: dict[str, dict[int, float]] = {}
+    for lang, i, mean in shares.groupBy("lang", "i").agg(F.avg("share")).collect():
+        means.setdefault(lang, {})[i] = float(mean)
     out = {}
-    for lang in LANGS:
-        chars, common = _shares(lang)
-        means = [F.avg(x).alias(f"m{i}") for i, x in enumerate([*chars, *common])]
-        row = measured.where((F.col("lang") == lang) & ~base_failed() & (F.col("n_words") >= MIN_WORDS)).agg(*means).first()
-        if row[0] is not None:
-            out[lang] = list(row[: len(chars)]), list(row[len(chars) :])
+    for lang, by_place in means.items():
+        own = [by_place[len(CLASSES) + VOCABULARY.index(w)] for w in COMMON[lang]]
+        out[lang] = [by_place[i] for i in range(len(CLASSES))], [*own, max(0.0, 1 - sum(own))]
     return out
 
 
-def _distance(shares: list, reference: list[float]):
-    """Jensen-Shannon distance (base 2, 0 to 1) of an array of columns from fixed shares."""
-    parts = F.lit(0.0)
-    for p, q in zip(shares, reference, strict=True):
-        q = F.lit(float(q))
-        m = (p + q) / 2
-        parts = parts + F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
-    return F.sqrt(F.greatest(parts / 2, F.lit(0.0)))
+def _distance(shares, reference):
+    """Jensen-Shannon distance (base 2, 0 to 1) of two array columns of shares."""
+    term = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
+    parts = F.zip_with(shares, reference, lambda p, q: term(p, (p + q) / 2) + term(q, (p + q) / 2))
+    return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
 def _wordless(reference: list[float]) -> float:
@@ -146,13 +136,21 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """doc_id, the base counts, base_failed, js_chars, js_words (as a share of a wordless text's; null without a reference), kept. A row for each row."""
     measured = checkpointed(stats(docs, id_col, text_col, lang_col))
     by = references(measured)
-    chars = words_ = None
+    chars = words_ = F.lit(None).cast("double")
     if by:
-        each = {lang: (_distance(_shares(lang)[0], a), _distance(_shares(lang)[1], b) / max(_wordless(b), 1e-9)) for lang, (a, b) in by.items()}
-        nearest = [F.least(*(d[i] for d in each.values())) if len(each) > 1 else next(iter(each.values()))[i] for i in (0, 1)]
-        chars, words_ = (F.coalesce(*(F.when(F.col("lang") == lang, d[i]) for lang, d in each.items()), nearest[i]) for i in (0, 1))
-    none = F.lit(None).cast("double")
-    out = measured.withColumn("base_failed", base_failed()).withColumn("js_chars", none if chars is None else chars).withColumn("js_words", none if words_ is None else words_)
+        # One bounded constant for each language; arrays keep the compiled code small.
+        known = F.array(*(F.struct(F.lit(lang).alias("lang"), F.lit([VOCABULARY.index(w) for w in COMMON[lang]]).alias("at"), F.lit(a).alias("chars"), F.lit(b).alias("words"), F.lit(max(_wordless(b), 1e-9)).alias("wordless")) for lang, (a, b) in by.items()))
+        letters = F.greatest(F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
+        measured = measured.withColumn("fg_known", F.when(F.col("lang").isin(list(by)), F.filter(known, lambda r: r["lang"] == F.col("lang"))).otherwise(known))
+        measured = measured.withColumn("fg_chars", F.transform("chars", lambda x: x / letters))
+
+        def own(r):
+            shares = F.transform(r["at"], lambda i: F.get("common", i) / F.greatest("n_words", F.lit(1)))
+            return F.concat(shares, F.array(F.greatest(1 - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))))
+
+        chars = F.array_min(F.transform("fg_known", lambda r: _distance(F.col("fg_chars"), r["chars"])))
+        words_ = F.array_min(F.transform("fg_known", lambda r: _distance(own(r), r["words"]) / r["wordless"]))
+    out = measured.withColumn("base_failed", base_failed()).withColumn("js_chars", chars).withColumn("js_words", words_)
     far = (F.col("n_words") >= MIN_WORDS) & (F.coalesce(F.col("js_chars") > MOST_CHARS, F.lit(False)) | F.coalesce(F.col("js_words") > MOST_WORDS, F.lit(False)))
     return out.withColumn("kept", ~F.col("base_failed") & ~far).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_chars", "js_words", "kept")
 
