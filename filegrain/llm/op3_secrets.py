@@ -17,6 +17,7 @@ Defined results: null text is empty. Rows that repeat an id are rows each.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ KINDS = ("assign", "access", "hex", "markov")
 LEAST = 0.6
 RANDOM_SAMPLES = 400
 SMOOTH = 0.5
+BACK_OFF = 3
 ALPHABET = 65
 BLOCK = 256
 
@@ -83,10 +85,14 @@ def train(samples: DataFrame) -> list[float]:
     pairs = samples.select("secret", codes.alias("c")).where("size(c) > 1").select("secret", F.explode(F.arrays_zip(F.expr("slice(c, 1, size(c) - 1)").alias("a"), F.expr("slice(c, 2, size(c) - 1)").alias("b"))).alias("p"))
     counts = pairs.select("secret", F.col("p")["a"].alias("a"), F.col("p")["b"].alias("b")).where("a < 128 AND b < 128").groupBy("secret", "a", "b").count()
     n: dict = {(bool(s), a, b): k for s, a, b, k in counts.collect()}  # at most 2 * 128 * 128 rows
-    from_a: dict = {}
-    for (s, a, _), k in n.items():
-        from_a[s, a] = from_a.get((s, a), 0) + k
-    log = lambda s, a, b: math.log((n.get((s, a, b), 0) + SMOOTH) / (from_a.get((s, a), 0) + SMOOTH * ALPHABET))
+    from_a, to_b, total = Counter(), Counter(), Counter()
+    for (s, a, b), k in n.items():
+        from_a[s, a] += k
+        to_b[s, b] += k
+        total[s] += k
+    # A pair not seen falls back on how common its second character is.
+    alone = lambda s, b: (to_b[s, b] + SMOOTH) / (total[s] + SMOOTH * ALPHABET)
+    log = lambda s, a, b: math.log((n.get((s, a, b), 0) + BACK_OFF * alone(s, b)) / (from_a[s, a] + BACK_OFF))
     return [log(True, a, b) - log(False, a, b) for a in range(128) for b in range(128)]
 
 
