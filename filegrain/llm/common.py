@@ -23,6 +23,11 @@ def pick(df: DataFrame, **columns: tuple[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(own) for own, (name, kind) in columns.items()])
 
 
+def reserved(df: DataFrame) -> DataFrame:
+    """df without columns named fg_...: operators that return df's rows whole keep that prefix for their own."""
+    return df.drop(*[c for c in df.columns if c.lower().startswith("fg_")])
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """Bytes of UTF-8 in a column; one scan of that column."""
     return int(df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0)
@@ -131,11 +136,11 @@ def pieces(columns: dict, text: str = "text", most: int = 4 << 20):
 
 
 def without(df: DataFrame, ids: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 500_000) -> DataFrame:
-    """Rows of df whose id isn't among ids (one column, checkpointed). Rows without an id stay.
+    """Rows of df whose id isn't among ids (one column, checkpointed). Rows without an id stay; columns fg_... go.
 
     A list of at most broadcast_rows ids (8 bytes each) goes to every task; a longer one is joined by a shuffle.
     """
     gone = ids.toDF("fg_gone").where("fg_gone IS NOT NULL").distinct()
     if ids.count() <= broadcast_rows:
         gone = F.broadcast(gone)
-    return df.join(gone, F.col(f"`{id_col}`") == F.col("fg_gone"), "left_anti")
+    return reserved(df).join(gone, F.col(f"`{id_col}`") == F.col("fg_gone"), "left_anti")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, pick, table
+from .common import checkpointed, pick, reserved, table
 
 RATIO = 0.1
 #: A line on fewer pages than this is never boilerplate: on small sites a ratio says nothing.
@@ -50,7 +50,8 @@ def boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text
 
 
 def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """docs with text_col cleaned, and fg_lines, fg_dropped (numbers of lines before, and dropped). A row for each row."""
+    """docs with text_col cleaned, and fg_lines, fg_dropped (numbers of lines before, and dropped). A row for each row; columns fg_... of docs go."""
+    docs = reserved(docs)
     rules = checkpointed(boilerplate(docs, site_col, text_col, ratio, min_pages)).select(F.col("site").alias("fg_site"), F.col("hashes").alias("fg_hashes"))
     size = rules.agg(F.sum(F.size("fg_hashes"))).first()[0] or 0
     rules = F.broadcast(rules) if size <= BROADCAST_HASHES else rules

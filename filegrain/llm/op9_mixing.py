@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import pick, reserved, table
 
 BLOCK_CHARS = 1 << 16
 MOST_SLOTS = 10_000
@@ -47,7 +47,8 @@ def schedule(shares: dict[str, int]) -> list[tuple[str, int, int]]:
 
 
 def mixed(docs: DataFrame, shares: dict[str, int], id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", rest: int = 1, block_chars: int = BLOCK_CHARS, seed: str = SEED) -> DataFrame:
-    """docs with fg_stream, fg_begin (characters before it in its source), fg_block, fg_slot, fg_key (order within a slot). A row for each row."""
+    """docs with fg_stream, fg_begin (characters before it in its source), fg_block, fg_slot, fg_key (order within a slot). A row for each row; columns fg_... of docs go."""
+    docs = reserved(docs)
     shares = {str(k): int(v) for k, v in shares.items()}
     other = "(rest)"
     while other in shares:
