@@ -8,31 +8,51 @@ are judged as one document by the near-duplicate stage, and each by the others.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filegrain.llm import op4_line_dedup, op5_byte_bpe, op7_quality, op9_mixing, op10_simhash
 from filegrain.llm.common import checkpointed, parts_for, shared_dir, without
 
+CORE = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def hidden(stage):
+    """The stage over documents whose further columns, whatever their names, wait under names of their own."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c in CORE else f"further{k}" for k, c in enumerate(docs.columns)}
+        out = stage(spark, docs.select(*[F.col(f"`{c}`").alias(own) for c, own in names.items()]), sf_dir)
+        return out.select(*[F.col(own).alias(c) for c, own in names.items()])
+
+    return run_stage
+
 
+@hidden
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     verdicts = op7_quality.judged(docs)
     return without(docs, checkpointed(verdicts.where(~F.col("kept")).select("doc_id")))
 
 
+@hidden
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their site's boilerplate lines; n_chars follows the text."""
     out = op4_line_dedup.drop_boilerplate(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@hidden
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near duplicates."""
     groups = op10_simhash.simhash_components(docs)
     return without(docs, checkpointed(groups.where("doc_id <> component_id").select("doc_id")))
 
 
+@hidden
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of their slots: read in order, the files hold the sources at their target weights."""
     mix = op9_mixing.mixed(docs, op9_mixing.SHARES)
@@ -41,7 +61,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, decoded_sha256 (of the bytes that the ids decode to)."""
-    out = op5_byte_bpe.decode(op5_byte_bpe.encode(docs))
+    out = op5_byte_bpe.encode(docs, decoded=True)
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -144,3 +144,23 @@ def without(df: DataFrame, ids: DataFrame, id_col: str = "doc_id", broadcast_row
     if ids.count() <= broadcast_rows:
         gone = F.broadcast(gone)
     return reserved(df).join(gone, F.col(f"`{id_col}`") == F.col("fg_gone"), "left_anti")
+
+
+class Generations(dict):
+    """A bounded cache: of what it held when it was last full, it keeps what has been asked for since."""
+
+    def __init__(self, most: int, make=None):
+        super().__init__()
+        self.most, self.make, self.old = most, make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()

@@ -15,18 +15,19 @@ be valid UTF-8 before they are joined. Rows that repeat an id are rows each.
 from __future__ import annotations
 
 import base64
+import struct
 import unicodedata
+from array import array
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, pieces, table
+from .common import Generations, pick, pieces, table
 
-#: Distinct slices kept in a worker's cache before it starts anew.
+#: Distinct slices in each of the two generations of a worker's cache.
 CACHED = 150_000
 #: Unicode's White_Space. Fixed values.
 WHITE_SPACE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -166,33 +167,22 @@ class Codec:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.merge = tiktoken.Encoding("ranks", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        merge = tiktoken.Encoding("ranks", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        self.ranks, self.cached = ranks, {}
-
-    def merged(self, found: list[bytes]):
-        get, known = self.cached.get, self.cached
-        if len(known) > CACHED:
-            known.clear()
-        out = []
-        for piece in found:
-            ids = get(piece)
-            if ids is None:
-                rank = self.ranks.get(piece)
-                ids = known[piece] = [rank] if rank is not None else self.merge(piece)
-            out.append(ids)
-        return out
+        alone = {token: struct.pack("<i", rank) for token, rank in ranks.items()}
+        self.merged = Generations(CACHED, lambda piece: alone.get(piece) or array("i", merge(piece)).tobytes())
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin among them (one more: the end)."""
         data, starts, bounds = slices(texts)
         at = starts.tolist()
-        merged = self.merged([data[a:b] for a, b in zip(at, at[1:])])  # noqa: B905
-        counts = np.fromiter(map(len, merged), np.int64, len(merged))
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        return np.fromiter(chain.from_iterable(merged), np.int32, int(ends[-1])), ends[bounds]
+        self.merged.trim()
+        get, bounds = self.merged.__getitem__, bounds.tolist()
+        found = [data[a:b] for a, b in zip(at, at[1:])]  # noqa: B905
+        out = [b"".join(map(get, found[a:b])) for a, b in zip(bounds, bounds[1:])]  # noqa: B905
+        return np.frombuffer(b"".join(out), "<i4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in out], dtype=np.int64)])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -211,8 +201,8 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, offsets: bool = False) -> DataFrame:
-    """doc_id, ids; with offsets=True also offsets: the byte at which each token starts in the text's UTF-8."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """doc_id, ids; with offsets=True also offsets: the byte at which each token starts in the text's UTF-8; with decoded=True also the bytes that the ids decode to."""
     path = ranks or default_ranks()
 
     def run(batches):
@@ -228,10 +218,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
                     size = np.diff(bounds)
                     base = np.concatenate([[0], ends])[bounds[:-1]]
                     out["offsets"] = _lists((begins - np.repeat(base, size)).astype(np.int32), bounds)
+                if decoded:
+                    out["decoded"] = _decoded(own, ids, bounds)
                 yield pa.record_batch(out)
 
     rows = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>" + ", offsets array<int>" * offsets)
+    return rows.mapInArrow(run, "doc_id long, ids array<int>" + ", offsets array<int>" * offsets + ", decoded binary" * decoded)
+
+
+def _decoded(own: Codec, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.array([own.decode(ids[a:b].tolist()) for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)], pa.binary())
 
 
 def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
@@ -242,13 +238,11 @@ def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
         own = codec(path)
         for batch in batches:
             column = batch.column("ids")
-            ids, at = column.values.to_pylist(), column.offsets.to_pylist()
-            decoded = pa.array([own.decode(ids[a:b]) for a, b in zip(at, at[1:])], pa.binary())  # noqa: B905
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "ids": column, "decoded": decoded})
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "ids": column, "decoded": _decoded(own, column.values.to_numpy(), column.offsets.to_numpy())})
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decode(encode(table(spark, sf_dir, "documents")))
+    out = encode(table(spark, sf_dir, "documents"), decoded=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
