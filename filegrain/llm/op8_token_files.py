@@ -21,21 +21,22 @@ import struct
 import uuid
 import zlib
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, pack, parts_for, pick, pieces, shared_dir, table, unpack
+from .common import NULL_ID, Generations, pack, parts_for, pick, shared_dir, table, unpack
 
 MAGIC = b"FGTB"
 HEAD = struct.Struct("<4sBBxxIQ")
 BLOCK_IDS = 1 << 20
 END_ID = 2
-CACHED = 200_000
+CACHED = 300_000
+MARKS = (b",", b".", b";", b":", b"!", b"?")
 BLOCKS = "shard long, block long, before long, n_docs long, n_ids long, data binary"
 
 
@@ -78,29 +79,59 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), Generations(CACHED)
         self.width = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
 
     def _learn(self, new: list[bytes]) -> None:
-        """Ids of words not known yet, all in one call."""
+        """Ids (32 bits each) of words not known yet, all in one call."""
         found = self.tokenizer.encode([w.decode() for w in new], is_pretokenized=True, add_special_tokens=False)
-        ids = found.ids
-        at = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(new) + 1)).tolist()
-        self.known.update(zip(new, (ids[a:b] for a, b in zip(at, at[1:])), strict=True))  # noqa: B905
+        ids = np.array(found.ids, "<u4").tobytes()
+        at = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(new) + 1))).tolist()
+        self.known.update(zip(new, [ids[a:b] for a, b in zip(at, at[1:])], strict=True))  # noqa: B905
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, the end id after each, and where each text's ids end."""
-        if len(self.known) > CACHED:
-            self.known.clear()
-        split = [(t or "").encode().split() for t in texts]
+    def _values(self, vocabulary: list[bytes]) -> list[bytes]:
+        """Ids (32 bits each) of distinct words."""
         known = self.known
-        if new := list({w for ws in split for w in ws if w not in known}):
-            self._learn(new)
-        out = [list(chain.from_iterable(map(known.__getitem__, ws))) for ws in split]
-        for ids in out:
-            ids.append(END_ID)
-        ends = np.cumsum([len(x) for x in out])
-        return np.fromiter(chain.from_iterable(out), np.uint32, int(ends[-1]) if len(ends) else 0), ends
+        known.trim()
+        new = set(vocabulary).difference(known, known.old)
+        # A mark after an ASCII letter or digit is a piece of its own, so words with and without it share their ids.
+        marked = [w for w in new if w[-1:] in MARKS and w[-2:-1].isalnum()]
+        new.difference_update(marked)
+        new.update({w[:-1] for w in marked}.difference(known, known.old), MARKS)
+        self._learn(list(new))
+        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in marked)
+        return list(map(known.__getitem__, vocabulary))
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, the end id after each, and where each text's ids end."""
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        # The vocabulary is in lower case; only the strings of special tokens are looked for before that.
+        column = pc.if_else(pc.match_substring(column, "<|"), column, pc.ascii_lower(column))
+        split = pc.ascii_split_whitespace(column)
+        words = split.flatten().dictionary_encode()
+        values = self._values(words.dictionary.cast(pa.binary()).to_pylist())
+        index, bounds = words.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        ids, starts = np.frombuffer(b"".join(values), "<u4"), np.cumsum(sizes) - sizes
+        size = sizes[index]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        found = ids[np.repeat(starts[index] - upto[:-1], size) + np.arange(upto[-1])]
+        ends, n = upto[bounds[1:] - bounds[0]], len(bounds) - 1
+        out = np.empty(len(found) + n, np.uint32)
+        last = np.zeros(len(out), bool)
+        last[ends + np.arange(n)] = True
+        out[last], out[~last] = END_ID, found
+        return out, ends + np.arange(1, n + 1)
+
+
+def pieces(texts: pa.Array, most: int = 4 << 20):
+    """Ranges of rows with about so many bytes of text each."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
 
 
 @cache
@@ -127,9 +158,9 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             return row
 
         for batch in batches:
-            texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for a, b in pieces({"text": texts}):
-                ids, ends = own.encode(texts[a:b])
+            texts, keys = batch.column("text"), batch.column("doc_id").to_pylist()
+            for a, b in pieces(texts):
+                ids, ends = own.encode(texts.slice(a, b - a))
                 for k, one in enumerate(np.split(ids, ends[:-1])):
                     if doc_ids and held + len(one) > block_ids:
                         yield flush()
