@@ -107,7 +107,7 @@ def size_text(n: int | float | None) -> str:
     for unit in ("KB", "MB", "GB", "TB"):
         n /= 1024
         if n < 1024 or unit == "TB":
-            return f"{n:.1f} {unit}"
+            return f"{int(n * 10 + 0.5) / 10:.1f} {unit}"
     return ""
 
 
