@@ -70,7 +70,7 @@ def sniff(content) -> Column:
     seven = lambda i: F.conv(F.hex(at(i, 1)), 16, 10).cast("int").bitwiseAND(F.lit(127))
     after_id3 = F.shiftleft(seven(6), 21) + F.shiftleft(seven(7), 14) + F.shiftleft(seven(8), 7) + seven(9) + 10
     riff = starts(b"RIFF")
-    little = F.conv(F.hex(F.reverse(latin(2, 4)).cast("binary")), 16, 10).cast("long")
+    little = F.conv(F.hex(F.encode(F.reverse(latin(2, 4)), "ISO-8859-1")), 16, 10).cast("long")
     return (
         F.when(F.length(b) < 4, None)
         .when(starts(b"\xff\xd8\xff"), "jpeg")
