@@ -72,8 +72,8 @@ def mixed(docs: DataFrame, shares: dict[str, int], id_col: str = "doc_id", sourc
 
     inside = Window.partitionBy("fg_stream", "fg_range").orderBy("fg_key", F.col(f"`{id_col}`"), "fg_size").rowsBetween(Window.unboundedPreceding, -1)
     rows = keyed(docs).withColumn("fg_inside", F.coalesce(F.sum("fg_size").over(inside), F.lit(0)))
-    # 4096 ranges of each share's source: at most 4096 * MOST_SLOTS short rows, and as many slots as MOST_SLOTS.
-    rows = rows.join(F.broadcast(bases) if total * 4096 <= 1_000_000 else bases, (F.col("fg_stream") == F.col("fg_s")) & (F.col("fg_range") == F.col("fg_r")))
+    # 4096 ranges of each source are some 100 bytes each, whatever the input's size; the schedule has MOST_SLOTS rows at most.
+    rows = rows.join(F.broadcast(bases) if len(shares) * 4096 <= 250_000 else bases, (F.col("fg_stream") == F.col("fg_s")) & (F.col("fg_range") == F.col("fg_r")))
     rows = rows.withColumn("fg_begin", F.col("fg_base") + F.col("fg_inside")).withColumn("fg_block", F.floor(F.col("fg_begin") / F.lit(block_chars)).cast("long"))
     share = F.broadcast(plan.select("fg_p", "fg_share").distinct())
     rows = rows.join(share, F.col("fg_stream") == F.col("fg_p")).drop("fg_p")
