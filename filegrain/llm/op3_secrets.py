@@ -125,7 +125,7 @@ def _found(df: DataFrame, pattern: str, kind: str, keep) -> DataFrame:
 def log_ratio(token: Column, model: list[float]) -> Column:
     """Mean log-likelihood ratio of a token's character pairs; null below two characters."""
     codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.least(F.ascii(c), F.lit(127)))
-    ratios = F.lit(model)
+    ratios = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")  # one constant, folded once
     pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.get(ratios, a * 128 + b))
     return F.when(F.length(token) > 1, F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / (F.length(token) - 1))
 
