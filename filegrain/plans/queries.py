@@ -45,7 +45,7 @@ def T(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Flags of a document by patterns in its text: code, level, text, pattern (read alike by Java and DuckDB).
 RULES = (
     ("secret", "danger", "Contains a secret", "(password|secret|token) *[:=]"),
-    ("email", "warn", "Contains author contact", "[a-z0-9.]+@[a-z0-9]+[.][a-z]+"),
+    ("email", "warn", "Contains author contact", "[a-z0-9]@[a-z0-9]+[.][a-z]"),
     ("symbols", "warn", "Contains macro-like symbols", "[#$%*]{3}"),
     ("long", "info", "Many lines", "\n.*\n.*\n.*\n.*\n.*\n.*\n.*\n"),
 )

@@ -99,3 +99,19 @@ def test_data_source(spark, base):
     assert rows["none"]["error"] and rows["big.mov"]["partial"]["total"] == len(BODIES["big.mov"]) and rows["small.jpg"]["partial"] is None
     got = {r["info"]["name"]: r["gps"] for r in extract(df.where("content IS NOT NULL").withColumnRenamed("url", "file_id").drop("name").selectExpr("*", "file_id AS url")).collect()}
     assert got["small.jpg"] and got["big.mov"]
+
+
+def test_urls_of_any_kind(spark, base, tmp_path):
+    import base64
+
+    from filegrain.sources.open import read_urls
+
+    (tmp_path / "b.png").write_bytes(FILES["b.png"])
+    data = "data:image/svg+xml;base64," + base64.b64encode(FILES["s.svg"]).decode()
+    urls = [f"{tmp_path}/b.png", f"{base}/x/small.jpg", f"{base}/x/none", data, "blob:https://h/1"]
+    df = read_urls(spark, urls)
+    rows = {r["name"] or r["url"]: r for r in df.collect()}
+    assert len(rows) == 5 and "404" in rows["none"]["error"] and "in-page" in rows["blob:https://h/1"]["error"]
+    kinds = {r["info"]["type"] for r in extract(df.where("content IS NOT NULL")).collect()}
+    assert kinds == {"png", "jpeg", "svg"}
+    assert read_urls(spark, []).count() == 0
