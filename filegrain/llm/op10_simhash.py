@@ -18,6 +18,7 @@ rows each; component_id is the smallest id in the component (null only if all id
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +34,8 @@ BITS = 64
 MOST = 3
 #: Distinct fingerprints in a bucket above which it is dealt again by a second signature.
 HOT_ROWS = 4096
+#: Fingerprints in a partition that is expanded to 64 keys each.
+KEYED_ROWS = 50_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -133,7 +136,9 @@ def _keys(nodes: DataFrame) -> DataFrame:
                 keys = np.concatenate(keys, axis=1)
                 yield pa.record_batch({"key": pa.array(keys.ravel().view(np.int64)), "fp": pa.array(np.repeat(v, keys.shape[1]).view(np.int64))})
 
-    return nodes.select("fp").mapInArrow(run, "key long, fp long")
+    # 64 rows of each: dealt out by their number, since the few bytes of fingerprints alone make few partitions.
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(nodes.count() / KEYED_ROWS))
+    return nodes.select("fp").repartition(parts, "fp").mapInArrow(run, "key long, fp long")
 
 
 def _deal_again(rows: DataFrame) -> DataFrame:
@@ -193,7 +198,7 @@ def _bucket_links(batches):
 
 def near_links(nodes: DataFrame) -> DataFrame:
     """a < b: links between distinct fingerprints (column fp) that join the same rows as all links do."""
-    keyed = _keys(nodes)
+    keyed = _keys(checkpointed(nodes))
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("key")
     hot = checkpointed(hot)
     if hot.isEmpty():
