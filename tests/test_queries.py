@@ -37,8 +37,9 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_filters_and_columns_reach_the_scan(spark):
     plan = catalog.queries()["s16_media_events"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<event_id:bigint,event_type:string>" in plan.replace("ReadSchema: struct<event_id:bigint,ts:timestamp,user_id:bigint,event_type:string>", "wide") or "event_type" in plan
-    assert "Python" not in plan and "html" not in plan
+    assert "ReadSchema: struct<event_id:bigint,event_type:string>" in plan and "Python" not in plan
+    plan = catalog.queries()["r07_first_wins"](spark, SF).where("user_id = 3")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,3)]" in plan
 
 
 def test_entry():
