@@ -10,7 +10,7 @@ import zlib
 from filegrain.operators.extract import pdfcrypt
 
 
-def tiff(order="<", make="Canon", model="EOS R5", lat=(41, 0, 29.52), lon=(28, 58, 42.24), refs=("N", "E"), orientation=6, serial="123456"):
+def tiff(order="<", make="Optika", model="Model M5", lat=(60, 23, 34.8), lon=(5, 19, 27.12), refs=("N", "E"), orientation=6, serial="987654"):
     """A TIFF block with an image, a capture and a GPS directory."""
     p = lambda f, *v: struct.pack(order + f, *v)
     data, entries = bytearray(), {"image": [], "capture": [], "gps": []}
@@ -27,7 +27,7 @@ def tiff(order="<", make="Canon", model="EOS R5", lat=(41, 0, 29.52), lon=(28, 5
     put("capture", 0x9003, 2, 20, text("2024:01:02 03:04:05"))
     put("capture", 0x829A, 5, 1, p("II", 1, 250))
     put("capture", 0xA431, 2, len(serial) + 1, text(serial))
-    put("capture", 0xA434, 2, 11, text("RF24-105mm"))
+    put("capture", 0xA434, 2, 11, text("ZM24-105mm"))
     put("gps", 1, 2, 2, text(refs[0]))
     put("gps", 2, 5, 3, ratio(lat))
     put("gps", 3, 2, 2, text(refs[1]))
@@ -53,12 +53,12 @@ def tiff(order="<", make="Canon", model="EOS R5", lat=(41, 0, 29.52), lon=(28, 5
     return bytes(out + data)
 
 
-XMP = '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:xmp="http://ns.adobe.com/xap/1.0/" xmp:CreatorTool="Painter 9"><dc:creator><rdf:Seq><rdf:li>Ali Veli</rdf:li></rdf:Seq></dc:creator><dc:title><rdf:Alt><rdf:li xml:lang="x-default">A title</rdf:li></rdf:Alt></dc:title></rdf:Description></rdf:RDF></x:xmpmeta>'
+XMP = '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:xmp="http://ns.adobe.com/xap/1.0/" xmp:CreatorTool="Painter 9"><dc:creator><rdf:Seq><rdf:li>Nils Berg</rdf:li></rdf:Seq></dc:creator><dc:title><rdf:Alt><rdf:li xml:lang="x-default">A title</rdf:li></rdf:Alt></dc:title></rdf:Description></rdf:RDF></x:xmpmeta>'
 
 
 def iptc():
     record = lambda n, v: b"\x1c\x02" + bytes([n]) + struct.pack(">H", len(v)) + v
-    body = record(90, b"Istanbul") + record(80, b"Someone")
+    body = record(90, b"Bergen") + record(80, b"Someone")
     return b"Photoshop 3.0\0" + b"8BIM\x04\x04\0\0" + struct.pack(">I", len(body)) + body
 
 
@@ -76,7 +76,7 @@ def png():
     chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
     out = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 2, 0, 0, 0))
     out += chunk(b"pHYs", struct.pack(">IIB", 2835, 2835, 1)) + chunk(b"tIME", struct.pack(">HBBBBB", 2024, 1, 2, 3, 4, 5))
-    out += chunk(b"tEXt", b"comment\0hello") + chunk(b"zTXt", b"Author\0\0" + zlib.compress(b"Ayse")) + chunk(b"iTXt", b"XML:com.adobe.xmp\0\0\0\0\0" + XMP.encode()) + chunk(b"tEXt", b"parameters\0steps 20")
+    out += chunk(b"tEXt", b"comment\0hello") + chunk(b"zTXt", b"Author\0\0" + zlib.compress(b"Lena")) + chunk(b"iTXt", b"XML:com.adobe.xmp\0\0\0\0\0" + XMP.encode()) + chunk(b"tEXt", b"parameters\0steps 20")
     out += chunk(b"eXIf", tiff(">", refs=("S", "W"), lat=(40, 0, 0), lon=(10, 0, 0)))
     return out + chunk(b"IDAT", zlib.compress(bytes(20))) + chunk(b"IEND", b"") + b"trailing data"
 
@@ -96,7 +96,7 @@ def webp():
     return riff(b"WEBP", (b"VP8X", bytes([0x0C, 0, 0, 0]) + (99).to_bytes(3, "little") + (49).to_bytes(3, "little")), (b"VP8L", b"\x2f" + bytes(8)), (b"EXIF", tiff()), (b"XMP ", XMP.encode()))
 
 
-SVG = """<?xml version="1.0"?><!-- Generator: Illustrator 27 --><svg xmlns="http://www.w3.org/2000/svg" xmlns:inkscape="http://i" width="10" height="20" sodipodi:docname="secret.svg" inkscape:export-filename="/Users/ahmet/x.png"><title>T &amp; t</title><metadata>%s</metadata><script>1</script><a onclick="x()" href="javascript:y"/></svg>""" % XMP
+SVG = """<?xml version="1.0"?><!-- Generator: Illustrator 27 --><svg xmlns="http://www.w3.org/2000/svg" xmlns:inkscape="http://i" width="10" height="20" sodipodi:docname="secret.svg" inkscape:export-filename="/Users/nils/x.png"><title>T &amp; t</title><metadata>%s</metadata><script>1</script><a onclick="x()" href="javascript:y"/></svg>""" % XMP
 
 
 def box(kind, *parts):
@@ -112,11 +112,11 @@ def mov():
     hdlr = box(b"hdlr", bytes(8), b"vide", bytes(12), b"\0")
     stsd = box(b"stsd", struct.pack(">II", 0, 1), struct.pack(">I", 86) + b"avc1" + bytes(42) + b"\x05H.264".ljust(32, b"\0") + bytes(4))
     trak = box(b"trak", tkhd, box(b"mdia", mdhd, hdlr, box(b"minf", box(b"stbl", stsd))))
-    text = b"+41.0151+028.9795+010/"
-    udta = box(b"udta", box(b"\xa9xyz", struct.pack(">HH", len(text), 0), text), box(b"\xa9swr", struct.pack(">HH", 9, 0), b"iOS 17.41"))
+    text = b"+60.3913+005.3221+010/"
+    udta = box(b"udta", box(b"\xa9xyz", struct.pack(">HH", len(text), 0), text), box(b"\xa9swr", struct.pack(">HH", 9, 0), b"Soft 1.41"))
     key = b"com.apple.quicktime.model"
     keys = box(b"keys", struct.pack(">II", 0, 1), struct.pack(">I", 8 + len(key)) + b"mdta" + key)
-    ilst = box(b"ilst", box(struct.pack(">I", 1), box(b"data", struct.pack(">II", 1, 0), b"iPhone 15 Pro")))
+    ilst = box(b"ilst", box(struct.pack(">I", 1), box(b"data", struct.pack(">II", 1, 0), b"Phone 15")))
     meta = box(b"meta", box(b"hdlr", bytes(8), b"mdta", bytes(12)), keys, ilst)
     return box(b"ftyp", b"qt  ", bytes(4), b"qt  ") + box(b"moov", mvhd, trak, udta, meta) + box(b"mdat", bytes(32))
 
@@ -144,7 +144,7 @@ def m4a():
 
 def id3():
     frame = lambda k, d: k + struct.pack(">IH", len(d), 0) + d
-    body = frame(b"TIT2", b"\1\xff\xfe" + "Şarkı".encode("utf-16-le")) + frame(b"TPE1", b"\3Artist") + frame(b"TXXX", b"\0Recorder\0Studio 5") + frame(b"COMM", b"\0engabout\0hidden remark") + frame(b"PRIV", b"www.amazon.com\0" + bytes(9)) + frame(b"APIC", b"\0image/jpeg\0\3\0" + jpeg(trailing=0)) + frame(b"GEOB", b"\0a/b\0f.exe\0d\0data")
+    body = frame(b"TIT2", b"\1\xff\xfe" + "Şarkı".encode("utf-16-le")) + frame(b"TPE1", b"\3Artist") + frame(b"TXXX", b"\0Recorder\0Room 5") + frame(b"COMM", b"\0engabout\0hidden remark") + frame(b"PRIV", b"www.shop.test\0" + bytes(9)) + frame(b"APIC", b"\0image/jpeg\0\3\0" + jpeg(trailing=0)) + frame(b"GEOB", b"\0a/b\0f.exe\0d\0data")
     n = len(body)
     return b"ID3\3\0\0" + bytes([n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127]) + body
 
@@ -179,7 +179,7 @@ def wav():
         w.setparams((2, 2, 44100, 0, "NONE", ""))
         w.writeframes(bytes(88200 * 4))
     b = out.getvalue()[12:]
-    bext = b"about".ljust(256, b"\0") + b"ZOOM H6 #7".ljust(32, b"\0") + b"ref".ljust(32, b"\0") + b"2024-01-0203:04:05" + bytes(264) + b"A=PCM"
+    bext = b"about".ljust(256, b"\0") + b"Recorder 9".ljust(32, b"\0") + b"ref".ljust(32, b"\0") + b"2024-01-0203:04:05" + bytes(264) + b"A=PCM"
     chunks = b + b"LIST" + struct.pack("<I", 4 + 8 + 10 + 8 + 8) + b"INFO" + b"INAM" + struct.pack("<I", 9) + b"A title\0\0\0" + b"ISFT" + struct.pack("<I", 8) + b"Editor1\0" + b"bext" + struct.pack("<I", len(bext)) + bext + b"\0" * (len(bext) % 2)
     return b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WAVE" + chunks
 
@@ -187,7 +187,7 @@ def wav():
 def avi():
     avih = struct.pack("<IIIIIIIIIIIIII", 40000, 0, 0, 0, 250, 0, 1, 0, 640, 480, 0, 0, 0, 0)
     lst = lambda kind, *cs: (b"LIST", kind + b"".join(k + struct.pack("<I", len(d)) + d for k, d in cs))
-    return riff(b"AVI ", lst(b"hdrl", (b"avih", avih), (b"strh", b"vidsMJPG" + bytes(48))), lst(b"INFO", (b"ISFT", b"CanonMVI06\0\0"), (b"IDIT", b"2024-01-02\0\0")), lst(b"movi", (b"00dc", bytes(16))))
+    return riff(b"AVI ", lst(b"hdrl", (b"avih", avih), (b"strh", b"vidsMJPG" + bytes(48))), lst(b"INFO", (b"ISFT", b"CamMVI_007\0\0"), (b"IDIT", b"2024-01-02\0\0")), lst(b"movi", (b"00dc", bytes(16))))
 
 
 def mkv():
@@ -196,9 +196,9 @@ def mkv():
 
     el = lambda id, d: bytes.fromhex(id) + size(len(d)) + d
     ns = (1704067200 - 978307200) * 10**9
-    info = el("2ad7b1", (1000000).to_bytes(3, "big")) + el("4489", struct.pack(">d", 93500)) + el("4461", ns.to_bytes(8, "big")) + el("5741", b"HandBrake 1.7.2") + el("7ba9", b"A film")
+    info = el("2ad7b1", (1000000).to_bytes(3, "big")) + el("4489", struct.pack(">d", 93500)) + el("4461", ns.to_bytes(8, "big")) + el("5741", b"Muxer 3.1") + el("7ba9", b"A film")
     track = el("ae", el("83", b"\1") + el("86", b"V_MPEG4/ISO/AVC") + el("e0", el("b0", b"\7\x80") + el("ba", b"\4\x38")))
-    tags = el("7373", el("67c8", el("45a3", b"ENCODER") + el("4487", b"Lavf60")))
+    tags = el("7373", el("67c8", el("45a3", b"ENCODER") + el("4487", b"Coder 60")))
     files = el("61a7", el("466e", b"font.ttf") + el("4660", b"font/ttf"))
     return el("1a45dfa3", el("4282", b"matroska")) + el("18538067", el("1549a966", info) + el("1654ae6b", track) + el("1f43b675", bytes(64)) + el("1254c367", tags) + el("1941a469", files))
 
@@ -213,7 +213,7 @@ def stream(entries, data):
     return b"<< %s /Length %d >>\nstream\n%s\nendstream" % (entries, len(data), data)
 
 
-PDF_INFO = b"<< /Title <feff%s> /Author (Can \\(test\\) \\351) /Producer (Maker) /CreationDate (D:20240102030405+03'00') /ModDate (D:20240203030405Z) >>" % "Günlük".encode("utf-16-be").hex().encode()
+PDF_INFO = b"<< /Title <feff%s> /Author (Can \\(test\\) \\351) /Producer (Maker) /CreationDate (D:20240102030405+03'00') /ModDate (D:20240203030405Z) >>" % "Übersicht".encode("utf-16-be").hex().encode()
 
 
 def pdf_plain():
@@ -237,14 +237,14 @@ def pdf_rich():
         5: stream(b"/Type /EmbeddedFile /Subtype /text#2Fplain /Params << /Size 99 /CreationDate (D:2024) >>", docx()),
         6: b"<< /Type /Filespec /F (report.docm) /UF (report.docm) /Desc (A hidden extra) /EF << /F 5 0 R >> >>",
         7: b"<< /EmbeddedFiles << /Names [(a) 6 0 R] >> >>",
-        9: stream(b"/Type /Metadata", XMP.replace("Ali Veli", "Owner of the picture").encode()),
+        9: stream(b"/Type /Metadata", XMP.replace("Nils Berg", "Owner of the picture").encode()),
     }
     return pdf(objects)
 
 
 def pdf_encrypted(kind="rc4_128", password=b""):
     """Author in a string encrypted for a user password."""
-    id0, author, P = b"\1" * 16, b"Secret Author", -44
+    id0, author, P = b"\1" * 16, b"Hidden Writer", -44
     pad = (password + pdfcrypt.PAD)[:32]
     if kind in ("aes256r5", "aes256"):
         key, salt, check = bytes(range(32)), b"saltsalt", b"chkchkch"
@@ -289,18 +289,18 @@ def archive(files, comment=b""):
     return out.getvalue()
 
 
-CORE = '<cp:coreProperties xmlns:cp="c" xmlns:dc="d"><dc:creator>Mehmet Oz</dc:creator><cp:lastModifiedBy>Ayse Demir</cp:lastModifiedBy><dc:title>Plan</dc:title></cp:coreProperties>'
+CORE = '<cp:coreProperties xmlns:cp="c" xmlns:dc="d"><dc:creator>Dora Pell</dc:creator><cp:lastModifiedBy>Lena Voss</cp:lastModifiedBy><dc:title>Plan</dc:title></cp:coreProperties>'
 
 
 def docx(macros=True):
     files = {
         "[Content_Types].xml": "<Types/>",
         "docProps/core.xml": CORE,
-        "docProps/app.xml": "<Properties><Company>Acme</Company><TotalTime>245</TotalTime><Pages>3</Pages></Properties>",
-        "docProps/custom.xml": '<Properties><property fmtid="x" pid="2" name="MSIP_Label_1234_SiteId"><vt:lpwstr>guid</vt:lpwstr></property></Properties>',
+        "docProps/app.xml": "<Properties><Company>Firm</Company><TotalTime>245</TotalTime><Pages>3</Pages></Properties>",
+        "docProps/custom.xml": '<Properties><property fmtid="x" pid="2" name="MSIP_Label_77ab_SiteId"><vt:lpwstr>guid</vt:lpwstr></property></Properties>',
         "word/document.xml": '<w:document><w:ins w:id="1" w:author="Legal" w:date="2024-01-01T00:00:00Z"/><w:vanish/></w:document>',
-        "word/comments.xml": '<w:comments><w:comment w:id="0" w:author="Mehmet Oz" w:initials="MO"/></w:comments>',
-        "word/people.xml": '<w15:people><w15:person w15:author="Mehmet Oz"><w15:presenceInfo w15:providerId="AD" w15:userId="S::mehmet@acme"/></w15:person></w15:people>',
+        "word/comments.xml": '<w:comments><w:comment w:id="0" w:author="Dora Pell" w:initials="MO"/></w:comments>',
+        "word/people.xml": '<w15:people><w15:person w15:author="Dora Pell"><w15:presenceInfo w15:providerId="AD" w15:userId="S::dora@firm"/></w15:person></w15:people>',
         "word/settings.xml": '<w:settings><w:attachedTemplate r:id="rId1"/><w:rsid w:val="00A1"/></w:settings>',
         "word/_rels/settings.xml.rels": '<Relationships><Relationship Id="rId1" Type="http://x/relationships/attachedTemplate" Target="http://evil.example/t.dotm" TargetMode="External"/></Relationships>',
         "word/_rels/document.xml.rels": '<Relationships><Relationship Id="rId2" Type="http://x/relationships/image" Target="\\\\srv\\share\\a.png" TargetMode="External"/></Relationships>',
@@ -316,9 +316,9 @@ def xlsx():
         {
             "[Content_Types].xml": "<Types/>",
             "docProps/core.xml": CORE,
-            "xl/workbook.xml": '<workbook><x15ac:absPath url="C:\\Users\\mehmet\\" xmlns:x15ac="x"/><sheets><sheet name="Open" sheetId="1"/><sheet name="Salaries" sheetId="2" state="hidden"/></sheets></workbook>',
-            "xl/connections.xml": '<connections><connection id="1" name="c"><dbPr connection="Server=db01.acme.local"/></connection></connections>',
-            "xl/comments1.xml": "<comments><authors><author>Ali of accounts</author></authors></comments>",
+            "xl/workbook.xml": '<workbook><x15ac:absPath url="C:\\Users\\dora\\" xmlns:x15ac="x"/><sheets><sheet name="Open" sheetId="1"/><sheet name="Salaries" sheetId="2" state="hidden"/></sheets></workbook>',
+            "xl/connections.xml": '<connections><connection id="1" name="c"><dbPr connection="Server=db77.firm.local"/></connection></connections>',
+            "xl/comments1.xml": "<comments><authors><author>Pia of accounts</author></authors></comments>",
         }
     )
 
@@ -328,16 +328,16 @@ def pptx():
 
 
 def odt():
-    meta = '<office:document-meta><office:meta><meta:generator>LO 7</meta:generator><meta:initial-creator>Kemal Y</meta:initial-creator><meta:editing-duration>PT2H30M5S</meta:editing-duration><meta:template xlink:href="/home/kemal/t.ott" xlink:title="t"/><meta:user-defined meta:name="Client">Beta Ltd</meta:user-defined></office:meta></office:document-meta>'
+    meta = '<office:document-meta><office:meta><meta:generator>LO 7</meta:generator><meta:initial-creator>Otto K</meta:initial-creator><meta:editing-duration>PT2H30M5S</meta:editing-duration><meta:template xlink:href="/home/otto/t.ott" xlink:title="t"/><meta:user-defined meta:name="Client">Gamma Ltd</meta:user-defined></office:meta></office:document-meta>'
     return archive({"mimetype": "application/vnd.oasis.opendocument.text", "meta.xml": meta, "Basic/Standard/Module1.xml": "<x/>", "Pictures/1.jpg": jpeg()})
 
 
 def epub():
-    return archive({"mimetype": "application/epub+zip", "OEBPS/content.opf": '<package><metadata><dc:creator>A Writer</dc:creator><dc:title>Book</dc:title><meta name="generator" content="Calibre 7"/></metadata></package>'})
+    return archive({"mimetype": "application/epub+zip", "OEBPS/content.opf": '<package><metadata><dc:creator>A Writer</dc:creator><dc:title>Book</dc:title><meta name="generator" content="Maker 7"/></metadata></package>'})
 
 
 def jar():
-    return archive({"META-INF/MANIFEST.MF": "Manifest-Version: 1.0\r\nBuilt-By: jenkins-ahmet\r\n", "a.class": b"x"})
+    return archive({"META-INF/MANIFEST.MF": "Manifest-Version: 1.0\r\nBuilt-By: builder-7\r\n", "a.class": b"x"})
 
 
 def plain_zip():

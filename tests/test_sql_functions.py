@@ -12,4 +12,4 @@ def test_sql_functions(spark):
     assert tuple(r.first()) == ("jpeg", True, "2024-01-02 03:04:05 UTC", -28.25, "PDF", "1.5 KB", "1:33.50")
     assert "Python" not in r._jdf.queryExecution().executedPlan().toString()
     rows = spark.sql("SELECT x.k, x.v FROM sql_files, LATERAL extract_metadata(content) x WHERE x.k = 'Make'").collect()
-    assert [tuple(x) for x in rows] == [("Make", "Canon")]
+    assert [tuple(x) for x in rows] == [("Make", "Optika")]
