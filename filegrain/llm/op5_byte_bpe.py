@@ -209,7 +209,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
         own = codec(path)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in pieces({"text": texts}, most=2 << 20):
+            for a, b in pieces({"text": texts}, most=1 << 20):
                 ids, bounds = own.encode(texts[a:b])
                 out = {"doc_id": batch.column("doc_id").slice(a, b - a), "ids": _lists(ids, bounds)}
                 if offsets:

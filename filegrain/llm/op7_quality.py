@@ -87,7 +87,7 @@ def stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in pieces({"text": texts}):
+            for a, b in pieces({"text": texts}, most=1 << 20):
                 m = measure(texts[a:b])
                 ids, langs = batch.column("doc_id").slice(a, b - a), batch.column("lang").slice(a, b - a)
                 longs = pa.list_(pa.int64())
