@@ -5,7 +5,7 @@ both lie, modulo 7, in the difference cover {0, 1, 3}. So it is enough to hash t
 places (3 of 7 places): any match of 13 words holds one such anchor at the same offset on either side.
 Only windows around an anchor that another document has as well are hashed whole and compared.
 
-Work goes by parts (documents by a hash of their id, sized to part_bytes). A part sends its sorted distinct
+Work goes by parts (documents by a hash of their id, sized to part_bytes or, without it, by the corpus). A part sends its sorted distinct
 hashes, Golomb coded, to the hashes' owners, and gets a bit for each back. A hash comes from a part once at
 most, however often the part's texts hold it, so a passage in a third of all documents costs its owner a row
 for each part and no more. No pairs are made.
@@ -24,9 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, bucket_cuts, golomb, parts_for, pick, table, ungolomb, words
+from .common import NULL_ID, bucket_cuts, golomb, pick, table, text_bytes, ungolomb, words
 
 ANCHOR_BITS = 48
+#: Bytes of text in a part: at least these, and so many that what a part sends to one owner is worth a row. With as many
+#: owners as parts that is some 70 hashes if a part has the root of 1024 times the corpus: 10 MiB up to 100 GB, and
+#: 400 MB (some 3 GB of memory) at 100 TB.
+LEAST_PART, PAIRED = 10 << 20, 1024
 #: The period of the cover and the places in it; every difference modulo the period occurs among the places.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 MULTIPLIERS = np.random.default_rng(13).integers(0, 2**63, (2, 4096), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,9 +72,9 @@ class _Part:
         self.n_words = np.array([len(x) for x in each], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.n_words)])
         self.hashed = np.concatenate([*each, np.zeros(0, np.uint64)])
-        self.doc = np.repeat(np.arange(len(each)), self.n_words)
-        self.place = np.arange(len(self.hashed)) - self.starts[self.doc]
-        self.left = self.n_words[self.doc] - self.place
+        self.doc = np.repeat(np.arange(len(each), dtype=np.int32), self.n_words)
+        self.place = (np.arange(len(self.hashed)) - self.starts[self.doc]).astype(np.int32)
+        self.left = self.n_words.astype(np.int32)[self.doc] - self.place
 
     def anchors(self) -> None:
         """at: where anchors start; unique: their sorted distinct hashes; index: of each anchor, in unique; own: is it in two documents of this part."""
@@ -134,13 +138,15 @@ def _replies(rows: list[dict], kind: int, flags: np.ndarray) -> pa.Table:
     return pa.table({"part": pa.array([r["part"] for r in rows], pa.int64()), "kind": pa.array([kind] * len(rows), pa.int32()), "bucket": pa.array([r["bucket"] for r in rows], pa.int64()), "n": pa.array([r["n"] for r in rows], pa.int64()), "bits": pa.array(bits, pa.binary())})
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, part_bytes: int = 10 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, part_bytes: int | None = None) -> DataFrame:
     """doc_id, n_words, removed (array of word ranges start, end), kept_text (kept words joined by one space).
 
     A word goes if a window of so many words covers it whose words also start in a document with a smaller id.
     """
     rows = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
-    parts = parts_for(rows, "text", part_bytes)
+    total = text_bytes(rows)
+    size = part_bytes or max(LEAST_PART, math.isqrt(total * PAIRED))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / size))
     keyed = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"), "doc_id", "text")
     by_part = keyed.groupBy("part")
 

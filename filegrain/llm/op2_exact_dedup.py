@@ -24,6 +24,7 @@ from .common import NULL_ID, SPACE, bucket_cuts, checkpointed, golomb, pick, tab
 
 #: Suspect ids (16 bytes each) up to this number go to every task; more of them are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+LEAST_ROWS = 250_000
 BLOB = "part long, bucket long, n long, blob binary"
 REPLY = "part long, bucket long, n long, bits binary"
 PRINT = "doc_id long, fp long, sha binary, copies long"
@@ -37,10 +38,13 @@ def _own_bits(fps: pa.ChunkedArray) -> np.ndarray:
     return fps.to_numpy().astype(np.int64).view(np.uint64)
 
 
-def suspects(prints: DataFrame, part_rows: int = 250_000) -> DataFrame:
-    """prints (PRINT) with suspect: does another row or part hold the same fingerprint?"""
-    spark = prints.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(prints.count() / part_rows))
+def suspects(prints: DataFrame, part_rows: int | None = None) -> DataFrame:
+    """prints (PRINT) with suspect: does another row or part hold the same fingerprint?
+
+    A part has LEAST_ROWS rows at least, and the root of 64 times all: then it sends 64 fingerprints to each owner.
+    """
+    spark, n = prints.sparkSession, prints.count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / (part_rows or max(LEAST_ROWS, math.isqrt(64 * n)))))
     by_part = prints.select(F.pmod(F.xxhash64("doc_id", "fp"), F.lit(parts)).alias("part"), *prints.columns).groupBy("part")
 
     def send(key: tuple, t: pa.Table) -> pa.Table:
