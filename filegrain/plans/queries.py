@@ -20,7 +20,7 @@ from ..operators.extraction import extract, metadata_rows
 from ..sources import pages as P
 from ..sources.plan import planned
 from ..sources.store import unexpired
-from ..streaming.tabs import is_media, tab_state
+from ..streaming.tabs import is_media, run_to_table, tab_state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -557,8 +557,8 @@ def bits(spark, sf_dir):
 EVENT_SQL = "SELECT event_id, user_id AS tab_id, ts, 'https://x.example/' || (event_id % 3) AS url, CASE event_type WHEN 'click' THEN 'image/png' WHEN 'view' THEN 'text/html' ELSE 'video/mp4' END AS mime, event_id % 10 = 0 AS closed FROM events"
 
 
-def _tab_events(spark, sf_dir):
-    e = T(spark, sf_dir, "events")
+def _tab_events(spark, sf_dir, events=None):
+    e = T(spark, sf_dir, "events") if events is None else events
     mime = F.when(F.col("event_type") == "click", "image/png").when(F.col("event_type") == "view", "text/html").otherwise("video/mp4")
     return e.select("event_id", F.col("user_id").alias("tab_id"), "ts", F.concat(F.lit("https://x.example/"), (F.col("event_id") % 3).cast("string")).alias("url"), mime.alias("mime"), (F.col("event_id") % 10 == 0).alias("closed"))
 
@@ -572,6 +572,13 @@ def tabs(spark, sf_dir):
     return tab_state(e, "at")
 
 
+@query("w01_tab_state_stream", SQL["w01_tab_state"])
+def tabs_stream(spark, sf_dir):
+    path = f"{sf_dir.rstrip('/')}/events.parque[t]"  # a pattern: a stream's path may not be a single file
+    events = spark.readStream.schema(T(spark, sf_dir, "events").schema).parquet(path)
+    return run_to_table(tab_state(_tab_events(spark, sf_dir, events).withColumn("at", F.struct("ts", "event_id")), "at"))
+
+
 @query("s16_media_events", f"SELECT event_id, mime FROM ({EVENT_SQL}) WHERE mime <> 'text/html'")
 def media_events(spark, sf_dir):
     return _tab_events(spark, sf_dir).where(is_media("mime")).select("event_id", "mime")
