@@ -62,8 +62,11 @@ def test_quality(stages):
     for i, (n, failed, chars, words, lang) in shapes.items():
         none = np.zeros(len(words))
         none[-1] = 1
-        far = distance(chars, reference[lang][0]) > op7_quality.MOST_CHARS or distance(words, reference[lang][1]) > op7_quality.MOST_WORDS * distance(none, reference[lang][1])
-        if not failed and not (n >= op7_quality.MIN_WORDS and far):
+        d_chars = distance(chars, reference[lang][0])
+        d_words = distance(words, reference[lang][1]) / distance(none, reference[lang][1])
+        strange = n >= op7_quality.MIN_WORDS and d_chars > op7_quality.MOST_CHARS
+        both = n >= op7_quality.LONG_WORDS and d_chars > op7_quality.BOTH_CHARS and d_words > op7_quality.BOTH_WORDS
+        if not failed and not strange and not both:
             kept.add(i)
     assert set(after) == kept and 0 < len(kept) < len(before)
     assert all(after[i] == before[i] for i in kept)
