@@ -143,7 +143,7 @@ def _parts(spark, sf_dir):
 
 @query(
     "r12_merge_parts",
-    f"""WITH p AS ({PARTS_SQL}), c AS (SELECT file, greatest(s, 0) AS s, least(e, size) AS e FROM p), k AS (SELECT * FROM c WHERE e > s),
+    f"""WITH p AS ({PARTS_SQL}), c AS (SELECT file, greatest(s, 0) AS s, least(e, size) AS e FROM p), k AS (SELECT DISTINCT * FROM c WHERE e > s),
     w AS (SELECT *, max(e) OVER (PARTITION BY file ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM k),
     i AS (SELECT *, sum(CASE WHEN s <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM w)
     SELECT file, min(s) AS s, max(e) AS e FROM i GROUP BY file, island""",
