@@ -240,6 +240,12 @@ def test_op6_expands_each_reply(spark):
     assert got[1]["turns_sha256"] == sha("".join(f"{r}\n{t or ''}\n" for _, _, r, t, _ in rows[:6])) and got[1]["loss_sha256"] == sha("A<|xB")
     assert got[2]["loss_chars"] == 0 and got[2]["n_turns"] == 1 and got[None]["turns_sha256"] == sha("\n\n") and got[3]["n_turns"] == 2
     assert op6_chat.digests(op6_chat.examples(df.limit(0))).count() == 0
+    parts = op6_chat.examples(df, shared=True)
+    again = {r["conv_id"]: r for r in op6_chat.digests(parts).collect()}
+    for k, r in got.items():
+        assert [r[c] for c in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256")] == [again[k][c] for c in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256")]
+    added = sorted((r for r in parts.collect() if r["conv_id"] == 1), key=lambda r: r["example"])
+    assert "".join(r["formatted"] for r in added) == one[-1]["formatted"] and [r["context_chars"] for r in added] == [0, len(one[0]["formatted"]), len(one[1]["formatted"])]
 
 
 # --- 7
