@@ -33,10 +33,14 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0)
 
 
+#: Partitions that a table is dealt into at most, unless the session asks for more: what is kept of each stays small.
+MOST_PARTS = 100_000
+
+
 def parts_for(df: DataFrame, text: str, part_bytes: int) -> int:
-    """How many parts of about part_bytes hold the column's text, never fewer than the shuffle partitions."""
+    """How many parts of about part_bytes (more, beyond MOST_PARTS) hold the column's text, never fewer than the shuffle partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, math.ceil(text_bytes(df, text) / part_bytes))
+    return max(least, min(MOST_PARTS, math.ceil(text_bytes(df, text) / part_bytes)))
 
 
 def words(text: str | None) -> list[bytes]:

@@ -5,7 +5,7 @@ both lie, modulo 7, in the difference cover {0, 1, 3}. So it is enough to hash t
 places (3 of 7 places): any match of 13 words holds one such anchor at the same offset on either side.
 Only windows around an anchor that another document has as well are hashed whole and compared.
 
-Work goes by parts (documents by a hash of their id, sized to part_bytes or, without it, by the corpus). A part sends its sorted distinct
+Work goes by parts (documents by a hash of id and text, so that no id gathers in one, sized to part_bytes or, without it, by the corpus). A part sends its sorted distinct
 hashes, Golomb coded, to the hashes' owners, and gets a bit for each back. A hash comes from a part once at
 most, however often the part's texts hold it, so a passage in a third of all documents costs its owner a row
 for each part and no more. No pairs are made.
@@ -147,7 +147,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = text_bytes(rows)
     size = part_bytes or max(LEAST_PART, math.isqrt(total * PAIRED))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / size))
-    keyed = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"), "doc_id", "text")
+    keyed = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("part"), "doc_id", "text")
     by_part = keyed.groupBy("part")
 
     def send_anchors(key: tuple, t: pa.Table) -> pa.Table:

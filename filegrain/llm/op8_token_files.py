@@ -12,7 +12,7 @@ again and any store works; shards hold ascending document ids, and `before` coun
 
 Distinct words are encoded once and kept in a bounded cache: no token of this vocabulary spans ASCII white space.
 Defined results: null text is empty (its document has the end id alone). Null document ids come last. Rows that
-repeat an id are documents each, in the order of their texts.
+repeat an id are documents each, in the order of a hash of their texts, by which a frequent or null id is dealt out too.
 """
 
 from __future__ import annotations
@@ -172,12 +172,12 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     rows = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
     n = parts_for(rows, "text", part_bytes)
-    order = F.col("doc_id").asc_nulls_last()
-    rows.repartitionByRange(n, order).sortWithinPartitions(order, "text").mapInArrow(run, BLOCKS).write.parquet(path)
+    order = F.col("doc_id").asc_nulls_last(), F.col("tie")
+    rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("doc_id", "text").mapInArrow(run, BLOCKS).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """BLOCKS with base: the ids of all shards before the block's. Shards are as few as partitions."""
+    """BLOCKS with base: the ids of all shards before the block's. Shards are as few as partitions: MOST_PARTS, or the session's own number."""
     blocks = spark.read.schema(BLOCKS).parquet(path)
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
