@@ -158,26 +158,26 @@ def has(code: str) -> Column:
 W = "CAST(p_partkey % 1000 + 1 AS DOUBLE)"
 #: Query, file, columns of the report, and what SQL says they are.
 REPORTS = (
-    ("e01_jpeg", jpeg, {"label": F.col("info.type_label"), "comment": value("Comment (COM)"), "w": F.col("info.width"), "h": F.col("info.height"), "sampling": value("Chroma subsampling"), "trailing": has("trailing")}, f"'JPEG' AS label, p_name AS comment, {W} AS w, CAST(p_size AS DOUBLE) AS h, '4:4:4' AS sampling, p_partkey % 5 = 0 AS trailing"),
-    ("e02_png", png, {"label": F.col("info.type_label"), "author": value("Author"), "w": F.col("info.width"), "h": F.col("info.height"), "chunks": value("Chunks")}, f"'PNG' AS label, p_name AS author, {W} AS w, CAST(p_size AS DOUBLE) AS h, 'IHDR, tEXt, IEND' AS chunks"),
-    ("e03_gif", gif, {"label": F.col("info.type_label"), "comment": value("Comment"), "w": F.col("info.width"), "frames": value("Frame count")}, f"'GIF' AS label, p_name AS comment, {W} AS w, '1' AS frames"),
-    ("e06_bmp", bmp, {"label": F.col("info.type_label"), "w": F.col("info.width"), "h": F.col("info.height"), "bits": value("Bits/pixel")}, f"'BMP' AS label, {W} AS w, CAST(p_size AS DOUBLE) AS h, '24' AS bits"),
-    ("e07_ico", ico, {"label": F.col("info.type_label"), "sizes": value("Sizes")}, "'ICO' AS label, p_size || '×256' AS sizes"),
-    ("e09_pdf", pdf, {"label": F.col("info.type_label"), "title": F.col("info.title"), "author": value("Author"), "pages": F.col("info.pages"), "js": has("pdf-js"), "version": value("PDF version")}, "'PDF' AS label, p_name AS title, p_brand AS author, CAST(p_size AS BIGINT) AS pages, p_partkey % 4 = 0 AS js, '1.4' AS version"),
-    ("e10_mov", mov, {"label": F.col("info.type_label"), "title": value("Title (©nam)"), "lat": F.col("gps.lat"), "lon": F.col("gps.lon"), "danger": has("gps")}, "'MOV (QuickTime)' AS label, p_name AS title, 10.5::DOUBLE AS lat, 20.25::DOUBLE AS lon, true AS danger"),
-    ("e12_mp3", mp3, {"label": F.col("info.type_label"), "title": value("Title (TIT2)"), "version": value("ID3 version")}, "'MP3' AS label, p_name AS title, '2.3.0' AS version"),
-    ("e15_flac", flac, {"label": F.col("info.type_label"), "title": value("TITLE"), "format": value("Format"), "seconds": F.col("info.duration")}, "'FLAC' AS label, p_name AS title, 'FLAC · 44100 Hz · 2 channels · 16 bit' AS format, CAST(p_size AS DOUBLE) AS seconds"),
-    ("e18_ogg", ogg, {"label": F.col("info.type_label"), "title": value("TITLE"), "seconds": F.col("info.duration")}, "'OGG Opus' AS label, p_name AS title, CAST(p_size AS DOUBLE) AS seconds"),
-    ("e19_wav", wav, {"label": F.col("info.type_label"), "title": value("Title (INAM)"), "format": value("Format"), "seconds": F.col("info.duration")}, "'WAV' AS label, p_name AS title, 'PCM · 2 channels · 44100 Hz · 16 bit' AS format, CAST(p_size AS DOUBLE) AS seconds"),
-    ("e20_mkv", mkv, {"label": F.col("info.type_label"), "title": F.col("info.title"), "app": value("WritingApp")}, "'WebM' AS label, p_name AS title, 'Muxer' AS app"),
-    ("e23_zip", archive, {"label": F.col("info.type_label"), "comment": value("Archive comment"), "entries": value("Entries"), "executable": has("zip-executable")}, "'ZIP' AS label, p_brand AS comment, '1' AS entries, p_partkey % 3 = 0 AS executable"),
-    ("e24_docx", docx, {"label": F.col("info.type_label"), "author": value("Author (creator)"), "flagged": has("author")}, "'DOCX' AS label, p_name AS author, true AS flagged"),
+    ("e01_jpeg", jpeg, lambda: {"label": F.col("info.type_label"), "comment": value("Comment (COM)"), "w": F.col("info.width"), "h": F.col("info.height"), "sampling": value("Chroma subsampling"), "trailing": has("trailing")}, f"'JPEG' AS label, p_name AS comment, {W} AS w, CAST(p_size AS DOUBLE) AS h, '4:4:4' AS sampling, p_partkey % 5 = 0 AS trailing"),
+    ("e02_png", png, lambda: {"label": F.col("info.type_label"), "author": value("Author"), "w": F.col("info.width"), "h": F.col("info.height"), "chunks": value("Chunks")}, f"'PNG' AS label, p_name AS author, {W} AS w, CAST(p_size AS DOUBLE) AS h, 'IHDR, tEXt, IEND' AS chunks"),
+    ("e03_gif", gif, lambda: {"label": F.col("info.type_label"), "comment": value("Comment"), "w": F.col("info.width"), "frames": value("Frame count")}, f"'GIF' AS label, p_name AS comment, {W} AS w, '1' AS frames"),
+    ("e06_bmp", bmp, lambda: {"label": F.col("info.type_label"), "w": F.col("info.width"), "h": F.col("info.height"), "bits": value("Bits/pixel")}, f"'BMP' AS label, {W} AS w, CAST(p_size AS DOUBLE) AS h, '24' AS bits"),
+    ("e07_ico", ico, lambda: {"label": F.col("info.type_label"), "sizes": value("Sizes")}, "'ICO' AS label, p_size || '×256' AS sizes"),
+    ("e09_pdf", pdf, lambda: {"label": F.col("info.type_label"), "title": F.col("info.title"), "author": value("Author"), "pages": F.col("info.pages"), "js": has("pdf-js"), "version": value("PDF version")}, "'PDF' AS label, p_name AS title, p_brand AS author, CAST(p_size AS BIGINT) AS pages, p_partkey % 4 = 0 AS js, '1.4' AS version"),
+    ("e10_mov", mov, lambda: {"label": F.col("info.type_label"), "title": value("Title (©nam)"), "lat": F.col("gps.lat"), "lon": F.col("gps.lon"), "danger": has("gps")}, "'MOV (QuickTime)' AS label, p_name AS title, 10.5::DOUBLE AS lat, 20.25::DOUBLE AS lon, true AS danger"),
+    ("e12_mp3", mp3, lambda: {"label": F.col("info.type_label"), "title": value("Title (TIT2)"), "version": value("ID3 version")}, "'MP3' AS label, p_name AS title, '2.3.0' AS version"),
+    ("e15_flac", flac, lambda: {"label": F.col("info.type_label"), "title": value("TITLE"), "format": value("Format"), "seconds": F.col("info.duration")}, "'FLAC' AS label, p_name AS title, 'FLAC · 44100 Hz · 2 channels · 16 bit' AS format, CAST(p_size AS DOUBLE) AS seconds"),
+    ("e18_ogg", ogg, lambda: {"label": F.col("info.type_label"), "title": value("TITLE"), "seconds": F.col("info.duration")}, "'OGG Opus' AS label, p_name AS title, CAST(p_size AS DOUBLE) AS seconds"),
+    ("e19_wav", wav, lambda: {"label": F.col("info.type_label"), "title": value("Title (INAM)"), "format": value("Format"), "seconds": F.col("info.duration")}, "'WAV' AS label, p_name AS title, 'PCM · 2 channels · 44100 Hz · 16 bit' AS format, CAST(p_size AS DOUBLE) AS seconds"),
+    ("e20_mkv", mkv, lambda: {"label": F.col("info.type_label"), "title": F.col("info.title"), "app": value("WritingApp")}, "'WebM' AS label, p_name AS title, 'Muxer' AS app"),
+    ("e23_zip", archive, lambda: {"label": F.col("info.type_label"), "comment": value("Archive comment"), "entries": value("Entries"), "executable": has("zip-executable")}, "'ZIP' AS label, p_brand AS comment, '1' AS entries, p_partkey % 3 = 0 AS executable"),
+    ("e24_docx", docx, lambda: {"label": F.col("info.type_label"), "author": value("Author (creator)"), "flagged": has("author")}, "'DOCX' AS label, p_name AS author, true AS flagged"),
 )
 
 
-def _report(make: Callable[[], Column], columns: dict[str, Column]):
+def _report(make: Callable[[], Column], columns: Callable[[], dict[str, Column]]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return extract(files(spark, sf_dir, make())).select("file_id", *[c.alias(n) for n, c in columns.items()])
+        return extract(files(spark, sf_dir, make())).select("file_id", *[c.alias(n) for n, c in columns().items()])
 
     return run
 
