@@ -124,7 +124,7 @@ class Encoder:
         return out, ends + np.arange(1, n + 1)
 
 
-def pieces(texts: pa.Array, most: int = 4 << 20):
+def pieces(texts: pa.Array, most: int = 8 << 20):
     """Ranges of rows with about so many bytes of text each."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     a = 0
