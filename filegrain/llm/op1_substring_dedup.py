@@ -82,11 +82,10 @@ class _Part:
         long = (self.left >= length) & (self.n_words[self.doc] >= self.window)
         self.at = np.flatnonzero(long & np.isin(self.place % period, cover))
         values = _hashes(self.at, self.hashed, length, 0) >> np.uint64(64 - ANCHOR_BITS)
-        self.unique, self.index = np.unique(values, return_inverse=True)
-        low, high = np.full(len(self.unique), NULL_ID), np.full(len(self.unique), -1)
-        np.minimum.at(low, self.index, self.doc[self.at])
-        np.maximum.at(high, self.index, self.doc[self.at])
-        self.own = low != high
+        self.unique, first, self.index = np.unique(values, return_index=True, return_inverse=True)
+        doc = self.doc[self.at]
+        self.own = np.zeros(len(self.unique), bool)
+        self.own[self.index[doc != doc[first][self.index]]] = True
 
     def candidates(self, shared: np.ndarray) -> None:
         """where: starts of windows that hold an anchor which another document has; first, second: their hashes; those distinct, with the smallest id here."""
@@ -111,8 +110,8 @@ class _Part:
         """Which words are covered by a window that a smaller id has too."""
         gone = smaller[self.group] | (self.keys[self.doc[self.where]] > self.least[self.group])
         edges = np.zeros(len(self.hashed) + 1, np.int64)
-        np.add.at(edges, self.where[gone], 1)
-        np.add.at(edges, self.where[gone] + self.window, -1)
+        edges[self.where[gone]] += 1  # no window starts twice
+        edges[self.where[gone] + self.window] -= 1
         return np.cumsum(edges[:-1]) > 0
 
 
