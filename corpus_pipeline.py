@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents; other columns of docs stay as they are.
-Defined results: rows without a doc_id can't be named as rejected or as a copy, and stay. Rows that repeat an id
-are judged as one document by the near-duplicate stage, and each by the others.
+Defined results: rows without a doc_id can't be named as rejected by the quality stage, and stay there. Rows that
+repeat an id are judged each by the others.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filegrain.llm import op4_line_dedup, op5_byte_bpe, op7_quality, op9_mixing, op10_simhash
+from filegrain.llm import near, op4_line_dedup, op5_byte_bpe, op7_quality, op9_mixing
 from filegrain.llm.common import checkpointed, parts_for, shared_dir, without
 
 CORE = ("doc_id", "text", "lang", "source", "n_chars")
@@ -47,9 +47,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @hidden
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates."""
-    groups = op10_simhash.simhash_components(docs)
-    return without(docs, checkpointed(groups.where("doc_id <> component_id").select("doc_id")))
+    """One document, that with the smallest id, of each group of near duplicates: 0.8 or more of their five-word shingles in common."""
+    return near.one_of_each(docs, words=5, least=0.8)
 
 
 @hidden
@@ -67,7 +66,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixing", mixing), ("tokens", tokens)]
 
-#: Neither the divergence, the fingerprints' components nor the tokens can be said in SQL; tests compare with brute force.
+#: Neither the divergence, the near duplicates' components nor the tokens can be said in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

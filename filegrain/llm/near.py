@@ -1,0 +1,224 @@
+"""Near duplicates by the Jaccard similarity of texts' sets of word shingles, checked exactly.
+
+Distinct texts are nodes. Candidates are nodes that share one of BANDS keys, each made of ROWS minima of the set under
+random orders: a pair at similarity s shares none with a chance of (1 - s^ROWS)^BANDS, 5 in a million at 0.8. Each
+candidate is then decided on the sets themselves.
+
+No bucket emits its pairs. First each of its nodes is compared with its least one, the pivot, which joins a tight
+group at once. Buckets that hold more than one group after that are sent with their sets, a set once for each such
+bucket, and emit a forest of their links; a task holds one of them at a time, in memory that follows its size.
+
+Defined results: null text is empty; texts of at most so many words as a shingle has are one shingle, empty ones are
+alike. Of a group the row with the smallest id stays (null ids last, then by a hash of the text); of rows that repeat
+both id and text one stays.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpointed, pick, reserved
+from .op10_simhash import KEYED_ROWS, components
+from .op8_token_files import pieces
+
+WORDS = 5
+LEAST = 0.8
+BANDS, ROWS = 40, 6
+SEED = 42
+BROADCAST_ROWS = 500_000
+_RANDOM = np.random.default_rng(SEED)
+FACTORS = _RANDOM.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+OFFSETS = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles, one at least."""
+    split = text.encode().lower().split() if text else []
+    norm = b" ".join(split)
+    if len(split) <= words:
+        return np.array([xxhash.xxh64_intdigest(norm, SEED)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in split])
+    starts = np.concatenate([[0], ends])[: len(split) - words + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(norm[s:e], SEED) for s, e in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """[sets, BANDS]: the keys of sets of hashes."""
+    joined = np.concatenate(sets)
+    low = (joined ^ (joined >> np.uint64(32))).astype(np.uint32)
+    starts = np.cumsum([0, *map(len, sets)])[:-1]
+    out = np.empty((len(sets), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(sets), band + 1, np.uint64) * MIX
+        for j in range(band * ROWS, (band + 1) * ROWS):
+            key = (key ^ np.minimum.reduceat(low * FACTORS[j] + OFFSETS[j], starts)) * MIX
+            key ^= key >> np.uint64(29)
+        out[:, band] = key
+    return out
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")).withColumn("node", _node("text"))
+
+
+def _node(text: str):
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def _sketches(rows: DataFrame, words: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for a, b in pieces(batch.column("text"), 1 << 20):
+                sets = [shingles(t, words) for t in batch.column("text").slice(a, b - a).to_pylist()]
+                keys = band_keys(sets).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(a, b - a), "node": batch.column("node").slice(a, b - a), "size": pa.array([len(s) for s in sets], pa.int64()), "keys": lists})
+
+    return rows.mapInArrow(run, "doc_id long, node long, size long, keys array<long>")
+
+
+def _sets(rows: DataFrame, words: int) -> DataFrame:
+    """node, hashes of each distinct text."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b in pieces(batch.column("text"), 1 << 20):
+                sets = [shingles(t, words) for t in batch.column("text").slice(a, b - a).to_pylist()]
+                bounds = np.cumsum([0, *map(len, sets)])
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.record_batch({"node": batch.column("node").slice(a, b - a), "hashes": lists})
+
+    return rows.select("node", "text").mapInArrow(run, "node long, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes"))
+
+
+def _buckets(batches):
+    """The rows of batches sorted by key, a bucket at a time: its columns as arrays, without key."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column("key").to_numpy()
+        cuts = (np.flatnonzero(np.diff(keys)) + 1).tolist()
+        if kept and kept[-1].column("key")[-1].as_py() != keys[0]:
+            yield pa.Table.from_batches(kept), [0]
+            kept = []
+        if not cuts:
+            kept.append(batch)
+            continue
+        whole = pa.Table.from_batches([*kept, batch.slice(0, cuts[-1])])
+        held = sum(b.num_rows for b in kept)
+        yield whole, [0, *[c + held for c in cuts[:-1]]]
+        kept = [batch.slice(cuts[-1])]
+    if kept:
+        yield pa.Table.from_batches(kept), [0]
+
+
+def _pivots(batches):
+    """Rows (sorted by key, then node) of buckets of two and more nodes, with the bucket's least node."""
+    for rows, starts in _buckets(batches):
+        starts = np.array(starts)
+        size = np.diff(np.append(starts, rows.num_rows))
+        many = np.repeat(size > 1, size)
+        pivot, pivot_size = (np.repeat(rows.column(c).to_numpy()[starts], size)[many] for c in ("node", "size"))
+        yield pa.RecordBatch.from_arrays([*[pa.array(rows.column(c).to_numpy()[many]) for c in ("key", "node", "size")], pa.array(pivot), pa.array(pivot_size)], ["key", "node", "size", "pivot", "pivot_size"])
+
+
+def _links(least: float):
+    def run(batches):
+        """Rows (sorted by key): links that join what is similar in a bucket and not of one group yet."""
+        for rows, starts in _buckets(batches):
+            node, label = rows.column("node").to_numpy(), rows.column("label").to_numpy()
+            a, b = [], []
+            for s, e in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+                for i, j in similar_pairs(rows.column("hashes").slice(s, e - s).combine_chunks(), label[s:e], least):
+                    a.append(min(node[s + i], node[s + j]))
+                    b.append(max(node[s + i], node[s + j]))
+            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def similar_pairs(lists: pa.ListArray, label: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of the sets at the similarity that join the same rows as all of them and equal labels do."""
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    bounds = bounds - bounds[0]
+    size, n = np.diff(bounds), len(bounds) - 1
+    hashes = lists.flatten().to_numpy()
+    number = np.unique(hashes, return_inverse=True)[1]
+    owner = np.repeat(np.arange(n), size)
+    by_hash = owner[np.argsort(number, kind="stable")]
+    ends = np.cumsum(np.bincount(number))
+    group, out = np.unique(label, return_inverse=True)[1], []
+    for i in range(n - 1):
+        if (group[i + 1 :] == group[i]).all():
+            continue
+        own = number[bounds[i] : bounds[i + 1]]
+        stop = ends[own]
+        length = stop - np.where(own > 0, ends[own - 1], 0)
+        first = np.cumsum(length) - length
+        common = np.bincount(by_hash[np.repeat(stop - length - first, length) + np.arange(length.sum())], minlength=n)
+        for j in (np.flatnonzero(common[i + 1 :] >= least * (size[i] + size[i + 1 :] - common[i + 1 :]) - 1e-9) + i + 1).tolist():
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                out.append((i, j))
+    return out
+
+
+def _among(df: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of df whose node is among asked (checkpointed)."""
+    return df.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, "node", "left_semi")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, n: the distinct rows of docs and how often each occurs), (node, root: nodes that have a near copy)."""
+    rows = _rows(docs, id_col, text_col)
+    sketches = checkpointed(_sketches(rows, words))
+    distinct = checkpointed(sketches.groupBy("doc_id", "node").agg(F.count("*").alias("n")))
+    nodes = sketches.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(distinct.count() / KEYED_ROWS))
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", "size").repartition(parts, "key").sortWithinPartitions("key", "node")
+    buckets = checkpointed(keyed.mapInArrow(_pivots, "key long, node long, size long, pivot long, pivot_size long"))
+    sets = checkpointed(_sets(_among(rows, checkpointed(buckets.select("node").distinct())), words))
+    pairs = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).where(F.least("size", "pivot_size") >= least * F.greatest("size", "pivot_size") - 1e-9).distinct()
+    both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
+    star = checkpointed(both.where(F.col("common") >= least * (F.size("of_a") + F.size("of_b") - F.col("common")) - 1e-9).select("a", "b"))
+    # What is not joined by one pivot: buckets of more than one label, without their pivots, which are compared already.
+    labels = star.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
+    placed = buckets.join(labels, "node", "left").select("key", "node", "pivot", F.least("node", "label").alias("label"))
+    rest = placed.where("node <> pivot").join(several(placed.where("node <> pivot")), "key", "left_semi")
+    rest = checkpointed(rest.select("key", "node", "label")).join(sets, "node").repartition(parts, "key").sortWithinPartitions("key", "node")
+    links = star.unionByName(rest.mapInArrow(_links(least), "a long, b long")).distinct()
+    return distinct, components(links)
+
+
+def several(placed: DataFrame) -> DataFrame:
+    """Keys of buckets with more than one label."""
+    return placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """The rows of docs without near copies: of each group, the row with the smallest id. Columns fg_... go."""
+    docs = reserved(docs)
+    distinct, root = groups(docs, id_col, text_col, words, least)
+    placed = distinct.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("node"))
+    first = placed.groupBy("root").agg(F.min(order).alias("first"))
+    judged = placed.join(first, "root").select(F.col("doc_id").alias("fg_id"), F.col("node").alias("fg_own"), "n", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))).alias("stays"))
+    judged = checkpointed(judged.where("NOT stays OR n > 1"))
+    gone, repeated = judged.where("NOT stays").select("fg_id", "fg_own"), judged.where("stays").select("fg_id", "fg_own")
+    size = {r["stays"]: r["k"] for r in judged.groupBy("stays").agg(F.count("*").alias("k")).collect()}
+    named = docs.withColumn("fg_node", _node(f"`{text_col}`"))
+    same = (F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("fg_id"))) & (F.col("fg_node") == F.col("fg_own"))
+    out = named.join(F.broadcast(gone) if size.get(False, 0) <= BROADCAST_ROWS else gone, same, "left_anti")
+    if size.get(True):
+        repeated = F.broadcast(repeated) if size[True] <= BROADCAST_ROWS else repeated
+        out = out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates([id_col, "fg_node"]))
+    return out.drop("fg_node")

@@ -1,0 +1,58 @@
+"""The near-duplicate stage against brute force over all pairs."""
+
+import numpy as np
+import pyarrow as pa
+
+import corpus_pipeline
+from filegrain.llm import near
+
+
+def brute_shingles(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def brute_kept(rows):
+    """Places of rows (id, text) that stay."""
+    sets = [brute_shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if root[i] != root[j] and 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
+                root = [root[j] if r == root[i] else r for r in root]
+    best = {}
+    for i, r in enumerate(root):
+        best[r] = min(best.get(r, i), i, key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    return sorted(best.values())
+
+
+def test_stage_finds_all_near_copies(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()]
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, None).select("doc_id").collect()}
+    assert got == {rows[k][0] for k in brute_kept(rows)}
+
+
+def test_null_and_repeated_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    text, close, other = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(reversed(words))
+    docs = spark.createDataFrame([(1, text), (2, close), (2, other), (None, close), (None, "alone"), (3, "alone"), (4, "twice"), (4, "twice")], "doc_id long, text string")
+    assert sorted(map(tuple, near.one_of_each(docs).collect())) == [(1, text), (2, other), (3, "alone"), (4, "twice")]
+
+
+def test_groups_in_one_bucket():
+    r = np.random.default_rng(3)
+    base = [set(r.integers(0, 10**9, 100).tolist()) for _ in range(3)]
+    sets = [sorted(set(r.choice(sorted(base[k % 3]), 92, replace=False).tolist()) | set(r.integers(0, 10**9, 4).tolist())) for k in range(40)]
+    links = near.similar_pairs(pa.array(sets, pa.list_(pa.int64())), np.arange(40), 0.8)
+    root = list(range(40))
+    for a, b in links:
+        assert 5 * len(set(sets[a]) & set(sets[b])) >= 4 * len(set(sets[a]) | set(sets[b]))
+        root = [root[a] if x == root[b] else x for x in root]
+    want = list(range(40))
+    for i in range(40):
+        for j in range(i):
+            if 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j])):
+                want = [want[j] if x == want[i] else x for x in want]
+    assert len(set(root)) == len(set(want)) and len(set(zip(root, want, strict=True))) == len(set(want))
