@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filegrain.llm import near, op4_line_dedup, op5_byte_bpe, op7_quality, op9_mixing
-from filegrain.llm.common import checkpointed, parts_for, shared_dir, without
+from filegrain.llm.common import checkpointed, parts_for, pick, shared_dir, without
 
 CORE = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -59,8 +59,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens, decoded_sha256 (of the bytes that the ids decode to)."""
-    out = op5_byte_bpe.encode(docs, decoded=True)
+    """doc_id, ids, n_tokens, decoded_sha256 (of the bytes that the ids decode to), in the order of the mix.
+
+    Files read again come in any order, so the slots, which follow from the documents alone, are computed again.
+    """
+    mix = op9_mixing.mixed(pick(docs, doc_id=("doc_id", "long"), source=("source", "string"), text=("text", "string")), op9_mixing.SHARES)
+    out = op5_byte_bpe.encode(op9_mixing.in_order(mix, parts_for(docs, "text", 32 << 20)), decoded=True)
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
