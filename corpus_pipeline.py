@@ -41,7 +41,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @hidden
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their site's boilerplate lines; n_chars follows the text."""
-    out = op4_line_dedup.drop_boilerplate(docs)
+    out = op4_line_dedup.drop_boilerplate(docs, ratio=op4_line_dedup.SOURCE_RATIO)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -25,6 +25,11 @@ RATIO = 0.1
 #: A line on fewer pages than this is never boilerplate: on small sites a ratio says nothing.
 MIN_PAGES = 5
 BROADCAST_HASHES = 500_000
+#: The ratio for sources of documents as sites. On sf0.1 documents past the quality stage one line has 8.8 to 14.1 % of each
+#: source's pages and any other at most 5.3 % of one's, so no line is dropped in some sources and kept in others.
+SOURCE_RATIO = 0.065
+#: Tags that end a line of a page.
+BLOCK_TAGS = "address article aside blockquote body br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split()
 
 
 def _lines(text: str):
@@ -63,6 +68,15 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", site_col: str = "s
     return joined.select(*[f"`{c}`" for c in docs.columns], "fg_lines", "fg_dropped")
 
 
+def page_lines(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """pages with site (the host, null without one) and text: what is outside tags, scripts, styles and comments, cut into lines at block tags."""
+    host = F.regexp_extract(F.lower(F.col(f"`{url_col}`")), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    text = F.regexp_replace(F.col(f"`{html_col}`"), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
+    text = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})\b[^>]*>", "\n")
+    text = F.regexp_replace(F.regexp_replace(text, "<[^>]*>", ""), r" *\n[ \n]*", "\n")
+    return pages.withColumn("site", F.when(host != "", host)).withColumn("text", F.trim(text, F.lit(" \n")))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), doc_id=("doc_id", "long"), source=("source", "string"), text=("text", "string"))
     out = drop_boilerplate(docs)

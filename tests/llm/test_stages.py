@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from filegrain.llm import op9_mixing
+from filegrain.llm import op4_line_dedup, op9_mixing
 
 
 def test_tokens_are_in_the_order_of_the_mix(spark):
@@ -13,3 +13,22 @@ def test_tokens_are_in_the_order_of_the_mix(spark):
     for order in (F.col("n_chars").desc(), F.col("doc_id")):  # as Spark orders what it reads, or any other
         got = corpus_pipeline.tokens(spark, docs.repartitionByRange(3, order).sortWithinPartitions(order), None)
         assert [r["doc_id"] for r in got.collect()] == want
+
+
+def test_a_line_goes_from_all_sources_or_none(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    often = "The and attion to thanedble the, anea."
+    had = {r["source"] for r in docs.where(F.col("text").contains(often)).select("source").distinct().collect()}
+    line = F.exists(F.split("text", "\n"), lambda x: F.trim(x).startswith(often))
+    left = corpus_pipeline.lines(spark, docs, None).where(line).select("source").distinct().collect()
+    assert len(had) == 20 and not left
+
+
+def test_pages_by_host(spark):
+    html = "<html><head><style>p{}</style><script>var t='</p>';</script></head><body><nav><a href='/'>Home</a></nav><!-- <p>no -->"
+    pages = [(k, f"https://user@Site.example:80/{k}?q", f"{html}<p>own <b>text</b>\n{k}<br>second {k}</div></body></html>") for k in range(6)]
+    pages += [(6, "https://other.example/", f"{html}<p>alone</p>"), (7, None, None)]
+    out = op4_line_dedup.page_lines(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    rows = {r["page_id"]: r for r in op4_line_dedup.drop_boilerplate(out, "page_id", "site").collect()}
+    assert all(rows[k]["site"] == "site.example" and rows[k]["text"] == f"own text {k}\nsecond {k}" and rows[k]["fg_dropped"] == 1 for k in range(6))
+    assert rows[6]["text"] == "Home\nalone" and rows[7]["site"] is None and rows[7]["text"] == ""
