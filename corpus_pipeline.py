@@ -2,8 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents; other columns of docs stay as they are.
-Defined results: rows without a doc_id can't be named as rejected by the quality stage, and stay there. Rows that
-repeat an id are judged each by the others.
+Defined results: rows are judged each by their own text, also those without a doc_id and those that repeat one.
 """
 
 from __future__ import annotations
@@ -34,8 +33,10 @@ def hidden(stage):
 @hidden
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    verdicts = op7_quality.judged(docs)
-    return without(docs, checkpointed(verdicts.where(~F.col("kept")).select("doc_id")))
+    # A verdict follows from text and language, so it is named by them and the id: null and repeated ids are judged by row.
+    named = docs.withColumn("row_key", F.xxhash64(F.col("text").isNull(), "text", F.col("lang").isNull(), "lang", F.col("doc_id").isNull(), "doc_id"))
+    verdicts = op7_quality.judged(named, id_col="row_key")
+    return without(named, checkpointed(verdicts.where(~F.col("kept")).select("doc_id")), "row_key")
 
 
 @hidden

@@ -32,3 +32,11 @@ def test_pages_by_host(spark):
     rows = {r["page_id"]: r for r in op4_line_dedup.drop_boilerplate(out, "page_id", "site").collect()}
     assert all(rows[k]["site"] == "site.example" and rows[k]["text"] == f"own text {k}\nsecond {k}" and rows[k]["fg_dropped"] == 1 for k in range(6))
     assert rows[6]["text"] == "Home\nalone" and rows[7]["site"] is None and rows[7]["text"] == ""
+
+
+def test_null_and_repeated_ids_are_judged_by_row(spark):
+    good, junk = " ".join(f"word{k}" for k in range(20)), "too short"
+    rows = [(1, good, "en"), (1, junk, "en"), (None, good, "en"), (None, junk, "en"), (None, None, None), (2, junk, None), (3, good, None)]
+    docs = spark.createDataFrame([(*r, "src0", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.quality(spark, docs, None).collect()]
+    assert sorted(kept, key=str) == sorted([(1, good), (None, good), (3, good)], key=str)
