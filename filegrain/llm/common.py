@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -18,19 +20,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def pick(df: DataFrame, **columns: tuple[str, str]) -> DataFrame:
-    """Only the given columns, as own=(name in df, type): what else df holds can't clash."""
-    return df.select(*[F.col(f"`{name}`").cast(kind).alias(own) for own, (name, kind) in columns.items()])
+def place(df: DataFrame, name: str) -> int:
+    """Where df's column of that name is: the first that is spelled so, else the only one that differs in case alone."""
+    if name in df.columns:
+        return df.columns.index(name)
+    alike = [k for k, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(alike) != 1:
+        raise ValueError(f"{len(alike)} columns are named {name}: {df.columns}")
+    return alike[0]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df's columns as c0, c1, ...: names that differ in case alone, repeat, or are an operator's own can't clash then."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def at(df: DataFrame, name: str) -> str:
+    """The name that a column of df has in numbered(df)."""
+    return f"c{place(df, name)}"
 
 
-def reserved(df: DataFrame) -> DataFrame:
-    """df without columns named fg_...: operators that return df's rows whole keep that prefix for their own."""
-    return df.drop(*[c for c in df.columns if c.lower().startswith("fg_")])
+def named(df: DataFrame, out: DataFrame, *more) -> DataFrame:
+    """df's columns of out, which has them as numbered(df) does, under their names again; and more."""
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(df.columns)], *more)
+
+
+def own_prefix(df: DataFrame) -> str:
+    """fg_, with so many more underscores that no column of df begins so: for what an operator adds to df's rows."""
+    prefix = "fg_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
+def pick(df: DataFrame, **columns: tuple[str, str]) -> DataFrame:
+    """Only the given columns, as own=(name in df, type): what else df holds can't clash."""
+    return numbered(df).select(*[F.col(at(df, name)).cast(kind).alias(own) for own, (name, kind) in columns.items()])
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """Bytes of UTF-8 in a column; one scan of that column."""
-    return int(df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0)
+    return int(df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0)
 
 
 #: Partitions that a table is dealt into at most, unless the session asks for more: what is kept of each stays small.
@@ -50,7 +80,8 @@ def words(text: str | None) -> list[bytes]:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder of spark.checkpoint.dir, which every executor reaches.
 
-    Only where the session has no such setting, as in tests, an own folder is set.
+    Only where the session has no such setting, as in tests, an own folder is set. With
+    spark.cleaner.referenceTracking.cleanCheckpoints Spark removes the files once nothing refers to them.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
@@ -59,15 +90,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for shared files; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
+    """The folder that the cluster names for shared files. Only a local master, whose one process has one disk, may go without."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors reach")
     import tempfile
 
     return tempfile.mkdtemp(prefix="filegrain-")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. What is written there goes when the application ends, or by removed()."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files, at_ = _files(spark, path)
+    files.deleteOnExit(at_)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    files, at_ = _files(spark, path)
+    files.delete(at_, True)
+
+
+def _files(spark: SparkSession, path: str):
+    at_ = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at_.getFileSystem(spark._jsc.hadoopConfiguration()), at_
+
+
 def pack(values: np.ndarray, width: int) -> bytes:
     """Unsigned integers in width bits each, lowest bit first, without gaps."""
     if width in (8, 16, 32, 64):
@@ -139,17 +190,6 @@ def pieces(columns: dict, text: str = "text", most: int = 4 << 20):
         yield a, len(sizes)
 
 
-def without(df: DataFrame, ids: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 500_000) -> DataFrame:
-    """Rows of df whose id isn't among ids (one column, checkpointed). Rows without an id stay; columns fg_... go.
-
-    A list of at most broadcast_rows ids (8 bytes each) goes to every task; a longer one is joined by a shuffle.
-    """
-    gone = ids.toDF("fg_gone").where("fg_gone IS NOT NULL").distinct()
-    if ids.count() <= broadcast_rows:
-        gone = F.broadcast(gone)
-    return reserved(df).join(gone, F.col(f"`{id_col}`") == F.col("fg_gone"), "left_anti")
-
-
 class Generations(dict):
     """A bounded cache: of what it held when it was last full, it keeps what has been asked for since."""
 

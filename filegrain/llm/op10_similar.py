@@ -1,4 +1,7 @@
-"""Near duplicates by the Jaccard similarity of texts' sets of word shingles, checked exactly.
+"""Op10 for a given similarity: near duplicates by the Jaccard similarity of word shingles, checked exactly.
+
+SimHash with deletion variants is op10_simhash. It can't reach a similarity of 0.8: such pairs differ in up to 11 of 64
+bits (README has the figures), for which no one-wildcard segments are selective. So candidates come from minima here.
 
 Distinct texts are nodes. Candidates are nodes that share one of BANDS keys, each made of ROWS minima of the set under
 random orders: a pair at similarity s shares none with a chance of (1 - s^ROWS)^BANDS, 5 in a million at 0.8. Each
@@ -10,7 +13,8 @@ bucket, and emit a forest of their links; a task holds one of them at a time, in
 
 Defined results: null text is empty; texts of at most so many words as a shingle has are one shingle, empty ones are
 alike. Of a group the row with the smallest id stays (null ids last, then by a hash of the text); of rows that repeat
-both id and text one stays.
+both id and text one stays. Very long texts are compared whole. An empty table gives an empty one; columns of docs,
+whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, pick, reserved
+from .common import at, checkpointed, named, numbered, pick
 from .op10_simhash import KEYED_ROWS, components
 from .op8_token_files import pieces
 
@@ -205,20 +209,20 @@ def several(placed: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """The rows of docs without near copies: of each group, the row with the smallest id. Columns fg_... go."""
-    docs = reserved(docs)
+    """The rows of docs without near copies: of each group, the row with the smallest id."""
     distinct, root = groups(docs, id_col, text_col, words, least)
     placed = distinct.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("node"))
     first = placed.groupBy("root").agg(F.min(order).alias("first"))
-    judged = placed.join(first, "root").select(F.col("doc_id").alias("fg_id"), F.col("node").alias("fg_own"), "n", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))).alias("stays"))
+    judged = placed.join(first, "root").select(F.col("doc_id").alias("judged_id"), F.col("node").alias("judged_node"), "n", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))).alias("stays"))
     judged = checkpointed(judged.where("NOT stays OR n > 1"))
-    gone, repeated = judged.where("NOT stays").select("fg_id", "fg_own"), judged.where("stays").select("fg_id", "fg_own")
+    gone, repeated = judged.where("NOT stays").select("judged_id", "judged_node"), judged.where("stays").select("judged_id", "judged_node")
     size = {r["stays"]: r["k"] for r in judged.groupBy("stays").agg(F.count("*").alias("k")).collect()}
-    named = docs.withColumn("fg_node", _node(f"`{text_col}`"))
-    same = (F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("fg_id"))) & (F.col("fg_node") == F.col("fg_own"))
-    out = named.join(F.broadcast(gone) if size.get(False, 0) <= BROADCAST_ROWS else gone, same, "left_anti")
+    id_ = F.col(at(docs, id_col)).cast("long")
+    rows = numbered(docs).withColumns({"own_id": id_, "node": _node(at(docs, text_col))})
+    same = F.col("own_id").eqNullSafe(F.col("judged_id")) & (F.col("node") == F.col("judged_node"))
+    out = rows.join(F.broadcast(gone) if size.get(False, 0) <= BROADCAST_ROWS else gone, same, "left_anti")
     if size.get(True):
         repeated = F.broadcast(repeated) if size[True] <= BROADCAST_ROWS else repeated
-        out = out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates([id_col, "fg_node"]))
-    return out.drop("fg_node")
+        out = out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates(["own_id", "node"]))
+    return named(docs, out)

@@ -10,15 +10,19 @@ Ids have one width, so any range of a block is read by its place alone, and nump
 written through Spark's writer as rows (shard, block, before, n_ids, data), so a lost executor's files are written
 again and any store works; shards hold ascending document ids, and `before` counts the shard's ids ahead of a block.
 
-Distinct words are encoded once and kept in a bounded cache: no token of this vocabulary spans ASCII white space.
+Any file of the tokenizers library can be used. Where its rules are those of BY_WORDS, under which no token spans ASCII
+white space, distinct words are encoded once and kept in a bounded cache; else whole texts are encoded.
+
 Defined results: null text is empty (its document has the end id alone). Null document ids come last. Rows that
 repeat an id are documents each, in the order of a hash of their texts, by which a frequent or null id is dealt out too.
+Very long texts stay whole. An empty table gives no block, and no row when read. Other columns, whatever their names,
+are not read. The width also holds the end id.
 """
 
 from __future__ import annotations
 
+import json
 import struct
-import uuid
 import zlib
 from functools import cache
 
@@ -29,13 +33,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Generations, pack, parts_for, pick, shared_dir, table, unpack
+from .common import NULL_ID, Generations, pack, parts_for, pick, scratch, table, unpack
 
 MAGIC = b"FGTB"
 HEAD = struct.Struct("<4sBBxxIQ")
 BLOCK_IDS = 1 << 20
 END_ID = 2
 CACHED = 300_000
+#: Rules of a vocabulary (normalizer, pre_tokenizer) under which a text's ids are its words' ids. Fixed values.
+BY_WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
 MARKS = (b",", b".", b";", b":", b"!", b"?")
 BLOCKS = "shard long, block long, before long, n_docs long, n_ids long, data binary"
 
@@ -73,14 +82,19 @@ class Block:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = END_ID):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), Generations(CACHED)
-        self.width = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
+        self.tokenizer, self.known, self.end_id = Tokenizer.from_file(path), Generations(CACHED), end_id
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        rules = json.loads(self.tokenizer.to_str())
+        # Strings of added tokens are looked for in whole texts, before anything else; all of these hold <| then.
+        self.by_words = (rules["normalizer"], rules["pre_tokenizer"]) == BY_WORDS and rules["model"]["type"] == "BPE" and all("<|" in t["content"] for t in rules["added_tokens"])
+        self.width = max(1, max(end_id, *self.tokenizer.get_vocab().values()).bit_length())
 
     def _learn(self, new: list[bytes]) -> None:
         """Ids (32 bits each) of words not known yet, all in one call."""
@@ -105,6 +119,10 @@ class Encoder:
     def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id after each, and where each text's ids end."""
         column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not self.by_words:
+            each = [x.ids for x in self.tokenizer.encode_batch(column.to_pylist(), add_special_tokens=False)]
+            ends = np.cumsum([len(x) + 1 for x in each], dtype=np.int64)
+            return np.fromiter((i for x in each for i in (*x, self.end_id)), np.uint32, int(ends[-1]) if len(ends) else 0), ends
         # The vocabulary is in lower case; only the strings of special tokens are looked for before that.
         column = pc.if_else(pc.match_substring(column, "<|"), column, pc.ascii_lower(column))
         split = pc.ascii_split_whitespace(column)
@@ -120,7 +138,7 @@ class Encoder:
         out = np.empty(len(found) + n, np.uint32)
         last = np.zeros(len(out), bool)
         last[ends + np.arange(n)] = True
-        out[last], out[~last] = END_ID, found
+        out[last], out[~last] = self.end_id, found
         return out, ends + np.arange(1, n + 1)
 
 
@@ -135,16 +153,16 @@ def pieces(texts: pa.Array, most: int = 8 << 20):
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, end_id: int = END_ID) -> Encoder:
+    return Encoder(path, end_id)
 
 
-def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, block_ids: int = BLOCK_IDS, part_bytes: int = 16 << 20) -> None:
+def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS, part_bytes: int = 16 << 20) -> None:
     """Encode documents in ascending order of their ids into blocks below path."""
     vocabulary = tokenizer or default_tokenizer()
 
     def run(batches):
-        own, shard = encoder(vocabulary), TaskContext.get().partitionId()
+        own, shard = encoder(vocabulary, end_id), TaskContext.get().partitionId()
         number = before = held = 0
         doc_ids: list = []
         parts: list[np.ndarray] = []
@@ -201,6 +219,6 @@ def digests(blocks: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    path = scratch(spark, "tokens")
     write(table(spark, sf_dir, "documents"), path)
     return digests(read(spark, path))

@@ -9,13 +9,20 @@ to slot (i div a) M + (slot of block i mod a). A block's slot is thus arithmetic
 over the corpus, and no order of all rows is needed.
 
 A block's number needs the running size of its source. It is found in two levels, so that no task gets a whole
-source: sums by (source, one of 4096 hash ranges), whose running total is a small table, and running sums inside a
-range. A document belongs to the block in which it begins; one longer than a block leaves the next slots empty. When
-a source has no blocks left its slots stay empty and the others keep theirs: no row is dropped or repeated, and the
-deviation bound holds up to the first source's end (in_mix).
+source: sums by (source, hash range), whose running total is a small table, and running sums inside a range. Ranges
+are so many that the largest source has RANGE_CHARS in each (up to 2^20 of each source, far beyond 100 TB). A document
+belongs to the block in which it begins; one longer than a block leaves the next slots empty. When a source has no
+blocks left its slots stay empty and the others keep theirs: no row is dropped or repeated, and the deviation bound
+holds up to the first source's end (first_end).
+
+The documents are read twice: once for the sums, once for their places. arranged() puts them in order by one more
+shuffle: parts are cut at slots, by what the sums say of the slots' sizes, so nothing is sampled or sorted globally.
 
 Defined results: sources without a share, and null ones, are pooled as one more source with the share rest. Null
-text has size zero. Null ids come in an order of their own. Rows that repeat an id are rows each.
+text has size zero. The order in a source is by a hash of the id, and of the text for null ids, so that these are
+dealt out as well; then by id, size and a hash of the text. Rows that are equal in all of these are interchangeable:
+each has a place of its own. Very long texts stay whole. An empty table gives an empty one. What is added has a
+prefix that no column of docs has, so all of these stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +30,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, reserved, table
+from .common import MOST_PARTS, at, checkpointed, named, numbered, own_prefix, pick, table
 
 BLOCK_CHARS = 1 << 16
 MOST_SLOTS = 10_000
+#: Characters of the largest source in a hash range; the number of a source's ranges as a power of two.
+RANGE_CHARS = 32 << 20
+LEAST_BITS, MOST_BITS = 8, 20
+#: Running totals of ranges (some 60 bytes each) up to this number go to every task; more are joined by the window's own partitioning.
+BROADCAST_RANGES = 250_000
 SEED = "mix"
 #: Shares of the sources of the synthetic tables; src0 is the largest.
 SHARES = {f"src{k}": 8 if k == 0 else 1 + k % 4 for k in range(20)}
@@ -46,56 +58,95 @@ def schedule(shares: dict[str, int]) -> list[tuple[str, int, int]]:
     return out
 
 
-def mixed(docs: DataFrame, shares: dict[str, int], id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", rest: int = 1, block_chars: int = BLOCK_CHARS, seed: str = SEED) -> DataFrame:
-    """docs with fg_stream, fg_begin (characters before it in its source), fg_block, fg_slot, fg_key (order within a slot). A row for each row; columns fg_... of docs go."""
-    docs = reserved(docs)
-    shares = {str(k): int(v) for k, v in shares.items()}
-    other = "(rest)"
-    while other in shares:
-        other = f"({other})"
-    shares[other] = rest
-    total = sum(shares.values())
-    spark = docs.sparkSession
-
-    source = F.col(f"`{source_col}`").cast("string")
-    stream = F.when(source.isin([s for s in shares if s != other]), source).otherwise(F.lit(other))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))))
-    size = F.length(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).cast("long")
-
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumn("fg_stream", stream).withColumn("fg_key", key).withColumn("fg_size", size).withColumn("fg_range", F.substring("fg_key", 1, 3))
-
-    sums = keyed(docs).groupBy("fg_stream", "fg_range").agg(F.sum("fg_size").alias("fg_sum"))
-    before = Window.partitionBy("fg_stream").orderBy("fg_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(F.col("fg_stream").alias("fg_s"), F.col("fg_range").alias("fg_r"), F.coalesce(F.sum("fg_sum").over(before), F.lit(0)).alias("fg_base"))
-    plan = spark.createDataFrame([(s, shares[s], i, slot) for s, i, slot in schedule(shares)], "fg_p string, fg_share long, fg_i long, fg_at long")
-
-    inside = Window.partitionBy("fg_stream", "fg_range").orderBy("fg_key", F.col(f"`{id_col}`"), "fg_size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = keyed(docs).withColumn("fg_inside", F.coalesce(F.sum("fg_size").over(inside), F.lit(0)))
-    # 4096 ranges of each source are some 100 bytes each, whatever the input's size; the schedule has MOST_SLOTS rows at most.
-    rows = rows.join(F.broadcast(bases) if len(shares) * 4096 <= 250_000 else bases, (F.col("fg_stream") == F.col("fg_s")) & (F.col("fg_range") == F.col("fg_r")))
-    rows = rows.withColumn("fg_begin", F.col("fg_base") + F.col("fg_inside")).withColumn("fg_block", F.floor(F.col("fg_begin") / F.lit(block_chars)).cast("long"))
-    share = F.broadcast(plan.select("fg_p", "fg_share").distinct())
-    rows = rows.join(share, F.col("fg_stream") == F.col("fg_p")).drop("fg_p")
-    rows = rows.join(F.broadcast(plan.drop("fg_share")), (F.col("fg_stream") == F.col("fg_p")) & (F.col("fg_block") % F.col("fg_share") == F.col("fg_i")))
-    rows = rows.withColumn("fg_slot", F.expr("fg_block div fg_share") * F.lit(total) + F.col("fg_at"))
-    return rows.select(*[f"`{c}`" for c in docs.columns], "fg_stream", "fg_begin", "fg_block", "fg_slot", "fg_key")
-
-
-def in_order(mix: DataFrame, parts: int) -> DataFrame:
-    """mixed()'s rows in the order of their slots over so many range partitions."""
-    return mix.repartitionByRange(parts, "fg_slot", "fg_key").sortWithinPartitions("fg_slot", "fg_key")
-
-
-def first_end(mix: DataFrame) -> int:
+class Mix:
+    """Places of docs' rows in a mix of their sources.
+
+    measured: columns of docs with each text's length and hash, if they are known already; else text_col is measured.
+    """
+
+    def __init__(self, docs: DataFrame, shares: dict[str, int], id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", rest: int = 1, block_chars: int = BLOCK_CHARS, seed: str = SEED, measured: tuple[str, str] | None = None):
+        shares = {str(k): int(v) for k, v in shares.items()}
+        other = "(rest)"
+        while other in shares:
+            other = f"({other})"
+        shares[other] = rest
+        self.docs, self.block_chars, self.total, self.prefix = docs, block_chars, sum(shares.values()), own_prefix(docs)
+        self.plan = docs.sparkSession.createDataFrame([(s, shares[s], i, slot) for s, i, slot in schedule(shares)], "p string, share long, i long, place long")
+        self.id = at(docs, id_col)
+        source = F.col(at(docs, source_col)).cast("string")
+        if measured:
+            size, tie = (F.col(at(docs, c)) for c in measured)
+        else:
+            text = F.coalesce(F.col(at(docs, text_col)).cast("string"), F.lit(""))
+            size, tie = F.length(text).cast("long"), F.xxhash64(text)
+        key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(self.id).cast("string"), F.concat(F.lit("null:"), F.hex(tie)))))
+        stream = F.when(source.isin([s for s in shares if s != other]), source).otherwise(F.lit(other))
+        self.keyed = numbered(docs).withColumns({"stream": stream, "key": key, "size": size, "tie": tie})
+        fine = F.conv(F.substring("key", 1, MOST_BITS // 4), 16, 10).cast("int").alias("fine")
+        # At most 2^20 rows of each source, whatever the input's size.
+        sums = checkpointed(self.keyed.groupBy("stream", fine).agg(F.sum("size").alias("chars"), F.count("*").alias("n")))
+        self.chars, largest, groups = sums.groupBy("stream").agg(F.sum("chars").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max("c"), F.lit(0)), F.count("*")).first()
+        bits = max(LEAST_BITS, min(MOST_BITS, (largest // RANGE_CHARS).bit_length()))
+        shift = MOST_BITS - bits
+        self.keyed = self.keyed.withColumn("range", F.shiftright(F.conv(F.substring("key", 1, MOST_BITS // 4), 16, 10).cast("int"), shift))
+        folded = sums.groupBy("stream", F.shiftright("fine", shift).alias("range")).agg(F.sum("chars").alias("chars"))
+        before = Window.partitionBy("stream").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        self.bases = folded.withColumn("base", F.coalesce(F.sum("chars").over(before), F.lit(0)))
+        self.small = groups << bits <= BROADCAST_RANGES
+
+    def _slots(self, rows: DataFrame, begin: str) -> DataFrame:
+        """rows (stream, begin) with block and slot."""
+        shares = F.broadcast(self.plan.select("p", "share").distinct())
+        rows = rows.withColumn("block", F.floor(F.col(begin) / F.lit(self.block_chars)).cast("long")).join(shares, F.col("stream") == F.col("p")).drop("p")
+        rows = rows.join(F.broadcast(self.plan.drop("share")), (F.col("stream") == F.col("p")) & (F.col("block") % F.col("share") == F.col("i")))
+        return rows.withColumn("slot", F.expr("block div share") * F.lit(self.total) + F.col("place")).drop("p", "share", "i", "place")
+
+    def _placed(self) -> DataFrame:
+        inside = Window.partitionBy("stream", "range").orderBy("key", self.id, "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+        rows = self.keyed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        bases = self.bases.drop("chars")
+        rows = rows.join(F.broadcast(bases) if self.small else bases, ["stream", "range"]).withColumn("begin", F.col("base") + F.col("inside"))
+        return self._slots(rows, "begin")
+
+    def _named(self, rows: DataFrame) -> DataFrame:
+        return named(self.docs, rows, *[F.col(c).alias(self.prefix + c) for c in ("stream", "begin", "block", "slot", "key")])
+
+    def rows(self) -> DataFrame:
+        """docs with fg_stream, fg_begin (characters before it in its source), fg_block, fg_slot, fg_key (order within a slot). A row for each row."""
+        return self._named(self._placed())
+
+    def arranged(self, part_chars: int = 32 << 20) -> DataFrame:
+        """The same in the order of their slots, over partitions of about so many characters, at most MOST_PARTS."""
+        parts = max(int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-self.chars // part_chars)))
+        # Slots in 4 * parts groups of one width, with the characters of the ranges that begin there: a bounded table.
+        ranges = self._slots(self.bases, "base")
+        width = max(1, -(-(int(ranges.agg(F.max("slot")).first()[0] or 0) + 1) // (4 * parts)))
+        group = F.least(F.expr(f"slot div {width}"), F.lit(4 * parts))
+        sizes = ranges.groupBy(group.alias("g")).agg(F.sum("chars").alias("c"))
+        every = self.docs.sparkSession.range(4 * parts + 1).toDF("g").join(sizes, "g", "left")
+        upto = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+        part = F.floor(F.coalesce(F.sum("c").over(upto), F.lit(0)) * F.lit(parts) / F.lit(max(1, self.chars)))
+        cuts = every.select("g", F.least(part, F.lit(parts - 1)).cast("int").alias("part"))
+        rows = self._placed().withColumn("g", group).join(F.broadcast(cuts), "g")
+        return self._named(rows.repartitionById(parts, F.col("part")).sortWithinPartitions("slot", "key", self.id, "size", "tie"))
+
+
+def mixed(docs: DataFrame, shares: dict[str, int], **options) -> DataFrame:
+    """Mix(...).rows()"""
+    return Mix(docs, shares, **options).rows()
+
+
+def first_end(mix: DataFrame, prefix: str = "fg_") -> int:
     """The last slot that the source which ends first fills: up to it the deviation bound holds for all."""
-    row = mix.groupBy("fg_stream").agg(F.max("fg_slot").alias("last")).agg(F.min("last")).first()
+    row = mix.groupBy(f"{prefix}stream").agg(F.max(f"{prefix}slot").alias("last")).agg(F.min("last")).first()
     return -1 if row[0] is None else int(row[0])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), doc_id=("doc_id", "long"), source=("source", "string"), text=("text", "string"))
-    mix = mixed(docs, SHARES)
+    text = F.coalesce("text", F.lit(""))
+    known = checkpointed(docs.select("doc_id", "source", F.length(text).cast("long").alias("size"), F.xxhash64(text).alias("tie")))
+    mix = checkpointed(mixed(known, SHARES, measured=("size", "tie")).drop("size", "tie", "fg_key"))
     out = mix.select("doc_id", "source", F.col("fg_stream").alias("stream"), F.col("fg_begin").alias("begin"), F.col("fg_block").alias("block"), F.col("fg_slot").alias("slot"))
     return out.withColumn("in_mix", F.col("slot") <= first_end(mix))
 

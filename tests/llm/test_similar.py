@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from filegrain.llm import near
+from filegrain.llm import op10_similar
 
 
 def brute_shingles(text):
@@ -38,14 +38,14 @@ def test_null_and_repeated_ids(spark):
     words = [f"w{k}" for k in range(60)]
     text, close, other = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(reversed(words))
     docs = spark.createDataFrame([(1, text), (2, close), (2, other), (None, close), (None, "alone"), (3, "alone"), (4, "twice"), (4, "twice")], "doc_id long, text string")
-    assert sorted(map(tuple, near.one_of_each(docs).collect())) == [(1, text), (2, other), (3, "alone"), (4, "twice")]
+    assert sorted(map(tuple, op10_similar.one_of_each(docs).collect())) == [(1, text), (2, other), (3, "alone"), (4, "twice")]
 
 
 def test_groups_in_one_bucket():
     r = np.random.default_rng(3)
     base = [set(r.integers(0, 10**9, 100).tolist()) for _ in range(3)]
     sets = [sorted(set(r.choice(sorted(base[k % 3]), 92, replace=False).tolist()) | set(r.integers(0, 10**9, 4).tolist())) for k in range(40)]
-    links = near.similar_pairs(pa.array(sets, pa.list_(pa.int64())), np.arange(40), 0.8)
+    links = op10_similar.similar_pairs(pa.array(sets, pa.list_(pa.int64())), np.arange(40), 0.8)
     root = list(range(40))
     for a, b in links:
         assert 5 * len(set(sets[a]) & set(sets[b])) >= 4 * len(set(sets[a]) | set(sets[b]))
