@@ -1,25 +1,33 @@
 """Secret scan: patterns, and character Markov models of random strings and ordinary identifiers.
 
 Two first-order Markov models over characters are counted from labelled samples (token, secret): one of random
-strings, one of ordinary identifiers and words. A token of TOKEN characters is a secret if the logarithm of the
-models' likelihood ratio exceeds LEAST for each of its character pairs on average. The ratio is a table of at most
-128 x 128 numbers, which is the whole model. Samples are bounded: by default the ORDINARY words below and
-RANDOM_SAMPLES digests; both are parameters, so a deployment trains on its own labelled tokens.
+strings in seven alphabets, one of ordinary identifiers: names made of words, paths, dates, numbers, UUIDs, runs of
+one character. A token of TOKEN characters is a secret if the logarithm of the models' likelihood ratio exceeds LEAST
+for each of its character pairs on average. The ratio is a table of at most 128 x 128 numbers, which is the whole
+model. The words are those of a public vocabulary (a parameter), so no text that is scanned shapes the model. Samples
+are SAMPLES of either label; a hash puts each into the half that is trained on or the half that is held out, on which
+recall and false alarms are measured. A deployment can train on its own labelled tokens.
 
 All steps are DataFrame expressions. Positions come from the lengths of what stands between matches, summed in
-blocks, so a text with very many matches costs in proportion to its length.
+blocks, so a text with very many matches costs in proportion to its length, however long it is.
 
 Base spans, leftmost and non-overlapping for each kind: assign (a whole `name = value` match whose value has 8
 characters), access (AKIA key), hex (32 digits). Spans of kind markov are added where no base span overlaps.
-Defined results: null text is empty. Rows that repeat an id are rows each.
+Defined results: null text is empty, and has no spans. Null ids stay null; rows that repeat an id or a text are rows
+each. Spans that begin together are in the order of their kinds. An empty table gives an empty one. Other columns of
+docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import json
 import math
+import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pick, table
@@ -31,52 +39,66 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "markov")
-LEAST = 0.6
-RANDOM_SAMPLES = 400
+LEAST = 0.3
+SAMPLES = 8000
 SMOOTH = 0.5
 BACK_OFF = 3
 ALPHABET = 65
 BLOCK = 256
 
-#: Labelled as ordinary: identifiers of programs and long words of several languages.
-ORDINARY = (
-    "internationalization configuration_manager get_user_profile DocumentBuilderFactory understanding_requirements "
-    "background-color border-bottom-left-radius application/x-www-form-urlencoded content-security-policy "
-    "public_static_final_string AbstractSingletonProxyFactoryBean maximum_number_of_retries default_timeout_seconds "
-    "telecommunications characteristically incomprehensibilities responsibilities environmental-protection "
-    "rechtsschutzversicherungsgesellschaften Geschwindigkeitsbegrenzung Donaudampfschifffahrt Verantwortungsbewusstsein "
-    "anticonstitutionnellement malheureusement gouvernement-provisoire developpement-durable constitutionnellement "
-    "desafortunadamente internacionalizacion responsabilidades otorrinolaringologia electroencefalografista "
-    "src/main/java/org/example/service usr/local/share/applications home/user/documents/report images/products/thumbnail "
-    "test_should_return_empty_list when_input_is_missing README_for_contributors http-request-handler node_modules/library "
-    "2024-01-31-weekly-report 2023-12-24-release-notes chapter_12_section_3 version_1_2_3_release page_001_of_120 "
-    "the-quick-brown-fox-jumps-over-the-lazy-dog how-to-write-good-documentation frequently-asked-questions "
-    "thunderstorm strengthening throughout withstanding interesting thethingandtheother hereandthere "
-    "ersteinmalschauen undsoweiter heitkeitungschaft chensteinlich verbindungen zusammenarbeit einheitliche "
-    "eauxmentelle tionnement ouvertement quelquefois aujourdhui entreprise cionarse aciones mientras osamente "
-    "isInstanceOfExpectedType setOnClickListener createElementNamespace addEventListenerOnce toLocaleLowerCase "
-    "MAX_CONNECTION_POOL_SIZE DEFAULT_BUFFER_LENGTH ENVIRONMENT_VARIABLE_NAME ACCESS_CONTROL_ALLOW_ORIGIN "
-    "customer_order_line_items product_category_description monthly_revenue_summary shipping_address_postal_code "
-    "====================== ---------------------- ______________________ ++++++++++++++++++++++ //////////////////////"
-).split()
-
-
-def labelled_samples(spark: SparkSession, random_samples: int = RANDOM_SAMPLES) -> DataFrame:
-    """token, secret: random strings in four alphabets, made from digests of numbers, and the ORDINARY words."""
-    digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")).cast("binary"), 256)
-    strings = spark.range(random_samples).select(
-        F.explode(
-            F.array(
-                F.base64(F.unhex(digest)),
-                F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", ""),
-                digest,
-                F.lower(F.conv(F.substring(digest, 1, 15), 16, 36)),
-                F.translate(F.base64(F.unhex(digest)), "+/=", "-_"),
-            )
-        ).alias("token")
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Alphabets of random strings.
+ALPHABETS = (UPPER + LOWER + DIGITS + "+/", UPPER + LOWER + DIGITS, UPPER + LOWER + DIGITS + "-_", DIGITS + "abcdef", DIGITS + "ABCDEF", UPPER + "234567", DIGITS + LOWER)
+
+
+def vocabulary(path: str | None = None) -> list[str]:
+    """Words of three letters and more that begin a token of a public vocabulary (a file of ranks)."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        tokens = (base64.b64decode(line.split()[0]) for line in f)
+        return [t[1:].decode() for t in tokens if re.fullmatch(rb" [A-Za-z]{3,}", t)]
+
+
+def _random(d: bytes) -> tuple[str, int]:
+    """A random string of 20 to 44 characters, and the number of its alphabet."""
+    form = d[-1] % len(ALPHABETS)
+    return "".join(ALPHABETS[form][x % len(ALPHABETS[form])] for x in d[: 20 + d[-2] % 25]), form
+
+
+def _identifier(d: bytes, known: list[str]) -> tuple[str, int]:
+    """An ordinary identifier, and how it is made."""
+    one, *more = low = [known[int.from_bytes(d[4 * k : 4 * k + 4], "big") % len(known)].lower() for k in range(5)]
+    title, h, number = [w.capitalize() for w in low], d.hex()[40:72], int.from_bytes(d[20:28], "big")
+    uuid = f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}"
+    made = (
+        "_".join(low),
+        "-".join(low),
+        one + "".join(title[1:]),
+        "_".join(low).upper(),
+        "".join(low),
+        "/".join(low),
+        f"{one}_{d[40]}_{low[1]}_{d[41]:03d}{low[2]}",
+        "".join(title),
+        f"20{d[40] % 30:02d}-{d[41] % 12 + 1:02d}-{d[42] % 28 + 1:02d}-{one}-{low[1]}",
+        uuid if d[43] % 4 else uuid.upper(),
+        (ALPHABETS[0] + "-_=")[d[40] % 67] * 24,
+        f"ISBN978{number % 10**10}EDITION{d[40] % 9}" + (f"_{one}" if d[41] % 2 else ""),
     )
-    ordinary = spark.range(1).select(F.explode(F.array(*map(F.lit, ORDINARY))).alias("token"))
-    return strings.withColumn("secret", F.lit(True)).unionByName(ordinary.withColumn("secret", F.lit(False)))
+    form = d[-1] % len(made)
+    return made[form] if len(made[form]) >= 20 else f"{made[form]}_{'_'.join(more[2:])}", form
+
+
+def labelled_samples(spark: SparkSession, held_out: bool = False, samples: int = SAMPLES, words: str | None = None) -> DataFrame:
+    """token, secret, form (number of its alphabet, or of how it is made): the half that is trained on, or the other one."""
+    known, rows = vocabulary(words), []
+    for k in range(2 * samples):
+        d = hashlib.sha512(f"sample {k}".encode()).digest()
+        if (d[-3] % 2 == 1) == held_out:
+            token, form = _random(d) if k % 2 else _identifier(d, known)
+            rows.append({"token": token, "secret": bool(k % 2), "form": form})
+    # One constant: a few hundred bytes for each of at most 2 * samples rows.
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<token:string,secret:boolean,form:int>>")))
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -131,7 +153,10 @@ def log_ratio(token: Column, model: list[float]) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: DataFrame | None = None, least: float = LEAST) -> DataFrame:
-    """doc_id, base and spans: arrays of (start, kind, end, value) in order of start, then kind. A row for each row."""
+    """doc_id, base and spans: arrays of (start, kind, end, value) in order of start, then kind. A row for each row.
+
+    samples (token, secret; by default labelled_samples()) are what the models are counted from.
+    """
     model = train(samples if samples is not None else labelled_samples(docs.sparkSession))
     df = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")).withColumn("text", F.coalesce("text", F.lit("")))
     df = _found(df, ASSIGN, "assign", lambda v: F.length(F.regexp_extract(v, ASSIGN, 2)) >= 8)
@@ -154,3 +179,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, KINDS[:3]), F.sha2(said("base").cast("binary"), 256).alias("base_sha256"), said("spans").alias("spans"))
+
+
+def query_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with a held-out token at its end: doc_id, secret (what the token is), form, found (is it a span)."""
+    docs = pick(table(spark, sf_dir, "documents"), doc_id=("doc_id", "long"), text=("text", "string"))
+    held = labelled_samples(spark, held_out=True)
+    tokens = held.select(F.col("secret"), F.col("form"), F.col("token"), (F.row_number().over(Window.orderBy(F.xxhash64("token"), "token")) - 1).alias("n"))  # 2 * SAMPLES rows at most
+    size = tokens.count()
+    planted = docs.withColumn("n", F.pmod(F.xxhash64("doc_id"), F.lit(size)).cast("int")).join(F.broadcast(tokens), "n")
+    planted = planted.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" left here: "), "token"))
+    spans = scan(planted).select("doc_id", F.get("spans", F.size("spans") - 1)["value"].alias("last"))
+    return planted.select("doc_id", "secret", "form", "token").join(spans, "doc_id").select("doc_id", "secret", "form", F.coalesce(F.col("last") == F.col("token"), F.lit(False)).alias("found"))

@@ -19,10 +19,21 @@ OPERATORS = {
 }
 
 
+#: Further queries: module, and the names of the function and of its SQL.
+MORE = {
+    "lines_by_host": ("op4_line_dedup", "query_pages", "ORACLE_PAGES"),
+    "planted_secrets": ("op3_secrets", "query_planted", None),
+}
+
+
+def _found() -> dict[str, tuple]:
+    all_ = {name: (module, "query", "ORACLE") for name, module in OPERATORS.items()} | MORE
+    return {name: (getattr(import_module(f".{module}", __package__), run), getattr(import_module(f".{module}", __package__), sql, None) if sql else None) for name, (module, run, sql) in all_.items()}
+
+
 def queries() -> dict:
-    return {name: import_module(f".{module}", __package__).query for name, module in OPERATORS.items()}
+    return {name: run for name, (run, _) in _found().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(import_module(f".{module}", __package__), "ORACLE", None) for name, module in OPERATORS.items()}
-    return {name: sql for name, sql in found.items() if sql}
+    return {name: sql for name, (_, sql) in _found().items() if sql}
