@@ -12,8 +12,13 @@ by one-wildcard variants of the quarters of the other half (again, one of two di
 leaves 18 open bits and so bounds a bucket at 2^18 rows. Equal fingerprints are one node from the start.
 Components of the forest come from alternating large-star and small-star rounds, whose tables are checkpointed.
 
+Fingerprints of more than HOT_PRINTS rows (copies, empty texts) get their component from a list that goes to every
+task: there is one such for each HOT_PRINTS rows at most. The centre of a star has a row for each of its neighbours in
+a join of the rounds (16 bytes each, distinct fingerprints only), whose partition adaptive execution splits.
+
 Defined results: null text has no words, fingerprint zero, and links like any other. Rows that repeat an id are
-rows each; component_id is the smallest id in the component (null only if all ids there are null).
+rows each; component_id is the smallest id in the component (null only if all ids there are null). Very long texts are
+read whole. An empty table gives an empty one. Other columns of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ BITS = 64
 MOST = 3
 #: Distinct fingerprints in a bucket above which it is dealt again by a second signature.
 HOT_ROWS = 4096
+#: Rows of one fingerprint above which its component goes to every task.
+HOT_PRINTS = 100_000
 #: Fingerprints in a partition that is expanded to 64 keys each.
 KEYED_ROWS = 50_000
 
@@ -162,53 +169,66 @@ def _links(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
 
-def _bucket_links(batches):
-    """Rows sorted by key, in batches: links of each key's bucket. A bucket may span batches; HOT_ROWS bounds it."""
-    kept_key, kept_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def links(keys: np.ndarray, fps: np.ndarray):
-        edge = np.flatnonzero(np.diff(keys)) + 1
-        starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(keys)]])
-        size = ends - starts
-        two = starts[size == 2]
-        a, b = [fps[two]], [fps[two + 1]]
-        hit = _near(a[0].view(np.uint64), b[0].view(np.uint64), MOST) & (a[0] != b[0])
-        a, b = [a[0][hit]], [b[0][hit]]
-        for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
-            own = np.unique(fps[s:e])
-            pairs = np.array(forest(own.view(np.uint64)), np.int64).reshape(-1, 2)
-            a.append(own[pairs[:, 0]])
-            b.append(own[pairs[:, 1]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-        return pa.record_batch({"a": pa.array(found[0]), "b": pa.array(found[1])})
-
-    for batch in batches:
-        keys = np.concatenate([kept_key, batch.column("key").to_numpy()])
-        fps = np.concatenate([kept_fp, batch.column("fp").to_numpy()])
-        if not len(keys):
-            continue
-        cut = int(np.searchsorted(keys, keys[-1]))
-        if cut:
-            yield links(keys[:cut], fps[:cut])
-        kept_key, kept_fp = keys[cut:], fps[cut:]
-    if len(kept_key):
-        yield links(kept_key, kept_fp)
+def _bucket_links(most: int):
+    def run(batches):
+        """Rows sorted by key, in batches: links of each key's bucket, with key null. Of buckets above so many rows the rows (a: fingerprint, key), to be dealt again."""
+        kept_key, kept_fp, hot = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        names = ["a", "b", "key"]
+
+        def again(keys: np.ndarray, fps: np.ndarray):
+            return pa.record_batch([pa.array(fps), pa.nulls(len(fps), pa.int64()), pa.array(keys)], names)
+
+        def links(keys: np.ndarray, fps: np.ndarray):
+            edge = np.flatnonzero(np.diff(keys)) + 1
+            starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(keys)]])
+            size = ends - starts
+            two = starts[size == 2]
+            a, b = [fps[two]], [fps[two + 1]]
+            hit = _near(a[0].view(np.uint64), b[0].view(np.uint64), MOST) & (a[0] != b[0])
+            a, b = [a[0][hit]], [b[0][hit]]
+            for s, e in zip(starts[(size > 2) & (size <= most)].tolist(), ends[(size > 2) & (size <= most)].tolist(), strict=True):
+                own = np.unique(fps[s:e])
+                pairs = np.array(forest(own.view(np.uint64)), np.int64).reshape(-1, 2)
+                a.append(own[pairs[:, 0]])
+                b.append(own[pairs[:, 1]])
+            a, b = np.concatenate(a), np.concatenate(b)
+            found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+            yield pa.record_batch([pa.array(found[0]), pa.array(found[1]), pa.nulls(found.shape[1], pa.int64())], names)
+            large = np.repeat(size > most, size)
+            if large.any():
+                yield again(keys[large], fps[large])
+
+        for batch in batches:
+            keys = np.concatenate([kept_key, batch.column("key").to_numpy()])
+            fps = np.concatenate([kept_fp, batch.column("fp").to_numpy()])
+            if hot is not None:  # a bucket that has begun to go out goes on
+                own = int(np.searchsorted(keys, hot, "right"))
+                yield again(keys[:own], fps[:own])
+                keys, fps = keys[own:], fps[own:]
+            if not len(keys):
+                kept_key, kept_fp = keys, fps
+                continue
+            hot = None
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut:
+                yield from links(keys[:cut], fps[:cut])
+            kept_key, kept_fp = keys[cut:], fps[cut:]
+            if len(kept_key) > most:
+                hot = kept_key[0]
+                yield again(kept_key, kept_fp)
+                kept_key, kept_fp = kept_key[:0], kept_fp[:0]
+        if len(kept_key):
+            yield from links(kept_key, kept_fp)
+
+    return run
 
 
 def near_links(nodes: DataFrame) -> DataFrame:
     """a < b: links between distinct fingerprints (column fp) that join the same rows as all links do."""
     keyed = _keys(checkpointed(nodes))
-    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("key")
-    hot = checkpointed(hot)
-    if hot.isEmpty():
-        plain, again = keyed, None
-    else:
-        plain, again = keyed.join(hot, "key", "left_anti"), _deal_again(keyed.join(hot, "key", "left_semi"))
-    found = plain.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links, "a long, b long")
-    if again is not None:
-        found = found.unionByName(again.groupBy("key", "sub").applyInArrow(_links, "a long, b long"))
-    return found.distinct()
+    met = checkpointed(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(HOT_ROWS), "a long, b long, key long"))
+    again = _deal_again(met.where("key IS NOT NULL").select("key", F.col("a").alias("fp")))
+    return met.where("key IS NULL").select("a", "b").unionByName(again.groupBy("key", "sub").applyInArrow(_links, "a long, b long")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -233,12 +253,15 @@ def components(edges: DataFrame) -> DataFrame:
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (long), component_id; a row for each row of docs."""
     prints = checkpointed(fingerprints(docs, id_col, text_col))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    member = components(near_links(nodes))
-    placed = nodes.join(member, nodes["fp"] == member["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    member = components(near_links(nodes.select("fp")))
+    placed = nodes.join(member, nodes["fp"] == member["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n")
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = placed.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = checkpointed(placed.join(smallest, "root").select("fp", "component_id", "n"))
+    hot = ids.where(F.col("n") > HOT_PRINTS).select(F.col("fp").alias("hot"), F.col("component_id").alias("of_hot"))
+    rows = prints.join(F.broadcast(hot), prints["fp"] == hot["hot"], "left")
+    rest = rows.where("hot IS NULL").select("doc_id", "fp").join(ids.where(F.col("n") <= HOT_PRINTS).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rest.unionByName(rows.where("hot IS NOT NULL").select("doc_id", "fp", F.col("of_hot").alias("component_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
