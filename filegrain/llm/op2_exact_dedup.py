@@ -8,7 +8,9 @@ shuffle, so a text that fills a third of all rows costs each map task one row.
 
 Texts are equal when identical after each run of white space became one space. Defined results: null text is
 the empty text. Rows that repeat id and text are members each; one of them can be the kept one. A null id is
-kept only if no row with the same text has an id.
+kept only if no row with the same text has an id. Very long texts are hashed and compared whole. An empty table gives
+an empty one. Other columns of docs, whatever their names, are not read. The texts are read twice: for the
+fingerprints, and the suspects' to be compared.
 """
 
 from __future__ import annotations
@@ -77,7 +79,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
     norm = rows.select("doc_id", normalised().alias("norm"))
     prints = norm.select("doc_id", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2(F.encode("norm", "UTF-8"), 256)).alias("sha"))
-    prints = prints.groupBy("doc_id", "fp", "sha").agg(F.count("*").alias("copies"))
+    prints = checkpointed(prints.groupBy("doc_id", "fp", "sha").agg(F.count("*").alias("copies")))
     marked = checkpointed(suspects(prints))
 
     key = F.coalesce("doc_id", F.lit(int(NULL_ID)))

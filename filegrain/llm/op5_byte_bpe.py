@@ -9,7 +9,9 @@ expression runs. Slices feed a cache of merged pairs, whose misses are merged by
 offsets=True the byte offset of each token is retained, so a range of text is decoded from its tokens alone.
 
 Defined results: null text is empty, and has no tokens. Any ids of the vocabulary decode to bytes, which need not
-be valid UTF-8 before they are joined. Rows that repeat an id are rows each.
+be valid UTF-8 before they are joined. Null ids stay null; rows that repeat an id or a text are rows each. Very long
+texts are encoded whole, in a batch of their own. An empty table gives an empty one. Other columns of docs, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
