@@ -12,8 +12,9 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from filegrain.llm import common, op1_substring_dedup, op2_exact_dedup, op3_secrets, op4_line_dedup, op5_byte_bpe, op6_chat, op7_quality, op8_token_files, op9_mixing, op10_simhash
+from filegrain.llm import common, op1_substring_dedup, op2_exact_dedup, op3_secrets, op4_line_dedup, op5_byte_bpe, op6_chat, op7_quality, op8_token_files, op9_mixing, op10_similar, op10_simhash
 
 from .conftest import by_name, hard_rows
 
@@ -131,15 +132,45 @@ def test_op3_against_brute_force(spark):
 def test_op3_models_separate_held_out_tokens(spark):
     model = op3_secrets.train(op3_secrets.labelled_samples(spark))
     score = lambda t: sum(model[ord(a) * 128 + ord(b)] for a, b in zip(t, t[1:])) / (len(t) - 1)  # noqa: E731, B905
-    random = [base64.b64encode(hashlib.md5(str(i).encode()).digest()).decode() for i in range(300)]
-    ordinary = ["understandable-requirement", "get_customer_shipping_address", "electroencephalographically", "AbstractWidgetFactoryProvider", "images/backgrounds/default-large", "Kraftfahrzeughaftpflichtversicherung", "incompatibilidades-profesionales", "the_thing_that_was_there_before"]
-    assert sum(score(t) > op3_secrets.LEAST for t in random) >= 0.97 * len(random)
-    assert not [t for t in ordinary if score(t) > op3_secrets.LEAST]
+    held = op3_secrets.labelled_samples(spark, held_out=True).collect()
+    assert not {r["token"] for r in held} & {r["token"] for r in op3_secrets.labelled_samples(spark).collect() if r["form"] != 10}
+    found = Counter((r["secret"], r["form"]) for r in held if score(r["token"]) > op3_secrets.LEAST)
+    total = Counter((r["secret"], r["form"]) for r in held)
+    share = lambda secret, *forms: sum(found[secret, f] for f in forms) / sum(total[secret, f] for f in forms)
+    assert share(True, *range(7)) >= 0.9 and share(True, 0, 1, 2, 5, 6) >= 0.99
+    assert share(False, *range(12)) <= 0.01 and share(False, 9) <= 0.03 and share(False, 10) <= 0.06  # UUIDs; runs of a character
+    assert all(score(t) < op3_secrets.LEAST for t in ("123e4567-e89b-12d3-a456-426614174000", "ISBN9783161484100EDITION2", "internationalization-and-responsibilities", "Kraftfahrzeughaftpflichtversicherung"))
+
+
+def test_op3_query_matches_brute_force(spark, folder):
+    model = op3_secrets.train(op3_secrets.labelled_samples(spark))
+    score = lambda t: sum(model[ord(a) * 128 + ord(b)] for a, b in zip(t, t[1:])) / (len(t) - 1)  # noqa: E731, B905
+    said = lambda spans: ",".join(f"{op3_secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+    at = f"{folder}/secrets"
+    docs = [(i, t) for i, t in enumerate(SECRET_TEXTS + [t for _, t in texts()])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    got = {r["doc_id"]: r for r in op3_secrets.query(spark, at).collect()}
+    assert len(got) == len(docs)
+    for i, text in docs:
+        text = text or ""
+        base = base_spans(text)
+        more = [(m.start(), 3, m.end()) for m in re.finditer(op3_secrets.TOKEN, text) if re.search("[A-Za-z]", m[0]) and score(m[0]) > op3_secrets.LEAST]
+        spans = sorted(base + [x for x in more if not any(b[0] < x[2] and x[0] < b[2] for b in base)])
+        counts = Counter(k for _, k, _ in base)
+        assert (got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]) == (counts[0], counts[1], counts[2])
+        assert got[i]["base_sha256"] == sha(said(base)) and got[i]["spans"] == said(spans)
+
+
+def test_op3_finds_planted_secrets(spark):
+    rows = op3_secrets.query_planted(spark, "/root/testdata/sf0.001").collect()
+    secrets, others = [r for r in rows if r["secret"]], [r for r in rows if not r["secret"]]
+    assert len(rows) == 200 and sum(r["found"] for r in secrets) >= 0.9 * len(secrets) and sum(r["found"] for r in others) <= 0.03 * len(others)
 
 
 def test_op3_hard_rows(hard, empty, spark):
     assert op3_secrets.scan(empty).count() == 0
-    assert op3_secrets.scan(hard).count() == hard.count()
+    got = Counter((r["doc_id"], tuple((x["start"], x["end"]) for x in r["base"])) for r in op3_secrets.scan(hard).collect())
+    assert got == Counter((r[0], tuple((s, e) for s, _, e in base_spans(r[1] or ""))) for r in hard_rows())
 
 
 def test_op3_stays_native(spark, folder):
@@ -158,15 +189,25 @@ def test_op4_drops_boilerplate_alone(spark):
     rows = [(i, f"own line {i}\n  Subscribe now \nSubscribe now\n\nlast {i}", "a.example" if i < 8 else None, 0) for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, fg_kept int")
     got = {r["doc_id"]: r for r in op4_line_dedup.drop_boilerplate(df, ratio=0.5).collect()}
-    assert got[0]["text"] == "own line 0\n\nlast 0" and got[0]["fg_dropped"] == 2
+    assert got[0]["text"] == "own line 0\n\nlast 0" and got[0]["fg__dropped"] == 2 and got[0]["fg_kept"] == 0
     assert got[9]["text"] == rows[9][1]  # four pages are too few
 
 
-def test_op4_hard_rows(hard, empty, monkeypatch):
+@pytest.mark.parametrize("most", [500_000, -1])
+def test_op4_hard_rows(hard, empty, monkeypatch, most):
     assert op4_line_dedup.drop_boilerplate(empty).count() == 0
-    assert op4_line_dedup.drop_boilerplate(hard).count() == hard.count()
-    monkeypatch.setattr(op4_line_dedup, "BROADCAST_HASHES", -1)
-    assert op4_line_dedup.drop_boilerplate(hard, ratio=0.01, min_pages=1).count() == hard.count()
+    monkeypatch.setattr(op4_line_dedup, "BROADCAST_HASHES", most)
+    strip = lambda x: x.strip(" \t\n\r\x0b\x0c")
+    pages, found, want = Counter(), Counter(), Counter()
+    for r in hard_rows():
+        pages[r[3] or ""] += 1
+        found.update((r[3] or "", x) for x in {strip(x) for x in (r[1] or "").split("\n")} if x)
+    for r in hard_rows():
+        lines = (r[1] or "").split("\n")
+        kept = [x for x in lines if not found[r[3] or "", strip(x)] > 0.3 * pages[r[3] or ""]]
+        want[r[0], "\n".join(kept), len(lines), len(lines) - len(kept), r[7]] += 1
+    got = op4_line_dedup.drop_boilerplate(hard, ratio=0.3, min_pages=1).collect()
+    assert Counter((r["doc_id"], r["text"], r["fg__lines"], r["fg__dropped"], r["fg_slot"]) for r in got) == want
 
 
 # --- 5
@@ -240,7 +281,7 @@ def test_op6_expands_each_reply(spark):
     assert got[1]["turns_sha256"] == sha("".join(f"{r}\n{t or ''}\n" for _, _, r, t, _ in rows[:6])) and got[1]["loss_sha256"] == sha("A<|xB")
     assert got[2]["loss_chars"] == 0 and got[2]["n_turns"] == 1 and got[None]["turns_sha256"] == sha("\n\n") and got[3]["n_turns"] == 2
     assert op6_chat.digests(op6_chat.examples(df.limit(0))).count() == 0
-    parts = op6_chat.examples(df, shared=True)
+    parts = op6_chat.examples(df, most_context=0)
     again = {r["conv_id"]: r for r in op6_chat.digests(parts).collect()}
     for k, r in got.items():
         assert [r[c] for c in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256")] == [again[k][c] for c in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256")]
@@ -248,6 +289,51 @@ def test_op6_expands_each_reply(spark):
     assert "".join(r["formatted"] for r in added) == one[-1]["formatted"] and [r["context_chars"] for r in added] == [0, len(one[0]["formatted"]), len(one[1]["formatted"])]
 
 
+def chat_digest(turns):
+    """(n_turns, turns_sha256, loss_chars, loss_sha256) of a conversation's (role, text) in order."""
+    loss = "".join(t or "" for r, t in turns if r == "assistant")
+    return len(turns), sha("".join(f"{r or ''}\n{t or ''}\n" for r, t in turns)), len(loss), sha(loss)
+
+
+@pytest.mark.parametrize("at", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_op6_query_matches_brute_force(spark, at):
+    turns = defaultdict(list)
+    for r in spark.read.parquet(f"{at}/conversations.parquet").collect():
+        turns[r["conv_id"]].append((r["turn"], r["role"], r["text"]))
+    want = {c: chat_digest([t[1:] for t in sorted(ts, key=lambda t: (t[0], t[1] or "", t[2] or ""))]) for c, ts in turns.items()}
+    want[-1] = chat_digest([("user", op6_chat.ATTACK), ("assistant", op6_chat.ATTACK)])
+    got = op6_chat.query(spark, at).collect()
+    assert {r["conv_id"]: tuple(r)[1:5] for r in got} == want and len(got) == len(want)
+    made = {r["conv_id"]: r["formatted_chars"] for r in got}
+    marks = lambda role: len(f"{op6_chat.OPEN}{role}\n{op6_chat.CLOSE}\n")
+    attack = 2 * len(op6_chat.escape(op6_chat.ATTACK)) + marks("user") + marks("assistant")
+    assert made[-1] == attack
+
+
+def test_op6_null_ids_and_long_conversations(spark, monkeypatch):
+    rows = [(None, k, "user" if k % 2 else "assistant", f"alone {k}") for k in range(50)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = op6_chat.examples(df)
+    assert sum(len(r["formatted"]) for r in made.collect()) < 50 * 60  # no row is another's context
+    got = op6_chat.digests(made).collect()
+    assert Counter((r["n_turns"], r["turns_sha256"]) for r in got) == Counter((1, sha(f"{r}\n{t}\n")) for _, _, r, t in rows)
+    for n in (100, 200):
+        rows = [(7, k, "user" if k % 2 else "assistant", "x" * 50) for k in range(n)]
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        made = op6_chat.examples(df, most_context=1000)
+        assert sum(len(r["formatted"]) for r in made.collect()) < n * 100 + 12 * 1100  # in proportion
+        assert [tuple(r)[1:5] for r in op6_chat.digests(made).collect()] == [chat_digest([(r, t) for _, _, r, t in rows])]
+
+
+def test_op6_context_without_replies_goes_out_in_parts(spark):
+    rows = [(7, k, "user", "y" * (1 << 20)) for k in range(10)] + [(7, 10, "assistant", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = op6_chat.examples(df)
+    found = made.collect()
+    assert len(found) > 1 and max(len(r["formatted"]) for r in found) < 6 << 20
+    assert [tuple(r)[1:5] for r in op6_chat.digests(made).collect()] == [chat_digest([(r, t) for _, _, r, t in rows])]
+
+
 # --- 7
 
 
@@ -271,21 +357,43 @@ def test_op7_base_counts(spark, folder):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_op7_verdict_on_held_out_labels(spark):
+    """References come from one half of the labelled documents again; the other half is judged."""
+    at = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{at}/labels.parquet").withColumn("half", F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 2), 16, 10).cast("int") % 2)
+    docs = spark.read.parquet(f"{at}/documents.parquet").join(labels.select("doc_id", "quality", "half"), "doc_id")
+    again = op7_quality.fit(docs.select("doc_id", "text", "lang"), labels.where("half = 0"))
+    assert sorted(again) == sorted(op7_quality.REFERENCES)
+    for lang, both in again.items():
+        assert all(abs(x - y) < 1e-3 for own, fixed in zip(both, op7_quality.REFERENCES[lang], strict=True) for x, y in zip(own, fixed, strict=True))
+    judged = op7_quality.judged(docs.where("half = 1").select("doc_id", "text", "lang")).join(labels, "doc_id").where("NOT base_failed").collect()
+    bad, good = [r["kept"] for r in judged if not r["quality"]], [r["kept"] for r in judged if r["quality"]]
+    assert len(bad) > 100 and sum(bad) <= 0.08 * len(bad) and len(good) - sum(good) <= 0.002 * len(good)
+
+
 def test_op7_distance_and_verdict(spark):
     import random
 
     r = random.Random(1)
     prose = lambda n: " ".join(r.choice(op7_quality.COMMON["en"]) if r.random() < 0.3 else "".join(r.choices("etaoinshrdlu", k=r.randint(3, 9))) for _ in range(n))
-    rows = [(i, prose(120), "en") for i in range(60)] + [(100, " ".join(w + "%%%$$$" for w in prose(120).split()), "en"), (101, " | ".join("".join(r.choices("etaoin", k=7)) for _ in range(90)), "en"), (102, prose(20), "xx"), (103, prose(80), None)]
+    odd = [(100, " ".join(w + "%%%$$$" for w in prose(120).split()), "en"), (101, " | ".join("".join(r.choices("etaoin", k=7)) for _ in range(90)), "en"), (102, prose(20), "xx"), (103, prose(80), None)]
+    rows = [(i, prose(120), "en") for i in range(60)] + odd
     got = {x["doc_id"]: x for x in op7_quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert [i for i, x in got.items() if not x["kept"]] == [100, 101]
+    alone = {x["doc_id"]: x for x in op7_quality.judged(spark.createDataFrame(odd, "doc_id long, text string, lang string")).collect()}
+    assert all(alone[i] == got[i] for i in alone)  # a verdict doesn't depend on other documents
     p = np.array(op7_quality.measure([rows[0][1]])["chars"][0], float)
-    assert 0 <= got[0]["js_chars"] < 0.1 and p.sum() == len(rows[0][1])
+    assert 0 <= got[0]["js_chars"] < 0.2 and p.sum() == len(rows[0][1])
 
 
 def test_op7_hard_rows(hard, empty):
     assert op7_quality.judged(empty).count() == 0
-    assert op7_quality.judged(hard).count() == hard.count()
+    got = Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in op7_quality.judged(hard).collect())
+    want = Counter()
+    for r in hard_rows():
+        counts = brute_quality(r[1])
+        want[r[0], *counts, counts[0] < 10 or 100 * counts[4] > 20 * counts[0]] += 1
+    assert got == want
 
 
 # --- 8
@@ -315,6 +423,43 @@ def test_op8_words_encode_as_whole_texts(word_library, some):
     assert ids.tolist() == sum(whole, []) and ends.tolist() == np.cumsum([len(x) for x in whole]).tolist()
 
 
+@pytest.fixture(scope="module")
+def other_tokenizers(tmp_path_factory):
+    """Files of vocabularies with other rules: cased words, bytes, and words by white space that keep marks."""
+    import public_tokenizers
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    at = tmp_path_factory.mktemp("tokenizers")
+    cased = Tokenizer(models.WordLevel({"?": 0, "Hello": 1, "hello": 2, "a.": 3, ".": 4, "a": 5, "new\nline": 6}, unk_token="?"))
+    cased.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+    cased.enable_truncation(3)
+    cased.save(f"{at}/cased.json")
+    return {f"{at}/cased.json": 70_000, public_tokenizers.path("byte_bpe_50k.json"): 50_256}
+
+
+@given(st.lists(st.one_of(ODD, st.lists(st.sampled_from(["Hello", "hello", " ", "a.", "new\nline", "A"]), max_size=6).map("".join)), max_size=8))
+@settings(max_examples=60, deadline=None)
+def test_op8_any_vocabulary(other_tokenizers, some):
+    from tokenizers import Tokenizer
+
+    for path, end in other_tokenizers.items():
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        own = op8_token_files.encoder(path, end)
+        ids, ends = own.encode(some)
+        whole = [[*library.encode(t, add_special_tokens=False).ids, end] for t in some]
+        assert ids.tolist() == sum(whole, []) and ends.tolist() == np.cumsum([len(x) for x in whole]).tolist()
+        assert not own.by_words and end < 1 << own.width
+
+
+def test_op8_writes_any_vocabulary(spark, other_tokenizers, tmp_path):
+    path, end = next(iter(other_tokenizers.items()))
+    op8_token_files.write(spark.createDataFrame([(1, "Hello a."), (2, None)], "doc_id long, text string"), f"{tmp_path}/t", tokenizer=path, end_id=end)
+    blocks = [op8_token_files.Block(bytes(r["data"])) for r in spark.read.parquet(f"{tmp_path}/t").collect()]
+    found = {int(d): b.document(k).tolist() for b in blocks for k, d in enumerate(b.doc_ids)}
+    assert found == {1: [1, 3, end], 2: [end]} and all(b.width == 17 for b in blocks)
+
+
 def test_op8_block_random_access():
     r = np.random.default_rng(2)
     for width in (1, 7, 16, 17, 20):
@@ -324,7 +469,7 @@ def test_op8_block_random_access():
         assert (own.document(0) == ids[:10]).all() and not len(own.document(1)) and (own.document(2) == ids[10:]).all()
 
 
-def test_op8_hard_rows(spark, hard, empty, tmp_path):
+def test_op8_hard_rows(spark, hard, empty, tmp_path, word_library):
     for name, df in (("hard", hard), ("empty", empty)):
         op8_token_files.write(df, f"{tmp_path}/{name}", block_ids=500)
         rows = op8_token_files.digests(op8_token_files.read(spark, f"{tmp_path}/{name}")).orderBy("start").collect()
@@ -332,6 +477,9 @@ def test_op8_hard_rows(spark, hard, empty, tmp_path):
         ids = [r["doc_id"] for r in rows]
         assert ids == sorted(ids, key=lambda x: (x is None, x or 0))
         assert [r["start"] for r in rows] == np.cumsum([0, *(r["n_tokens"] for r in rows)])[:-1].tolist()
+        whole = lambda t: [*word_library.encode(t or "", add_special_tokens=False).ids, 2]
+        want = Counter((r["doc_id"], zlib.crc32(struct.pack(f"<{len(x)}I", *x))) for r in df.collect() for x in [whole(r["text"])])
+        assert Counter((r["doc_id"], r["ids_crc32"]) for r in rows) == want
 
 
 # --- 9
@@ -364,17 +512,40 @@ def test_op9_follows_targets(spark):
     for n in range(1, end):
         for s, share in (("a", 5), ("b", 2), ("(rest)", 1)):
             assert abs(sum(x < n for x in slots[s]) - share * n / 8) < 1
-    ordered = [r["fg_slot"] for r in op9_mixing.in_order(mix, 3).collect()]
+    arranged = op9_mixing.Mix(df, {"a": 5, "b": 2}, rest=1, block_chars=500).arranged(part_chars=30_000)
+    ordered = [r["fg_slot"] for r in arranged.collect()]
+    sizes = arranged.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 8 and max(r["count"] for r in sizes) < 3 * 600
     assert ordered == sorted(ordered) and len(ordered) == 6000
 
 
 def test_op9_hard_rows(hard, empty):
-    assert op9_mixing.mixed(empty, op9_mixing.SHARES).count() == 0
-    assert op9_mixing.mixed(hard, op9_mixing.SHARES).count() == hard.count()
+    assert op9_mixing.mixed(empty, op9_mixing.SHARES).count() == 0 and op9_mixing.Mix(empty, op9_mixing.SHARES).arranged().count() == 0
+    rows = op9_mixing.mixed(hard, op9_mixing.SHARES, block_chars=700).collect()
+    assert Counter(tuple(r)[:8] for r in rows) == Counter(hard_rows())
+    streams = defaultdict(list)
+    for r in rows:
+        assert r["fg__stream"] == (r["source"] if r["source"] == "src0" else "src1" if r["source"] == "src1" else "(rest)")
+        streams[r["fg__stream"]].append((r["fg__begin"], len(r["text"] or ""), r["fg__block"], r["fg__slot"]))
+    plan = {(s, i): slot for s, i, slot in op9_mixing.schedule(op9_mixing.SHARES | {"(rest)": 1})}
+    shares = op9_mixing.SHARES | {"(rest)": 1}
+    for s, own in streams.items():
+        at = 0
+        for begin, size, block, slot in sorted(own):
+            assert begin == at and block == begin // 700 and slot == block // shares[s] * sum(shares.values()) + plan[s, block % shares[s]]
+            at += size
     with pytest.raises(ValueError):
         op9_mixing.schedule({"a": 0})
 
 
+def test_op9_does_not_depend_on_the_inputs_order(spark):
+    rows = [(None, "src0", "x" * 9 + str(k)) for k in range(40)] + [(5, "src0", t) for t in ("ab", "ba", "aa")]
+    place = lambda df: {(r["doc_id"], r["text"]): (r["fg_begin"], r["fg_slot"]) for r in op9_mixing.mixed(df, {"src0": 2}, block_chars=30).collect()}
+    schema = "doc_id long, source string, text string"
+    one, other = place(spark.createDataFrame(rows, schema)), place(spark.createDataFrame(rows[::-1], schema).repartition(3))
+    assert one == other and len(one) == 43
+
+
 # --- 10
 
 
@@ -417,7 +588,7 @@ def near_values(seed, n):
     return sorted(set(out))
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
+@pytest.mark.parametrize("hot", [4096, 40, 2])
 def test_op10_links_keep_all_components(spark, monkeypatch, hot):
     monkeypatch.setattr(op10_simhash, "HOT_ROWS", hot)
     values = near_values(3, 400)
@@ -450,8 +621,84 @@ def test_op10_components_of_a_chain(spark):
     assert {r["root"] for r in got.collect()} == {0} and got.count() == 300
 
 
+def test_op10_frequent_fingerprints(hard, monkeypatch):
+    want = Counter(map(tuple, op10_simhash.simhash_components(hard).collect()))
+    monkeypatch.setattr(op10_simhash, "HOT_PRINTS", 1)
+    assert Counter(map(tuple, op10_simhash.simhash_components(hard).collect())) == want
+
+
 def test_op10_hard_rows(hard, empty):
     assert op10_simhash.simhash_components(empty).count() == 0
     rows = op10_simhash.simhash_components(hard).collect()
     assert len(rows) == hard.count()
     assert {r["component_id"] for r in rows if r["doc_id"] in (5, 6, 100)} == {5}
+
+
+# --- names and folders
+
+
+def operators():
+    """Each operator with its general interface, as a function of documents."""
+    return {
+        "op1": op1_substring_dedup.substring_dedup,
+        "op2": op2_exact_dedup.exact_dedup,
+        "op3": lambda d: op3_secrets.scan(d).select("doc_id", "base"),
+        "op4": op4_line_dedup.drop_boilerplate,
+        "op5": op5_byte_bpe.encode,
+        "op6": lambda d: op6_chat.digests(op6_chat.examples(d, "doc_id", "n_chars", "source")),
+        "op7": op7_quality.judged,
+        "op7_rows": op7_quality.kept_rows,
+        "op9": lambda d: op9_mixing.mixed(d, op9_mixing.SHARES),
+        "op9_order": lambda d: op9_mixing.Mix(d, op9_mixing.SHARES).arranged(),
+        "op10": op10_simhash.simhash_components,
+        "op10_similar": op10_similar.one_of_each,
+    }
+
+
+@pytest.mark.parametrize("name", list(operators()))
+def test_names_that_clash(spark, hard, name):
+    """Columns that differ in case alone, and such as operators use themselves."""
+    own = ["text", "doc_id", "fp", "node", "c0", "kept", "fg_slot"]
+    clash = ["Text", "DOC_ID", "FG_slot", "c1", "size", "lang2", "site"]
+    docs = hard.select("doc_id", "text", "lang", "source", "n_chars").dropDuplicates(["doc_id", "text"])
+    more = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate([c for c in own if c not in docs.columns] + clash)])
+    f = operators()[name]
+    want, got = f(docs), f(more)
+    shared = [k for k, c in enumerate(want.columns) if not c.startswith("fg_")]
+    plain = lambda df, at: Counter(str([r[k] for k in at]) for r in df.collect())
+    if set(docs.columns) <= set(want.columns):  # rows whole: the further columns stay
+        assert got.columns[: len(more.columns)] == more.columns
+        assert plain(got, range(5)) == plain(want, range(5))
+    else:
+        assert got.columns == want.columns and plain(got, shared) == plain(want, shared)
+
+
+def test_names_that_clash_in_token_files(spark, hard, tmp_path):
+    op8_token_files.write(hard.withColumnsRenamed({"part": "Text", "key": "DOC_ID"}), f"{tmp_path}/t")
+    assert op8_token_files.digests(op8_token_files.read(spark, f"{tmp_path}/t")).count() == hard.count()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://cluster:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf = {}
+        sparkContext = Context
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
+    Context.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
+    Session.conf = {"spark.checkpoint.dir": "hdfs://x/y/"}
+    assert common.shared_dir(Session) == "hdfs://x/y"
+
+
+def test_scratch_folders_can_go(spark):
+    path = common.scratch(spark, "test")
+    spark.range(3).write.parquet(path)
+    common.removed(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

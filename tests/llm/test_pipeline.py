@@ -9,7 +9,8 @@ import pytest
 import corpus_pipeline
 from filegrain.llm import op4_line_dedup, op7_quality, op9_mixing
 
-from .test_operators import brute_fingerprint, brute_quality, brute_roots
+from .test_operators import brute_quality
+from .test_similar import brute_kept as near_kept
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -43,31 +44,26 @@ def test_columns_stay(stages):
         assert df.columns == COLUMNS
 
 
+def brute_kept(text, lang):
+    """Does a document pass the quality rules? lang has a reference."""
+    n, _, _, _, repeats = brute_quality(text)
+    chars = np.array(op7_quality.measure([text])["chars"][0], float)
+    words = Counter(w.decode() for w in (text or "").encode().lower().split())
+    own = np.array([words[w] for w in op7_quality.COMMON[lang]], float) / max(n, 1)
+    of_chars, of_words = map(np.array, op7_quality.REFERENCES[lang])
+    none = np.zeros(len(of_words))
+    none[-1] = 1
+    d_chars = distance(chars / max(1, chars.sum()), of_chars)
+    d_words = distance(np.append(own, max(0, 1 - own.sum())), of_words) / distance(none, of_words)
+    above = lambda d, limit: d > max(limit[0] / np.sqrt(n), limit[1])
+    if n < 10 or 100 * repeats > 20 * n:
+        return False
+    return n < op7_quality.MIN_WORDS or not (above(d_chars, op7_quality.ALONE) or above(d_chars, op7_quality.BOTH_CHARS) and above(d_words, op7_quality.BOTH_WORDS))
+
+
 def test_quality(stages):
     before, after = rows(stages[0][1]), rows(stages[1][1])
-    common = op7_quality.COMMON
-    shapes = {}
-    for i, r in before.items():
-        n, _, _, _, repeats = brute_quality(r["text"])
-        m = op7_quality.measure([r["text"]])
-        chars = np.array(m["chars"][0], float)
-        words = Counter(w.decode() for w in (r["text"] or "").encode().lower().split())
-        own = np.array([words[w] for w in common[r["lang"]]], float) / max(n, 1)
-        shapes[i] = n, n < 10 or 100 * repeats > 20 * n, chars / max(1, chars.sum()), np.append(own, 1 - own.sum()), r["lang"]
-    reference = {}
-    for lang in common:
-        fit = [s for s in shapes.values() if s[4] == lang and not s[1] and s[0] >= op7_quality.MIN_WORDS]
-        reference[lang] = np.mean([s[2] for s in fit], axis=0), np.mean([s[3] for s in fit], axis=0)
-    kept = set()
-    for i, (n, failed, chars, words, lang) in shapes.items():
-        none = np.zeros(len(words))
-        none[-1] = 1
-        d_chars = distance(chars, reference[lang][0])
-        d_words = distance(words, reference[lang][1]) / distance(none, reference[lang][1])
-        strange = n >= op7_quality.MIN_WORDS and d_chars > op7_quality.MOST_CHARS
-        both = n >= op7_quality.LONG_WORDS and d_chars > op7_quality.BOTH_CHARS and d_words > op7_quality.BOTH_WORDS
-        if not failed and not strange and not both:
-            kept.add(i)
+    kept = {i for i, r in before.items() if brute_kept(r["text"], r["lang"])}
     assert set(after) == kept and 0 < len(kept) < len(before)
     assert all(after[i] == before[i] for i in kept)
 
@@ -79,7 +75,7 @@ def test_lines(stages):
     for r in before.values():
         pages[r["source"]] += 1
         found.update((r["source"], x) for x in {strip(x) for x in r["text"].split("\n")} if x)
-    common = {k for k, n in found.items() if n >= op4_line_dedup.MIN_PAGES and n > op4_line_dedup.RATIO * pages[k[0]]}
+    common = {k for k, n in found.items() if n >= op4_line_dedup.MIN_PAGES and n > op4_line_dedup.SOURCE_RATIO * pages[k[0]]}
     assert set(after) == set(before)
     for i, r in before.items():
         want = "\n".join(x for x in r["text"].split("\n") if (r["source"], strip(x)) not in common)
@@ -87,10 +83,12 @@ def test_lines(stages):
 
 
 def test_near_duplicates(stages):
+    """One document of each group stays: five-word shingles, a similarity of 0.8."""
     before, after = rows(stages[2][1]), rows(stages[3][1])
     ids = sorted(before)
-    roots = brute_roots([brute_fingerprint(before[i]["text"]) for i in ids])
-    assert set(after) == {ids[k] for k, root in enumerate(roots) if k == root} and len(after) < len(before)
+    kept = near_kept([(i, before[i]["text"]) for i in ids])
+    assert set(after) == {ids[k] for k in kept} and len(after) < len(before)
+    assert all(after[i] == before[i] for i in after)
 
 
 def test_mixing(stages):
@@ -134,5 +132,28 @@ def test_hard_and_empty_documents(spark, hard, empty):
         assert out.count() == df.count()
 
 
+def test_each_stage_gets_hard_rows(spark, hard):
+    """Nulls, empty texts, repeats and names that differ in case alone, before each stage."""
+    docs = hard.withColumnsRenamed({"part": "Text", "key": "DOC_ID"})
+    want = Counter(tuple(r) for r in docs.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, None).collect()
+        got = Counter(tuple(r) for r in made) if name != "tokens" else {}
+        if name == "quality":
+            place = docs.columns.index("text"), docs.columns.index("lang")
+            known = {r: n for r, n in want.items() if r[place[1]] in op7_quality.COMMON}
+            assert {r: n for r, n in got.items() if r in known} == {r: n for r, n in known.items() if brute_kept(r[place[0]], r[place[1]])}
+            assert not [r for r in got if not r[place[0]]]
+        elif name == "near_duplicates":
+            texts = [(r[0], r[1]) for r in sorted(want, key=lambda r: (r[0] is None, r[0] or 0))]
+            assert Counter(r[1] or "" for r in got.elements()) == Counter(texts[k][1] or "" for k in near_kept(texts))
+        elif name == "mixing":
+            assert got == want
+        elif name == "lines":
+            assert sum(got.values()) == sum(want.values())
+        else:
+            assert len(made) == sum(want.values()) and all(r["n_tokens"] == len(r["ids"]) for r in made)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
