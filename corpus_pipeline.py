@@ -1,8 +1,11 @@
 """A corpus pipeline over documents: quality, boilerplate lines, near duplicates, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents; other columns of docs stay as they are.
-Defined results: rows are judged each by their own text, also those without a doc_id and those that repeat one.
+one's docs. All but the last return the columns of documents; other columns of docs stay as they are, also such as
+differ from those in case alone. Defined results: rows are judged each by their own text, also those without a doc_id
+and those that repeat one. A null or empty text fails the quality rules; where a stage gets one all the same it has no
+lines to drop, is alike other empty ones, has no size in the mix, and no tokens. Very long texts are handled whole.
+An empty table gives an empty one at each stage.
 """
 
 from __future__ import annotations
@@ -12,8 +15,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filegrain.llm import near, op4_line_dedup, op5_byte_bpe, op7_quality, op9_mixing
-from filegrain.llm.common import checkpointed, parts_for, pick, shared_dir, without
+from filegrain.llm import op4_line_dedup, op5_byte_bpe, op7_quality, op9_mixing, op10_similar
+from filegrain.llm.common import pick, removed, scratch
 
 CORE = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,9 +26,12 @@ def hidden(stage):
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        names = {c: c if c in CORE else f"further{k}" for k, c in enumerate(docs.columns)}
-        out = stage(spark, docs.select(*[F.col(f"`{c}`").alias(own) for c, own in names.items()]), sf_dir)
-        return out.select(*[F.col(own).alias(c) for c, own in names.items()])
+        own = [f"further{k}" for k in range(len(docs.columns))]
+        for c in CORE:
+            if c in docs.columns:
+                own[docs.columns.index(c)] = c
+        out = stage(spark, docs.toDF(*own), sf_dir)
+        return out.select(*[F.col(o).alias(c) for o, c in zip(own, docs.columns, strict=True)])
 
     return run_stage
 
@@ -33,10 +39,7 @@ def hidden(stage):
 @hidden
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    # A verdict follows from text and language, so it is named by them and the id: null and repeated ids are judged by row.
-    named = docs.withColumn("row_key", F.xxhash64(F.col("text").isNull(), "text", F.col("lang").isNull(), "lang", F.col("doc_id").isNull(), "doc_id"))
-    verdicts = op7_quality.judged(named, id_col="row_key")
-    return without(named, checkpointed(verdicts.where(~F.col("kept")).select("doc_id")), "row_key")
+    return op7_quality.kept_rows(docs)
 
 
 @hidden
@@ -49,14 +52,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @hidden
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near duplicates: 0.8 or more of their five-word shingles in common."""
-    return near.one_of_each(docs, words=5, least=0.8)
+    return op10_similar.one_of_each(docs, words=5, least=0.8)
 
 
 @hidden
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of their slots: read in order, the files hold the sources at their target weights."""
-    mix = op9_mixing.mixed(docs, op9_mixing.SHARES)
-    return op9_mixing.in_order(mix, parts_for(docs, "text", 32 << 20)).select(*docs.columns)
+    return op9_mixing.Mix(docs, op9_mixing.SHARES).arranged().select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +66,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Files read again come in any order, so the slots, which follow from the documents alone, are computed again.
     """
-    mix = op9_mixing.mixed(pick(docs, doc_id=("doc_id", "long"), source=("source", "string"), text=("text", "string")), op9_mixing.SHARES)
-    out = op5_byte_bpe.encode(op9_mixing.in_order(mix, parts_for(docs, "text", 32 << 20)), decoded=True)
+    core = pick(docs, doc_id=("doc_id", "long"), source=("source", "string"), text=("text", "string"))
+    out = op5_byte_bpe.encode(op9_mixing.Mix(core, op9_mixing.SHARES).arranged(), decoded=True)
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -76,14 +78,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what is between them is written below the cluster's shared folder."""
-    import uuid
-
-    base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    """All stages over documents. What is between them is written below the cluster's shared folder, and goes once it isn't read any more: the last stage's input when the application ends."""
+    docs, before = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(at := f"{base}/{k}-{name}")
-            docs = spark.read.parquet(at)
+            docs.write.parquet(path := scratch(spark, f"pipeline-{k}-{name}"))
+            docs = spark.read.parquet(path)
+            if before:
+                removed(spark, before)
+            before = path
     return docs
