@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import built  # noqa: F401  its queries join the others
+from .plans import built, sampled  # noqa: F401  their queries join the others
 from .plans.queries import QUERIES, SQL
 
 

@@ -484,14 +484,6 @@ def keywords(spark, sf_dir):
     return R.keyword_counts(T(spark, sf_dir, "documents"), "text", list(KEYWORDS))
 
 
-@query(
-    "r11_removals",
-    "SELECT l_returnflag || l_linestatus AS label, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS bytes, min(l_orderkey) AS first FROM lineitem GROUP BY 1",
-)
-def removals(spark, sf_dir):
-    return T(spark, sf_dir, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("label")).agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("bytes"), F.min("l_orderkey").alias("first"))
-
-
 @query("r14_embedded_union", "SELECT p_partkey AS file_id, 'File' AS section_title, p_name AS v FROM part UNION ALL SELECT ps, 'Embedded file · ' || b, t FROM (SELECT p_size AS ps, p_brand AS b, p_type AS t FROM part)")
 def embedded_union(spark, sf_dir):
     p = T(spark, sf_dir, "part")
