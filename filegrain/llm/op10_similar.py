@@ -213,8 +213,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct, root = groups(docs, id_col, text_col, words, least)
     placed = distinct.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("node"))
-    first = placed.groupBy("root").agg(F.min(order).alias("first"))
-    judged = placed.join(first, "root").select(F.col("doc_id").alias("judged_id"), F.col("node").alias("judged_node"), "n", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))).alias("stays"))
+    # Joined by the rows that stay, one for each group, and not by the group, so that no large group meets in a task.
+    first = placed.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("first_id"), F.col("first.node").alias("first_node"))
+    joined = distinct.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("node") == F.col("first_node")), "left")
+    judged = joined.select(F.col("doc_id").alias("judged_id"), F.col("node").alias("judged_node"), "n", F.col("first_node").isNotNull().alias("stays"))
     judged = checkpointed(judged.where("NOT stays OR n > 1"))
     gone, repeated = judged.where("NOT stays").select("judged_id", "judged_node"), judged.where("stays").select("judged_id", "judged_node")
     size = {r["stays"]: r["k"] for r in judged.groupBy("stays").agg(F.count("*").alias("k")).collect()}
