@@ -77,19 +77,6 @@ def merge_parts(parts: DataFrame, key: str, s: str = "s", e: str = "e", size: st
     return rows.withColumn("fg_reach", reach).withColumn("fg_island", island).groupBy(key, "fg_island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("fg_island")
 
 
-def merge_part_array(parts, size) -> Column:
-    """The same for an array of (s, e) within a row."""
-    kept = F.filter(F.transform(parts, lambda p: F.struct(F.greatest(p["s"], F.lit(0)).alias("s"), F.least(p["e"], size).alias("e"))), lambda p: p["e"] > p["s"])
-    empty = F.slice(kept, F.lit(1), F.lit(0))
-
-    def step(done, p):
-        last = F.get(done, F.size(done) - 1)
-        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], p["e"]).alias("e"))))
-        return F.when((F.size(done) > 0) & (p["s"] <= last["e"]), joined).otherwise(F.concat(done, F.array(p)))
-
-    return F.aggregate(F.array_sort(kept), empty, step)
-
-
 def bytes_read(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a + p["e"] - p["s"])
 

@@ -9,31 +9,82 @@ from ..operators.relational import capped, first_wins
 
 #: Extensions of links that are scanned. Fixed values.
 LINKED = r"(?i)\.(pdf|jpe?g|png|gif|webp|tiff?|heic|heif|avif|svg|docx?|docm|xlsx?|xlsm|pptx?|odt|ods|odp|epub|msg|mp3|m4a|flac|ogg|opus|wav|mp4|mov|m4v|mkv|webm|avi)$"
-KINDS = (
-    ("img", r"""(?i)<img\b[^>]*?\ssrc\s*=\s*["']([^"']+)["'][^>]*>"""),
-    ("media", r"""(?i)<(?:video|audio|source)\b[^>]*?\ssrc\s*=\s*["']([^"']+)["']"""),
-    ("link", r"""(?i)<a\b[^>]*?\shref\s*=\s*["']([^"']+)["']"""),
-    ("bg", r"""(?i)\sstyle\s*=\s*["'][^"']*background[^"']*url\(["']?([^"')]+)["']?\)"""),
-)
+KINDS = ("img", "media", "link", "bg")
 FRAME_LIMIT, SCAN_LIMIT, URL_LIMIT, SMALL = 200, 150, 4096, 48
+#: The rest of a tag after its name; a > in quotes does not end it.
+TAIL = r"""\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
+ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+
+
+def tags(html: Column, names: str) -> Column:
+    """The tags of these names (a|b), in order."""
+    return F.regexp_extract_all(html, F.lit(f"(?i)<(?:{names}){TAIL}"), F.lit(0))
+
+
+def unescaped(value: Column) -> Column:
+    for name, char in ENTITIES:
+        value = F.replace(value, F.lit(name), F.lit(char))
+    return value
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """A tag's attribute, quoted or not, without entities; null without one."""
+    at = rf"""(?i)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    found = F.coalesce(*[F.nullif(F.regexp_extract(tag, at, k), F.lit("")) for k in (1, 2, 3)])
+    return F.nullif(F.trim(unescaped(found)), F.lit(""))
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its . and .. segments."""
+    step = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    parts = F.split(F.regexp_replace(path, r"/\.{1,2}$", "$0/"), "/")
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), step)
+    return F.when(F.contains(path, F.lit("/.")), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
 
 
 def absolute(base: Column, ref: Column) -> Column:
-    """A reference resolved against a page's URL: absolute, host-relative, or relative to its folder. Fragments stay."""
+    """A reference resolved against a URL: absolute, host-relative, or relative to its folder. Fragments stay."""
     scheme, host = F.regexp_extract(base, r"^(\w+):", 1), F.regexp_extract(base, r"^(\w+://[^/?#]+)", 1)
-    folder = F.regexp_extract(base, r"^(\w+://[^/?#]+(?:/[^?#]*/|/)?)", 1)
-    folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
-    return F.when(ref.rlike(r"^[A-Za-z][\w+.-]*:"), ref).when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref)).when(ref.startswith("/"), F.concat(host, ref)).otherwise(F.concat(folder, ref))
+    folder = F.regexp_extract(base, r"^\w+://[^/?#]+(/[^?#]*/|/)?", 1)
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    whole = F.when(ref.startswith("/"), ref).when(ref.rlike("^[?#]"), F.concat(F.regexp_extract(base, r"^\w+://[^/?#]+([^?#]*)", 1), ref)).otherwise(F.concat(folder, ref))
+    path, rest = F.regexp_extract(whole, r"^([^?#]*)", 1), F.regexp_extract(whole, r"^[^?#]*(.*)$", 1)
+    return F.when(ref.rlike(r"^[A-Za-z][\w+.-]*:"), ref).when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref)).otherwise(F.concat(host, without_dots(path), rest))
+
+
+def _images(html: Column) -> Column:
+    size = lambda t, name: F.regexp_extract(F.coalesce(attribute(t, name), F.lit("")), r"^\d+", 0).try_cast("int")
+    large = F.filter(tags(html, "img"), lambda t: large_enough(size(t, "width"), size(t, "height")))
+    return F.transform(large, lambda t: F.coalesce(attribute(t, "src"), F.regexp_extract(attribute(t, "srcset"), r"^\s*([^\s,]+)", 1)))
+
+
+def _media(html: Column) -> Column:
+    """Sources of players, and those inside them; other <source> tags belong to pictures."""
+    players = F.regexp_extract_all(html, F.lit(r"(?is)<(?:video|audio)\b.*?(?=</(?:video|audio)\b|$)"), F.lit(0))
+    return F.transform(F.flatten(F.transform(players, lambda p: tags(p, "video|audio|source"))), lambda t: attribute(t, "src"))
+
+
+def _links(html: Column) -> Column:
+    return F.transform(tags(html, "a"), lambda t: attribute(t, "href"))
+
+
+def _backgrounds(html: Column) -> Column:
+    styles = F.transform(tags(html, r"[a-z][a-z0-9]*(?=\s[^>]*style)"), lambda t: attribute(t, "style"))
+    return F.transform(styles, lambda s: F.nullif(F.regexp_extract(s, r"""(?i)background[^;]*?url\(["']?([^"')]+)["']?\)""", 1), F.lit("")))
+
+
+FINDERS = dict(zip(KINDS, (_images, _media, _links, _backgrounds), strict=True))
 
 
 def references(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", kinds=KINDS) -> DataFrame:
-    """key, kind, ord, ref, tag, url of what pages refer to; kinds in their order, each in the order of the page."""
-    def of(n: int, kind: str, pattern: str) -> Column:
-        refs = F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1))
-        return F.transform(refs, lambda r, i: F.struct(F.lit(kind).alias("kind"), (F.lit(n * 1_000_000) + i).alias("ord"), r.alias("ref")))
+    """key, kind, ord, ref, url of what pages refer to; kinds in their order, each in the order of the page. A <base> counts."""
+
+    def of(n: int, kind: str) -> Column:
+        return F.transform(FINDERS[kind](F.col(html)), lambda r, i: F.struct(F.lit(kind).alias("kind"), (F.lit(n << 40) + i).alias("ord"), r.alias("ref")))
 
-    found = F.flatten(F.array(*[of(n, kind, pattern) for n, (kind, pattern) in enumerate(kinds)]))
-    rows = pages.select(key, F.col(url).alias("base"), F.explode(found).alias("x"))
+    found = F.flatten(F.array(*[of(KINDS.index(kind), kind) for kind in kinds]))
+    base = F.coalesce(absolute(F.col(url), attribute(F.get(tags(F.col(html), "base"), F.lit(0)), "href")), F.col(url))
+    rows = pages.select(key, base.alias("base"), F.explode(found).alias("x")).where("x.ref IS NOT NULL")
     return rows.select(key, "x.kind", "x.ord", "x.ref", absolute(F.col("base"), F.col("x.ref")).alias("url"))
 
 
@@ -45,8 +96,8 @@ def scanned(items: DataFrame) -> DataFrame:
 
 def large_enough(width, height) -> Column:
     """Images below 48 pixels on both sides are left out; unknown sizes stay."""
-    w, h = F.coalesce(width, F.lit(0)), F.coalesce(height, F.lit(0))
-    return ~((w > 0) & (w < SMALL) & (h < SMALL))
+    small = lambda n: F.coalesce((n > 0) & (n < SMALL), F.lit(False))
+    return ~(small(width) & small(height))
 
 
 def page_items(pages: DataFrame, key: str = "page_id", only_files: bool = True, most: int = FRAME_LIMIT) -> DataFrame:
