@@ -18,7 +18,7 @@ from ..operators.cleaning import svg_text
 from ..operators.extract.pdf import PAPER
 from ..operators.extraction import extract, metadata_rows
 from ..sources import pages as P
-from ..sources.plan import planned
+from ..sources.plan import planned, planned_boxes
 from ..sources.store import unexpired
 from ..streaming.tabs import is_media, run_to_table, tab_state
 
@@ -163,6 +163,24 @@ def scan_plan(spark, sf_dir):
     return f.select("o_orderkey", "type", "size", R.bytes_read(F.col("parts")).alias("bytes_planned"), F.when(F.col("parts").isNotNull(), F.size("parts")).alias("n_parts"))
 
 
+@query(
+    "s13_box_plan",
+    """WITH b AS (SELECT l_orderkey, l_linenumber, ['ftyp', 'moov', 'mdat', 'free', 'uuid', 'abcd'][1 + l_partkey % 6] AS name, CAST(CASE WHEN l_partkey % 7 = 0 THEN 16 ELSE l_quantity * l_partkey * 9000 + 8 END AS BIGINT) AS n, l_orderkey % 2 = 0 AS still FROM lineitem),
+    p AS (SELECT *, n <= CASE WHEN name IN ('ftyp', 'moov', 'uuid') THEN 67108864 WHEN name IN ('mdat', 'free') THEN -1 ELSE 1048576 END AS small FROM b)
+    SELECT l_orderkey, count_if(still OR small AND n > 16) AS n_parts, CAST(coalesce(sum(CASE WHEN small AND (still OR n > 16) THEN n WHEN still THEN 8 END), 0) AS BIGINT) AS bytes_planned FROM p GROUP BY l_orderkey""",
+)
+def box_plan(spark, sf_dir):
+    """Each order as a file of ISO media whose boxes are its lines."""
+    names = F.array(*map(F.lit, ("ftyp", "moov", "mdat", "free", "uuid", "abcd")))
+    size = F.when(F.col("l_partkey") % 7 == 0, F.lit(16)).otherwise(F.col("l_quantity") * F.col("l_partkey") * 9000 + 8).cast("long")
+    rows = T(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", F.get(names, (F.col("l_partkey") % 6).cast("int")).alias("name"), size.alias("n")).alias("b"))
+    files = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("b")).alias("b"))  # an order has seven lines at most
+    ends = F.aggregate("b", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["n"])))
+    boxes = F.zip_with(F.col("b"), F.slice("ends", 1, F.size("b")), lambda x, s: F.struct(x["name"].alias("name"), s.alias("s"), (s + x["n"]).alias("e"), F.lit(8).alias("head")))
+    out = files.withColumn("ends", ends).withColumn("parts", planned_boxes(boxes, F.col("l_orderkey") % 2 == 0))
+    return out.select("l_orderkey", F.size("parts").cast("long").alias("n_parts"), R.bytes_read(F.col("parts")).alias("bytes_planned"))
+
+
 PARTS_SQL = "SELECT l_orderkey AS file, CAST(l_partkey % 500 - 20 AS BIGINT) AS s, CAST(l_partkey % 500 - 20 + l_quantity * 3 AS BIGINT) AS e, CAST(450 AS BIGINT) AS size FROM lineitem"
 
 
