@@ -26,25 +26,36 @@ class Part(NamedTuple):
     end: int
 
 
-def jpeg_parts(b: bytes, most: int = 5000) -> Iterator[Part]:
-    """Marker segments up to the scan or the end of the image; kind is the marker."""
+#: In a scan's data a marker byte is followed by zero, or numbers a restart.
+SCAN_END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]", re.S)
+SCAN, END = 0xDA, 0xD9
+#: Markers without a length.
+ALONE = (1, 0xD8, *range(0xD0, 0xD8))
+
+
+def jpeg_parts(b: bytes, most: int = 5000, scans: bool = False) -> Iterator[Part]:
+    """Marker segments; kind is the marker. They end at the first scan, or with scans=True at the image's end: a scan's part has its data then."""
     at = 2
     for _ in range(most):
-        while at + 1 < len(b) and b[at] == 0xFF and b[at + 1] == 0xFF:
+        while b[at : at + 2] == b"\xff\xff":
             at += 1
-        if at + 4 > len(b) or b[at] != 0xFF:
+        if at + 2 > len(b) or b[at] != 0xFF:
             return
         marker = b[at + 1]
-        if marker in (0xD9, 0xDA):
+        if marker in (SCAN, END) and not scans:
             return
-        if marker in (1, 0xD8) or 0xD0 <= marker <= 0xD7:
-            at += 2
-            continue
-        size = be(b, at + 2, 2)
-        if size < 2 or at + 2 + size > len(b):
+        size = 0 if marker in (*ALONE, END) else be(b, at + 2, 2)
+        end = at + 2 + size
+        if end > len(b) or marker not in (*ALONE, END) and size < 2:
             return
-        yield Part(marker, at, at + 4, at + 2 + size)
-        at += 2 + size
+        if marker == SCAN:
+            m = SCAN_END.search(b, end)
+            end = m.start() if m else len(b)
+        if scans or marker not in ALONE:
+            yield Part(marker, at, min(at + 4, end), end)
+        if marker == END:
+            return
+        at = end
 
 
 def segment_kind(marker: int, body: bytes) -> str:
