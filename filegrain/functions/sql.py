@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -23,17 +24,30 @@ SCALARS = {
     "base_name": ("name STRING", native.base_name),
 }
 ROWS = "section_id string, section_title string, k string, v string, s boolean"
+OF_FILES = f"file_id string, {ROWS}"
+
+
+def _rows(content: bytes | None) -> list[dict]:
+    from ..operators.extraction import analyse
+
+    return [{"section_id": x["id"], "section_title": x["title"], **{c: r[c] for c in ("k", "v", "s")}} for x in analyse(content or b"", {})["sections"] for r in x["rows"]]
 
 
 class ExtractMetadata:
-    """extract_metadata(content): a row for each row of the file's report."""
+    """extract_metadata(content), in a LATERAL join: a row for each row of the file's report. Spark has no Arrow form there."""
 
     def eval(self, content):
-        from ..operators.extraction import analyse
+        for r in _rows(content):
+            yield tuple(r.values())
+
+
+class ExtractFiles:
+    """extract_files(TABLE(SELECT file_id, content ...)): the same for a table of files, in Arrow batches."""
 
-        for section in analyse(content or b"", {})["sections"]:
-            for r in section["rows"]:
-                yield section["id"], section["title"], r["k"], r["v"], r["s"]
+    def eval(self, batch):
+        schema = pa.schema([(c, pa.string()) for c in ("file_id", "section_id", "section_title", "k", "v")] + [("s", pa.bool_())])
+        for name, content in zip(batch.column("file_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            yield pa.Table.from_pylist([{"file_id": name, **r} for r in _rows(content)], schema=schema)
 
 
 def register(spark: SparkSession) -> list[str]:
@@ -48,4 +62,5 @@ def register(spark: SparkSession) -> list[str]:
             body = body.replace(f"`{n}`", n)
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
     spark.udtf.register("extract_metadata", F.udtf(ExtractMetadata, returnType=ROWS))
-    return [*SCALARS, "extract_metadata"]
+    spark.udtf.register("extract_files", F.arrow_udtf(ExtractFiles, returnType=OF_FILES))
+    return [*SCALARS, "extract_metadata", "extract_files"]

@@ -13,3 +13,9 @@ def test_sql_functions(spark):
     assert "Python" not in r._jdf.queryExecution().executedPlan().toString()
     rows = spark.sql("SELECT x.k, x.v FROM sql_files, LATERAL extract_metadata(content) x WHERE x.k = 'Make'").collect()
     assert [tuple(x) for x in rows] == [("Make", "Optika")]
+    files = spark.createDataFrame([(n, bytearray(FILES[n])) for n in ("a.jpg", "c.webp", "s.svg")] + [("none", None)], "file_id string, content binary")
+    files.repartition(2).createOrReplaceTempView("sql_more")
+    makes = spark.sql("SELECT f.file_id, x.v FROM sql_more f, LATERAL extract_metadata(f.content) x WHERE x.k = 'Make'").collect()
+    assert sorted(map(tuple, makes)) == [("a.jpg", "Optika"), ("c.webp", "Optika")]
+    titles = spark.sql("SELECT file_id, v FROM extract_files(TABLE(SELECT file_id, content FROM sql_more)) WHERE k IN ('title', 'Model')").collect()
+    assert sorted(map(tuple, titles)) == [("a.jpg", "Model M5"), ("c.webp", "Model M5"), ("s.svg", "T & t")]
