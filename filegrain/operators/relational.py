@@ -6,6 +6,7 @@ Grouped answers combine before their shuffle; a hot key costs each map task one
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -140,17 +141,27 @@ def field_search(rows: DataFrame, query: str) -> DataFrame:
 SEPARATORS = r"( · | — | / |: |, )"
 
 
-def translated(text, exact: dict[str, str], patterns: list[tuple[str, str]]) -> Column:
-    """A dictionary look-up: the whole text, else the first pattern that matches, else its parts between separators, else unchanged."""
+def translated(text, exact: dict[str, str], patterns: list[tuple[str, str | Callable[[Column], Column]]]) -> Column:
+    """A dictionary look-up: the whole text, else the first pattern that matches, else its parts between separators, else unchanged.
+
+    A pattern's value is a replacement, or a function of the text.
+    """
     c = F.col(text) if isinstance(text, str) else text
     words = F.create_map(*[F.lit(x) for kv in exact.items() for x in kv]) if exact else None
     known = words[c] if words is not None else F.lit(None).cast("string")
-    by_pattern = reduce(lambda rest, p: F.when(c.rlike(p[0]), F.regexp_replace(c, p[0], p[1])).otherwise(rest), reversed(patterns), F.lit(None).cast("string"))
+    value = lambda p: p[1](c) if callable(p[1]) else F.regexp_replace(c, p[0], p[1])
+    by_pattern = reduce(lambda rest, p: F.when(c.rlike(p[0]), value(p)).otherwise(rest), reversed(patterns), F.lit(None).cast("string"))
     parts = F.split(F.regexp_replace(c, SEPARATORS, "\x01$1\x01"), "\x01")
     joined = F.array_join(F.transform(parts, lambda x: F.coalesce(words[x], x) if words is not None else x), "")
     return F.coalesce(known, by_pattern, F.when(c.rlike(SEPARATORS), joined), c)
 
 
+def language(preference, ui_language, known: list[str], source: str = "tr", fallback: str = "en") -> Column:
+    """The language to show: what is preferred, if there is a dictionary for it or it is the texts' own; else by the surface's language."""
+    detected = F.when(F.coalesce(ui_language, F.lit("")).rlike(rf"(?i)^{source}\b"), source).otherwise(fallback)
+    return F.when(preference.isNull() | (preference == "auto") | (preference == ""), detected).when(preference.isin(source, *known), preference).otherwise(fallback)
+
+
 def filled(template, values) -> Column:
     """A template's {} in order, or {0} by place; null is empty."""
     v = values

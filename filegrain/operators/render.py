@@ -14,6 +14,19 @@ COLORS = {"danger": "#c92a2a", "warn": "#a35b00", "info": "#1f5fa8"}
 COLLAPSED = ("http", "icc", "exif-ifd1", "exif-interop", "isobmff")
 
 
+#: A page, cut where a report's own parts go.
+PAGE = (
+    '<!doctype html><html lang="en"><head><meta charset="utf-8"><title>',
+    "</title><style>body{font:14px sans-serif;max-width:960px;margin:24px auto}table{width:100%;border-collapse:collapse}td{border-top:1px solid #e6e6e3;padding:4px 8px;white-space:pre-wrap}tr.s td{background:#fff4d6}</style></head><body><h1>",
+    '</h1><div class="sub">',
+    " · ",
+    "</div><p>",
+    "</p>",
+    "<footer>",
+    " UTC · yellow rows may be sensitive</footer></body></html>",
+)
+
+
 def as_text(info="info", flags="flags", gps="gps", sections="sections") -> Column:
     i, g = F.col(info), F.col(gps)
     head = F.concat(F.coalesce(i["name"], F.lit("")), F.lit(" — "), F.coalesce(i["type_label"], F.lit("")))
@@ -39,26 +52,8 @@ def as_html(at) -> Column:
     picture = F.when(F.col("thumbnail").isNull(), "").otherwise(F.concat(F.lit('<p><img alt="embedded thumbnail" src="data:image/'), F.when(F.hex(F.substring("thumbnail", 1, 4)) == "89504E47", "png").otherwise("jpeg"), F.lit(";base64,"), F.base64("thumbnail"), F.lit('"></p>')))
     warnings = F.array_join(F.transform("warnings", lambda w: F.concat(F.lit('<p class="sub">⚠ '), e(w), F.lit("</p>"))), "")
     title = F.coalesce(i["title"], i["name"], F.lit("File"))
-    return F.concat(
-        F.lit('<!doctype html><html lang="en"><head><meta charset="utf-8"><title>'),
-        e(title),
-        F.lit("</title><style>body{font:14px sans-serif;max-width:960px;margin:24px auto}table{width:100%;border-collapse:collapse}td{border-top:1px solid #e6e6e3;padding:4px 8px;white-space:pre-wrap}tr.s td{background:#fff4d6}</style></head><body><h1>"),
-        e(title),
-        F.lit('</h1><div class="sub">'),
-        e(i["type_label"]),
-        F.lit(" · "),
-        native.size_text(i["size"]),
-        F.lit("</div><p>"),
-        chips,
-        F.lit("</p>"),
-        map_,
-        picture,
-        warnings,
-        tables,
-        F.lit("<footer>"),
-        e(at),
-        F.lit(" UTC · yellow rows may be sensitive</footer></body></html>"),
-    )
+    parts = (PAGE[0], e(title), PAGE[1], e(title), PAGE[2], e(i["type_label"]), PAGE[3], native.size_text(i["size"]), PAGE[4], chips, PAGE[5], map_, picture, warnings, tables, PAGE[6], e(at), PAGE[7])
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
 
 
 def csv_line(columns) -> Column:

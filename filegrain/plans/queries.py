@@ -19,8 +19,10 @@ from ..operators.extract.pdf import PAPER
 from ..operators.extraction import extract, metadata_rows
 from ..sources import pages as P
 from ..sources.plan import planned, planned_boxes
+from ..sources.shared import scratch
 from ..sources.store import unexpired
-from ..streaming.tabs import is_media, run_to_table, tab_state
+from ..streaming.tabs import badges as badges_of
+from ..streaming.tabs import is_media, progressive, run_to_table, tab_state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,9 +53,9 @@ RULES = (
 )
 
 
-def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, flags of each document."""
-    d = T(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars")
+def flagged(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
+    """doc_id, source, flags of each document; of a stream, if one is given."""
+    d = (T(spark, sf_dir, "documents") if documents is None else documents).select("doc_id", "source", "text", "n_chars")
     flags = F.filter(F.array(*[F.when(F.col("text").rlike(p), F.struct(F.lit(c).alias("code"), F.lit(v).alias("level"), F.lit(t).alias("text"))) for c, v, t, p in RULES]), lambda f: f.isNotNull())
     return d.withColumn("flags", flags)
 
@@ -66,9 +68,9 @@ SEVERITY = " + ".join(f"CASE WHEN {_hit(i)} THEN {dict(danger=100, warn=10, info
 FLAG_TEXTS = "list_filter([" + ", ".join(f"CASE WHEN {_hit(i)} THEN '{RULES[i][2]}' END" for i in range(len(RULES))) + "], lambda x: x IS NOT NULL)"
 
 
-def as_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_reports(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
     """Documents in the shape of reports."""
-    d = flagged(spark, sf_dir)
+    d = flagged(spark, sf_dir, documents)
     info = F.struct(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), F.lit("Text").alias("type_label"), F.col("n_chars").alias("size"), F.lit(None).cast("string").alias("title"))
     gps = F.when(F.col("doc_id") % 7 == 0, F.struct((F.col("doc_id") % 90).cast("int").alias("lat"), (F.col("doc_id") % 180).cast("int").alias("lon"), F.lit(None).cast("double").alias("alt")))
     row = lambda k, v: F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"), F.lit(False).alias("s"))
@@ -270,6 +272,21 @@ def escape_html(spark, sf_dir):
     return T(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(N.escape_html("text"), "UTF-8")).alias("escaped"))
 
 
+_CHIPS = " || ".join(f"""CASE WHEN {_hit(i)} THEN '<span class="flag" style="color:{render.COLORS[RULES[i][1]]};border-color:{render.COLORS[RULES[i][1]]}">{RULES[i][2]}</span>' ELSE '' END""" for i in range(len(RULES)))
+_SIZE = "CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', floor(n_chars / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n_chars / 1048576.0 * 10 + 0.5) / 10) END"
+_P = [f"'{x}'" for x in render.PAGE]
+
+
+@query(
+    "k02_html_report",
+    f"""SELECT doc_id AS item_seq, md5(concat({_P[0]}, 'doc-', doc_id, {_P[1]}, 'doc-', doc_id, {_P[2]}, 'Text', {_P[3]}, {_SIZE}, {_P[4]}, {_CHIPS}, {_P[5]},
+      CASE WHEN doc_id % 7 = 0 THEN '<p><b>GPS:</b> ' || (doc_id % 90) || ', ' || (doc_id % 180) || '</p>' ELSE '' END,
+      '<h2>File</h2><table><tr><td>Size</td><td>', n_chars, '</td></tr><tr><td>Source</td><td>', source, '</td></tr></table>', {_P[6]}, 'now', {_P[7]})) AS page FROM documents""",
+)
+def html_report(spark, sf_dir):
+    return as_reports(spark, sf_dir).select("item_seq", F.md5(F.encode(render.as_html(F.lit("now")), "UTF-8")).alias("page"))
+
+
 GPS_SQL = "CASE WHEN doc_id % 7 = 0 THEN 'GPS: ' || (doc_id % 90) || ', ' || (doc_id % 180) END"
 
 
@@ -591,6 +608,19 @@ def translate(spark, sf_dir):
     return T(spark, sf_dir, "documents").select("doc_id", R.translated(said, EXACT, [(r"^(\d+) sayfa$", "$1 pages")]).alias("said"))
 
 
+@query(
+    "f23_language",
+    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN CASE WHEN c_nationkey % 3 = 0 THEN 'tr' ELSE 'en' END WHEN 1 THEN 'tr' WHEN 2 THEN 'de' ELSE 'en' END AS lang,
+      CASE WHEN c_custkey % 2 = 0 THEN 'Name of ' || upper(c_mktsegment) ELSE c_name END AS said FROM customer""",
+)
+def shown_language(spark, sf_dir):
+    pick = lambda xs, k: F.get(F.array(*map(F.lit, xs)), (F.col(k) % len(xs)).cast("int"))
+    lang = R.language(pick(("auto", "tr", "de", "xx"), "c_custkey"), pick(("tr-TR", "en-US", "fr"), "c_nationkey"), ["en", "de"])
+    said = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Ad: "), "c_mktsegment")).otherwise(F.col("c_name"))
+    own = R.translated(said, {"Ad": "Name"}, [("^Ad: ", lambda c: F.concat(F.lit("Name of "), F.upper(F.substring(c, 5, 100))))])
+    return T(spark, sf_dir, "customer").select("c_custkey", lang.alias("lang"), own.alias("said"))
+
+
 @query("f23_fill", "SELECT c_custkey, c_name || ' of ' || c_mktsegment || ' (' || c_name || ')' AS said FROM customer")
 def fill(spark, sf_dir):
     v = F.array("c_name", "c_mktsegment", "c_name")
@@ -625,11 +655,39 @@ def tabs(spark, sf_dir):
 
 @query("w01_tab_state_stream", SQL["w01_tab_state"])
 def tabs_stream(spark, sf_dir):
-    path = f"{sf_dir.rstrip('/')}/events.parque[t]"  # a pattern: a stream's path may not be a single file
-    events = spark.readStream.schema(T(spark, sf_dir, "events").schema).parquet(path)
+    events = _stream(spark, sf_dir, "events")
     return run_to_table(tab_state(_tab_events(spark, sf_dir, events).withColumn("at", F.struct("ts", "event_id")), "at"))
 
 
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream. The path is a pattern, since a stream's may not be a single file."""
+    return spark.readStream.schema(T(spark, sf_dir, name).schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
+
+
+@query("w02_badge_stream", SQL["k07_badge"].replace("SELECT doc_id,", "SELECT doc_id AS tab_id,", 1))
+def badge_stream(spark, sf_dir):
+    mimes = F.array(*map(F.lit, ("image/png", "application/pdf", "video/mp4", "audio/mpeg")))
+    results = flagged(spark, sf_dir, _stream(spark, sf_dir, "documents"))
+    return run_to_table(badges_of(results.select(F.col("doc_id").alias("tab_id"), F.get(mimes, (F.col("doc_id") % 4).cast("int")).alias("mime"), "flags")), "append")
+
+
+@query("w04_progressive", SQL["r03_rank"].replace("doc_id, severity,", "doc_id AS item_seq, severity,", 1))
+def progressive_ranks(spark, sf_dir):
+    """Ranks of the results of a stream, as its last batch shows them; its summary has to count as many."""
+    base = scratch(spark, "progress")
+
+    def show(rows: DataFrame, summary: DataFrame, number: int) -> None:
+        rows.select("item_seq", "severity").limit(100).write.mode("overwrite").parquet(f"{base}/rows")
+        summary.write.mode("overwrite").parquet(f"{base}/summary")
+
+    progressive(as_reports(spark, sf_dir, _stream(spark, sf_dir, "documents")), show, f"{base}/checkpoint").awaitTermination()
+    from pyspark.sql import Window
+
+    ranks = spark.read.parquet(f"{base}/rows").withColumn("place", F.row_number().over(Window.orderBy(F.desc("severity"), "item_seq")).cast("long"))  # 100 rows
+    counted = spark.read.parquet(f"{base}/summary").first()
+    return ranks.where(F.col("place") <= counted["total"])
+
+
 @query("s16_media_events", f"SELECT event_id, mime FROM ({EVENT_SQL}) WHERE mime <> 'text/html'")
 def media_events(spark, sf_dir):
     return _tab_events(spark, sf_dir).where(is_media("mime")).select("event_id", "mime")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import native
 from ..operators.relational import ranked, scan_summary
+from ..sources.shared import scratch
 
 MEDIA = r"^(image/|video/|audio/|application/(x-)?pdf)"
 
@@ -42,24 +42,17 @@ def progressive(results: DataFrame, show: Callable[[DataFrame, DataFrame, int],
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for shared files; a temporary one only where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="filegrain-")
-
-
 def run_to_table(changing: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a streaming DataFrame over all that is available now, and return its last result as a table."""
+    """Run a streaming DataFrame over all that is available now, and return its result as a table: the last one, or with mode append all rows.
+
+    A batch that is repeated writes its own folder again, so no row comes twice.
+    """
     spark = changing.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/result")
+        batch.write.mode("overwrite").parquet(f"{base}/result/batch={number if mode == 'append' else 0}")
 
     writer = changing.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(changing.schema).parquet(f"{base}/result")
+    return spark.read.schema(changing.schema).parquet(f"{base}/result").select(*changing.columns)
