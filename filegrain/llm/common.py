@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-import re
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import removed, scratch, shared_dir  # noqa: F401
+
 #: White space that ends a word. bytes.split() without arguments splits at exactly these.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Stands for a null id where ids are compared: a null id is never the smaller one.
@@ -89,36 +89,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for shared files. Only a local master, whose one process has one disk, may go without."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors reach")
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="filegrain-")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. What is written there goes when the application ends, or by removed()."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    files, at_ = _files(spark, path)
-    files.deleteOnExit(at_)
-    return path
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    files, at_ = _files(spark, path)
-    files.delete(at_, True)
-
-
-def _files(spark: SparkSession, path: str):
-    at_ = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at_.getFileSystem(spark._jsc.hadoopConfiguration()), at_
-
-
 def pack(values: np.ndarray, width: int) -> bytes:
     """Unsigned integers in width bits each, lowest bit first, without gaps."""
     if width in (8, 16, 32, 64):
