@@ -224,8 +224,8 @@ def _bucket_links(most: int):
 
 
 def near_links(nodes: DataFrame) -> DataFrame:
-    """a < b: links between distinct fingerprints (column fp) that join the same rows as all links do."""
-    keyed = _keys(checkpointed(nodes))
+    """a < b: links between distinct fingerprints (column fp of nodes, which are read twice) that join the same rows as all links do."""
+    keyed = _keys(nodes)
     met = checkpointed(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(HOT_ROWS), "a long, b long, key long"))
     again = _deal_again(met.where("key IS NOT NULL").select("key", F.col("a").alias("fp")))
     return met.where("key IS NULL").select("a", "b").unionByName(again.groupBy("key", "sub").applyInArrow(_links, "a long, b long")).distinct()
@@ -257,7 +257,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     member = components(near_links(nodes.select("fp")))
     placed = nodes.join(member, nodes["fp"] == member["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n")
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = checkpointed(placed.join(smallest, "root").select("fp", "component_id", "n"))
+    ids = placed.join(smallest, "root").select("fp", "component_id", "n")
+    if nodes.where(F.col("n") > HOT_PRINTS).isEmpty():
+        return prints.join(ids.drop("n"), "fp").select("doc_id", "fp", "component_id")
     hot = ids.where(F.col("n") > HOT_PRINTS).select(F.col("fp").alias("hot"), F.col("component_id").alias("of_hot"))
     rows = prints.join(F.broadcast(hot), prints["fp"] == hot["hot"], "left")
     rest = rows.where("hot IS NULL").select("doc_id", "fp").join(ids.where(F.col("n") <= HOT_PRINTS).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

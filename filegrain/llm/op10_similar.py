@@ -177,7 +177,7 @@ def similar_pairs(lists: pa.ListArray, label: np.ndarray, least: float) -> list[
 
 
 def _among(df: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows of df whose node is among asked (checkpointed)."""
+    """Rows of df whose node is among asked (cheap to read: it is counted first)."""
     return df.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, "node", "left_semi")
 
 
@@ -190,7 +190,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(distinct.count() / KEYED_ROWS))
     keyed = nodes.select(F.explode("keys").alias("key"), "node", "size").repartition(parts, "key").sortWithinPartitions("key", "node")
     buckets = checkpointed(keyed.mapInArrow(_pivots, "key long, node long, size long, pivot long, pivot_size long"))
-    sets = checkpointed(_sets(_among(rows, checkpointed(buckets.select("node").distinct())), words))
+    sets = checkpointed(_sets(_among(rows, buckets.select("node").distinct()), words))
     pairs = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).where(F.least("size", "pivot_size") >= least * F.greatest("size", "pivot_size") - 1e-9).distinct()
     both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
     star = checkpointed(both.where(F.col("common") >= least * (F.size("of_a") + F.size("of_b") - F.col("common")) - 1e-9).select("a", "b"))
@@ -198,7 +198,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     labels = star.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
     placed = buckets.join(labels, "node", "left").select("key", "node", "pivot", F.least("node", "label").alias("label"))
     rest = placed.where("node <> pivot").join(several(placed.where("node <> pivot")), "key", "left_semi")
-    rest = checkpointed(rest.select("key", "node", "label")).join(sets, "node").repartition(parts, "key").sortWithinPartitions("key", "node")
+    rest = rest.select("key", "node", "label").join(sets, "node").repartition(parts, "key").sortWithinPartitions("key", "node")
     links = star.unionByName(rest.mapInArrow(_links(least), "a long, b long")).distinct()
     return distinct, components(links)
 
