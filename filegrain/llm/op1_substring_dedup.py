@@ -6,10 +6,15 @@ places (3 of 7 places): any match of 13 words holds one such anchor at the same
 Only windows around an anchor that another document has as well are extended: hashed whole, and compared by 96 bits,
 under which 10^12 distinct windows meet by chance once in 10^5 corpora.
 
-Work goes by parts (documents by a hash of id and text, so that no id gathers in one, sized to part_bytes or, without it, by the corpus). A part sends its sorted distinct
-hashes, Golomb coded, to the hashes' owners, and gets a bit for each back. A hash comes from a part once at
-most, however often the part's texts hold it, so a passage in a third of all documents costs its owner a row
-for each part and no more. No pairs are made. There are as many tasks as parts, so a task's size doesn't grow with the input.
+Work goes by parts (documents by a hash of id and text, so that no id gathers in one) of part_bytes. A part sends its
+sorted distinct hashes, Golomb coded, to the hashes' owners, and gets a bit for each back. A hash comes from a part once
+at most, however often the part's texts hold it, so a passage in a third of all documents costs its owner a few bytes
+for each part and no more. No pairs are made.
+
+With as many owners as parts, parts * parts blobs would go either way. So they go through relays: a relay takes what
+some root of parts parts send to the root of owners owners, merges it, and passes a blob to each of these; answers come
+back the same way. That is 2 * parts^1.5 blobs, some 10^9 for 100 TB in parts of LEAST_PART * 20. There are as many
+tasks as parts at each step, so a task's size doesn't grow with the input.
 
 Defined results: a null text has no words. A null id is larger than any other, so its text never makes
 another document lose words. Rows that repeat an id count as one document: neither loses words to the other. Very long
@@ -30,15 +35,14 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, bucket_cuts, golomb, pick, table, text_bytes, ungolomb, words
 
 ANCHOR_BITS = 48
-#: Bytes of text in a part: at least these, and so many that what a part sends to one owner is worth a row. With as many
-#: owners as parts that is some 70 hashes if a part has the root of 1024 times the corpus: 10 MiB up to 100 GB, and
-#: 400 MB (some 3 GB of memory) at 100 TB.
-LEAST_PART, PAIRED = 10 << 20, 1024
+#: Bytes of text in a part: at least these, and beyond MOST_PARTS of them so many more. A part takes some ten times that in memory.
+LEAST_PART, MOST_PARTS = 10 << 20, 500_000
 #: The period of the cover and the places in it; every difference modulo the period occurs among the places.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 MULTIPLIERS = np.random.default_rng(13).integers(0, 2**63, (2, 4096), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BLOB = "part long, bucket long, n long, blob binary"
-REPLY = "part long, kind int, bucket long, n long, bits binary"
+#: What a sender (part or relay) has for a receiver (relay or owner), and what it gets back.
+BLOB = "sender long, receiver long, n long, blob binary, more binary"
+REPLY = "sender long, kind int, receiver long, n long, bits binary"
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...], int]:
@@ -119,25 +123,117 @@ class _Part:
 
 
 def _bits(replies: pa.Table, kind: int, n: int) -> np.ndarray:
-    rows = sorted((r for r in replies.to_pylist() if r["kind"] == kind), key=lambda r: r["bucket"])
+    rows = sorted((r for r in replies.to_pylist() if r["kind"] == kind), key=lambda r: r["receiver"])
     got = [np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).astype(bool) for r in rows]
-    out = np.concatenate([*got, np.zeros(0, bool)])
+    return _complete(got, n, bool)
+
+
+def _complete(got: list[np.ndarray], n: int, kind) -> np.ndarray:
+    out = np.concatenate([*got, np.zeros(0, kind)])
     if len(out) != n:
         raise ValueError(f"{len(out)} answers for {n} hashes")
     return out
 
 
-def _blobs(part: int, cuts: np.ndarray, pack) -> pa.RecordBatch:
-    full = [b for b in range(len(cuts) - 1) if cuts[b + 1] > cuts[b]]
-    return pa.table({"part": pa.array([part] * len(full), pa.int64()), "bucket": pa.array(full, pa.int64()), "n": pa.array([int(cuts[b + 1] - cuts[b]) for b in full], pa.int64()), "blob": pa.array([pack(int(cuts[b]), int(cuts[b + 1])) for b in full], pa.binary())})
+def _blobs(sender: int, receivers: range, cuts: np.ndarray, pack, more=None) -> pa.Table:
+    """A row for each receiver that gets anything: what lies between its cuts."""
+    full = [k for k in range(len(receivers)) if cuts[k + 1] > cuts[k]]
+    between = [(int(cuts[k]), int(cuts[k + 1])) for k in full]
+    return pa.table({"sender": pa.array([sender] * len(full), pa.int64()), "receiver": pa.array([receivers[k] for k in full], pa.int64()), "n": pa.array([b - a for a, b in between], pa.int64()), "blob": pa.array([pack(a, b) for a, b in between], pa.binary()), "more": pa.array([more(a, b) if more else None for a, b in between], pa.binary())})
 
 
-def _replies(rows: list[dict], kind: int, flags: np.ndarray) -> pa.Table:
+def _replies(rows: list[dict], kind: int, answers: np.ndarray) -> pa.Table:
+    """Each row's share of the answers: flags as bits, numbers as they are."""
     bits, at = [], 0
     for r in rows:
-        bits.append(np.packbits(flags[at : at + r["n"]]).tobytes())
+        own = answers[at : at + r["n"]]
+        bits.append((np.packbits(own) if own.dtype == bool else own).tobytes())
         at += r["n"]
-    return pa.table({"part": pa.array([r["part"] for r in rows], pa.int64()), "kind": pa.array([kind] * len(rows), pa.int32()), "bucket": pa.array([r["bucket"] for r in rows], pa.int64()), "n": pa.array([r["n"] for r in rows], pa.int64()), "bits": pa.array(bits, pa.binary())})
+    return pa.table({"sender": pa.array([r["sender"] for r in rows], pa.int64()), "kind": pa.array([kind] * len(rows), pa.int32()), "receiver": pa.array([r["receiver"] for r in rows], pa.int64()), "n": pa.array([r["n"] for r in rows], pa.int64()), "bits": pa.array(bits, pa.binary())})
+
+
+class _Anchors:
+    """Anchors that some senders have: values distinct and sorted; index of each sender's ones in them, in the order of rows."""
+
+    kind, bits = 0, ANCHOR_BITS
+
+    def __init__(self, t: pa.Table):
+        self.rows = sorted(t.to_pylist(), key=lambda r: r["sender"])
+        self.keys, self.index, counts = np.unique(np.concatenate([ungolomb(r["blob"]) for r in self.rows]), return_inverse=True, return_counts=True)
+        repeated = np.concatenate([np.unpackbits(np.frombuffer(r["more"], np.uint8), count=r["n"]) if r["more"] else np.zeros(r["n"], np.uint8) for r in self.rows])
+        self.shared = (counts > 1) | (np.bincount(self.index, weights=repeated, minlength=len(self.keys)) > 0)
+
+    def pack(self, a: int, b: int) -> bytes:
+        return golomb(self.keys[a:b])
+
+    def more(self, a: int, b: int) -> bytes:
+        return np.packbits(self.shared[a:b]).tobytes()
+
+    def of_owner(self) -> np.ndarray:
+        return self.shared[self.index]
+
+    def read(self, replies: list[dict]) -> np.ndarray:
+        return _complete([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).astype(bool) for r in replies], len(self.keys), bool)
+
+    def of_relay(self, answers: np.ndarray) -> np.ndarray:
+        return answers[self.index]
+
+
+class _Windows:
+    """The same for windows: two hashes, and the smallest id that has them."""
+
+    kind, bits = 1, 64
+
+    def __init__(self, t: pa.Table):
+        self.rows = sorted(t.to_pylist(), key=lambda r: r["sender"])
+        cut = lambda kind, a: np.concatenate([np.frombuffer(r["blob"], kind, r["n"], a * r["n"]) for r in self.rows])
+        first, second, self.own = cut("<u8", 0), cut("<u4", 8), cut("<i8", 12)
+        order = np.lexsort((self.own, second, first))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)
+        self.index = np.empty(len(order), np.int64)
+        self.index[order] = np.cumsum(new) - 1
+        self.keys, self.second, self.least = first[order][new], second[order][new], self.own[order][new]
+
+    def pack(self, a: int, b: int) -> bytes:
+        return self.keys[a:b].tobytes() + self.second[a:b].tobytes() + self.least[a:b].tobytes()
+
+    more = None
+
+    def of_owner(self) -> np.ndarray:
+        return self.least[self.index]
+
+    def read(self, replies: list[dict]) -> np.ndarray:
+        return _complete([np.frombuffer(r["bits"], "<i8") for r in replies], len(self.keys), np.int64)
+
+    def of_relay(self, answers: np.ndarray) -> np.ndarray:
+        return answers[self.index] < self.own
+
+
+def _exchange(sent: DataFrame, held: type, parts: int, root: int) -> DataFrame:
+    """REPLY to what parts have sent to groups of owners, by way of relays."""
+    each = math.ceil(parts / root)  # owners in a group; groups are root
+
+    def relay(key: tuple, t: pa.Table) -> pa.Table:
+        own, group = held(t), key[0].as_py() % root
+        owners = range(group * each, (group + 1) * each)
+        bounds = [((1 << own.bits) * b) // (root * each) for b in owners][1:]
+        cuts = np.concatenate([[0], np.searchsorted(own.keys, np.array(bounds, np.uint64)), [len(own.keys)]])
+        return _blobs(key[0].as_py(), owners, cuts, own.pack, own.more)
+
+    def owner(t: pa.Table) -> pa.Table:
+        own = held(t)
+        return _replies(own.rows, held.kind, own.of_owner())
+
+    def back(key: tuple, t: pa.Table, replies: pa.Table) -> pa.Table:
+        own = held(t)
+        answers = own.read(sorted(replies.to_pylist(), key=lambda r: r["receiver"]))
+        return _replies(own.rows, held.kind, own.of_relay(answers))
+
+    relays = (F.floor(F.col("sender") / root) * root + F.col("receiver")).cast("long").alias("relay")
+    by_relay = sent.select("*", relays).repartition(parts, "relay").groupBy("relay")
+    owned = by_relay.applyInArrow(relay, BLOB).repartition(parts, "receiver").groupBy("receiver").applyInArrow(owner, REPLY)
+    return by_relay.cogroup(owned.groupBy("sender")).applyInArrow(back, REPLY)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, part_bytes: int | None = None) -> DataFrame:
@@ -147,21 +243,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
     total = text_bytes(rows)
-    size = part_bytes or max(LEAST_PART, math.isqrt(total * PAIRED))
+    size = part_bytes or max(LEAST_PART, math.ceil(total / MOST_PARTS))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / size))
+    root = math.ceil(math.sqrt(parts))
     keyed = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("part"), "doc_id", "text")
     by_part = keyed.repartition(parts, "part").groupBy("part")
 
     def send_anchors(key: tuple, t: pa.Table) -> pa.Table:
         p = _Part(t, window)
         p.anchors()
-        return _blobs(key[0].as_py(), bucket_cuts(p.unique, parts, ANCHOR_BITS), lambda a, b: golomb(p.unique[a:b]))
-
-    def own_anchors(t: pa.Table) -> pa.Table:
-        got = t.to_pylist()
-        values = np.concatenate([ungolomb(r["blob"]) for r in got])
-        _, index, counts = np.unique(values, return_inverse=True, return_counts=True)
-        return _replies(got, 0, counts[index] > 1)
+        return _blobs(key[0].as_py(), range(root), bucket_cuts(p.unique, root, ANCHOR_BITS), lambda a, b: golomb(p.unique[a:b]))
 
     def matched(t: pa.Table, replies: pa.Table) -> _Part:
         p = _Part(t, window)
@@ -172,19 +263,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def send_windows(key: tuple, t: pa.Table, replies: pa.Table) -> pa.Table:
         p = matched(t, replies)
         pack = lambda a, b: p.first[a:b].tobytes() + p.second[a:b].tobytes() + p.least[a:b].tobytes()
-        return _blobs(key[0].as_py(), bucket_cuts(p.first, parts, 64), pack)
-
-    def own_windows(t: pa.Table) -> pa.Table:
-        got = t.to_pylist()
-        cut = lambda kind, a, b: np.concatenate([np.frombuffer(r["blob"], kind, r["n"], a * r["n"]) for r in got])
-        first, second, least = cut("<u8", 0, 8), cut("<u4", 8, 4), cut("<i8", 12, 8)
-        order = np.lexsort((least, second, first))
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)
-        smallest = least[order][new][np.cumsum(new) - 1]
-        flags = np.empty(len(order), bool)
-        flags[order] = smallest < least[order]
-        return _replies(got, 1, flags)
+        return _blobs(key[0].as_py(), range(root), bucket_cuts(p.first, root, 64), pack)
 
     def cut_words(key: tuple, t: pa.Table, replies: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -205,11 +284,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table({"doc_id": pa.array(p.ids, pa.int64()), "n_words": pa.array(p.n_words), "removed": pa.array(ranges, spans), "kept_text": pa.array(kept, pa.string())})
 
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    asked = by_part.applyInArrow(send_anchors, BLOB)
-    shared = asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(own_anchors, REPLY)
-    sent = by_part.cogroup(shared.groupBy("part")).applyInArrow(send_windows, BLOB)
-    answers = shared.unionByName(sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(own_windows, REPLY))
-    return by_part.cogroup(answers.groupBy("part")).applyInArrow(cut_words, "doc_id long, n_words long, removed array<struct<start:long,end:long>>, kept_text string")
+    shared = _exchange(by_part.applyInArrow(send_anchors, BLOB), _Anchors, parts, root)
+    sent = by_part.cogroup(shared.groupBy("sender")).applyInArrow(send_windows, BLOB)
+    answers = shared.unionByName(_exchange(sent, _Windows, parts, root))
+    return by_part.cogroup(answers.groupBy("sender")).applyInArrow(cut_words, "doc_id long, n_words long, removed array<struct<start:long,end:long>>, kept_text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

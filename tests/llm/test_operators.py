@@ -63,6 +63,13 @@ def test_op1_matches_sql_and_brute_force(spark, folder, duck):
     assert sum(row[2] for row in got) > 100
 
 
+@pytest.mark.parametrize("size", [2_000, 20_000])
+def test_op1_any_number_of_parts(plain_docs, size):
+    """Relays and owners of many parts say what those of a few say."""
+    said = lambda df: Counter((r["doc_id"], r["n_words"], str(r["removed"]), r["kept_text"]) for r in df.collect())
+    assert said(op1_substring_dedup.substring_dedup(plain_docs, part_bytes=size)) == said(op1_substring_dedup.substring_dedup(plain_docs))
+
+
 def test_op1_hard_rows(spark, hard, empty):
     assert op1_substring_dedup.substring_dedup(empty).count() == 0
     rows = op1_substring_dedup.substring_dedup(hard).collect()

@@ -1,5 +1,6 @@
 """Stages on rows in another order, with null and repeated ids, and on lines of measured frequencies."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -40,3 +41,12 @@ def test_null_and_repeated_ids_are_judged_by_row(spark):
     docs = spark.createDataFrame([(*r, "src0", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.quality(spark, docs, None).collect()]
     assert sorted(kept, key=str) == sorted([(1, good), (None, good), (3, good)], key=str)
+
+
+def test_lines_by_host_match_sql(spark):
+    at = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{at}/pages.parquet'")
+    got = [tuple(r[c] for c in ("page_id", "site", "n_lines", "n_dropped", "kept_sha256")) for r in op4_line_dedup.query_pages(spark, at).collect()]
+    want = con.execute(f"SELECT page_id, site, n_lines, n_dropped, kept_sha256 FROM ({op4_line_dedup.ORACLE_PAGES})").fetchall()
+    assert sorted(got) == sorted(want) and sum(r[3] for r in got) > 100
