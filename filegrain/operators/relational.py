@@ -40,8 +40,11 @@ def last_values(df: DataFrame, keys: list[str], order: list[str], columns: list[
 
 def capped(df: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:
     """The first rows of each key; Spark limits each map task's rows before the shuffle."""
+    place = "fg_n"
+    while place.lower() in map(str.lower, df.columns):
+        place += "_"
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("fg_n", F.row_number().over(w)).where(F.col("fg_n") <= most).drop("fg_n")
+    return df.withColumn(place, F.row_number().over(w)).where(F.col(place) <= most).drop(place)
 
 
 def ranked(reports: DataFrame, seq: str = "item_seq") -> DataFrame:
