@@ -12,7 +12,7 @@ LINKED = r"(?i)\.(pdf|jpe?g|png|gif|webp|tiff?|heic|heif|avif|svg|docx?|docm|xls
 KINDS = ("img", "media", "link", "bg")
 FRAME_LIMIT, SCAN_LIMIT, URL_LIMIT, SMALL = 200, 150, 4096, 48
 #: The rest of a tag after its name; a > in quotes does not end it.
-TAIL = r"""\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
+TAIL = r"""\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
 
@@ -28,34 +28,34 @@ def unescaped(value: Column) -> Column:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """A tag's attribute, quoted or not, without entities; null without one."""
-    at = rf"""(?i)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    found = F.coalesce(*[F.nullif(F.regexp_extract(tag, at, k), F.lit("")) for k in (1, 2, 3)])
-    return F.nullif(F.trim(unescaped(found)), F.lit(""))
-
-
-def without_dots(path: Column) -> Column:
-    """A path without its . and .. segments."""
+    """A tag's attribute, quoted or not, without entities; empty without one."""
+    found = F.regexp_extract(tag, rf"""(?i)\s{name}\s*=\s*("[^"]*+"|'[^']*+'|[^\s"'>]++)""", 1)
+    return F.trim(unescaped(F.regexp_replace(found, "^[\"']|[\"']$", "")))
+
+
+def with_absolute(df: DataFrame, base: str, ref: str, out: str) -> DataFrame:
+    """df with out: a reference resolved against a URL: absolute, host-relative, or relative to its folder, without . and .. segments. Fragments stay.
+
+    A column for each step, so that no step's expression is repeated in the next.
+    """
+    b, r = F.col(base), F.col(ref)
+    df = df.withColumns({"fg_scheme": F.regexp_extract(b, r"^(\w+):", 1), "fg_host": F.regexp_extract(b, r"^(\w+://[^/?#]+)", 1), "fg_page": F.regexp_extract(b, r"^\w+://[^/?#]+([^?#]*)", 1)})
+    folder = F.regexp_extract("fg_page", "^(.*/)", 1)
+    df = df.withColumn("fg_folder", folder).withColumn("fg_whole", F.when(r.startswith("/"), r).when(r.rlike("^[?#]"), F.concat("fg_page", r)).when(F.col("fg_folder") == "", F.concat(F.lit("/"), r)).otherwise(F.concat("fg_folder", r)))
+    df = df.withColumns({"fg_path": F.regexp_extract("fg_whole", r"^([^?#]*)", 1), "fg_rest": F.regexp_extract("fg_whole", r"^[^?#]*(.*)$", 1)})
+    parts = F.split(F.regexp_replace("fg_path", r"/\.{1,2}$", "$0/"), "/")
     step = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
-    parts = F.split(F.regexp_replace(path, r"/\.{1,2}$", "$0/"), "/")
-    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), step)
-    return F.when(F.contains(path, F.lit("/.")), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
-
-
-def absolute(base: Column, ref: Column) -> Column:
-    """A reference resolved against a URL: absolute, host-relative, or relative to its folder. Fragments stay."""
-    scheme, host = F.regexp_extract(base, r"^(\w+):", 1), F.regexp_extract(base, r"^(\w+://[^/?#]+)", 1)
-    folder = F.regexp_extract(base, r"^\w+://[^/?#]+(/[^?#]*/|/)?", 1)
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    whole = F.when(ref.startswith("/"), ref).when(ref.rlike("^[?#]"), F.concat(F.regexp_extract(base, r"^\w+://[^/?#]+([^?#]*)", 1), ref)).otherwise(F.concat(folder, ref))
-    path, rest = F.regexp_extract(whole, r"^([^?#]*)", 1), F.regexp_extract(whole, r"^[^?#]*(.*)$", 1)
-    return F.when(ref.rlike(r"^[A-Za-z][\w+.-]*:"), ref).when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref)).otherwise(F.concat(host, without_dots(path), rest))
+    kept = F.aggregate(F.slice("fg_parts", F.lit(2), F.size("fg_parts")), F.array().cast("array<string>"), step)
+    df = df.withColumn("fg_parts", parts).withColumn("fg_path", F.when(F.contains("fg_path", F.lit("/.")), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(F.col("fg_path")))
+    url = F.when(r.rlike(r"^[A-Za-z][\w+.-]*:"), r).when(r.startswith("//"), F.concat("fg_scheme", F.lit(":"), r)).otherwise(F.concat("fg_host", "fg_path", "fg_rest"))
+    return df.withColumn(out, url).drop("fg_scheme", "fg_host", "fg_page", "fg_folder", "fg_whole", "fg_path", "fg_rest", "fg_parts")
 
 
 def _images(html: Column) -> Column:
-    size = lambda t, name: F.regexp_extract(F.coalesce(attribute(t, name), F.lit("")), r"^\d+", 0).try_cast("int")
-    large = F.filter(tags(html, "img"), lambda t: large_enough(size(t, "width"), size(t, "height")))
-    return F.transform(large, lambda t: F.coalesce(attribute(t, "src"), F.regexp_extract(attribute(t, "srcset"), r"^\s*([^\s,]+)", 1)))
+    size = lambda t, name: F.regexp_extract(attribute(t, name), r"^\d+", 0).try_cast("int")
+    found = F.transform(tags(html, "img"), lambda t: F.struct(attribute(t, "src").alias("src"), attribute(t, "srcset").alias("srcset"), size(t, "width").alias("w"), size(t, "height").alias("h")))
+    large = F.filter(found, lambda x: large_enough(x["w"], x["h"]))
+    return F.transform(large, lambda x: F.when(x["src"] == "", F.regexp_extract(x["srcset"], r"^\s*([^\s,]+)", 1)).otherwise(x["src"]))
 
 
 def _media(html: Column) -> Column:
@@ -69,8 +69,10 @@ def _links(html: Column) -> Column:
 
 
 def _backgrounds(html: Column) -> Column:
-    styles = F.transform(tags(html, r"[a-z][a-z0-9]*(?=\s[^>]*style)"), lambda t: attribute(t, "style"))
-    return F.transform(styles, lambda s: F.nullif(F.regexp_extract(s, r"""(?i)background[^;]*?url\(["']?([^"')]+)["']?\)""", 1), F.lit("")))
+    styles = F.regexp_extract_all(html, F.lit(r"""(?i)\sstyle\s*=\s*("[^"]*+"|'[^']*+')"""), F.lit(1))
+    drawn = F.filter(styles, lambda x: F.contains(F.lower(x), F.lit("background")))
+    value = lambda x: unescaped(F.regexp_replace(x, "^.|.$", ""))
+    return F.transform(drawn, lambda x: F.regexp_extract(value(x), r"""(?i)background[^;]*?url\(["']?([^"')]+)["']?\)""", 1))
 
 
 FINDERS = dict(zip(KINDS, (_images, _media, _links, _backgrounds), strict=True))
@@ -80,12 +82,14 @@ def references(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     """key, kind, ord, ref, url of what pages refer to; kinds in their order, each in the order of the page. A <base> counts."""
 
     def of(n: int, kind: str) -> Column:
-        return F.transform(FINDERS[kind](F.col(html)), lambda r, i: F.struct(F.lit(kind).alias("kind"), (F.lit(n << 40) + i).alias("ord"), r.alias("ref")))
+        return F.transform(FINDERS[kind](F.col("html")), lambda r, i: F.struct(F.lit(kind).alias("kind"), (F.lit(n << 40) + i).alias("ord"), r.alias("ref")))
 
     found = F.flatten(F.array(*[of(KINDS.index(kind), kind) for kind in kinds]))
-    base = F.coalesce(absolute(F.col(url), attribute(F.get(tags(F.col(html), "base"), F.lit(0)), "href")), F.col(url))
-    rows = pages.select(key, base.alias("base"), F.explode(found).alias("x")).where("x.ref IS NOT NULL")
-    return rows.select(key, "x.kind", "x.ord", "x.ref", absolute(F.col("base"), F.col("x.ref")).alias("url"))
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("page"), F.col(html).alias("html"))
+    rows = rows.withColumn("base_ref", attribute(F.get(tags(F.col("html"), "base"), F.lit(0)), "href"))
+    rows = with_absolute(rows, "page", "base_ref", "own").withColumn("base", F.when(F.coalesce("base_ref", F.lit("")) == "", F.col("page")).otherwise(F.col("own")))
+    rows = rows.select("key", "base", F.explode(F.filter(found, lambda x: x["ref"] != "")).alias("x")).select("key", "base", "x.kind", "x.ord", "x.ref")
+    return with_absolute(rows, "base", "ref", "url").select(F.col("key").alias(key), "kind", "ord", "ref", "url")
 
 
 def scanned(items: DataFrame) -> DataFrame:
