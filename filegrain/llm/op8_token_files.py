@@ -39,7 +39,7 @@ MAGIC = b"FGTB"
 HEAD = struct.Struct("<4sBBxxIQ")
 BLOCK_IDS = 1 << 20
 END_ID = 2
-CACHED = 300_000
+CACHED = 600_000
 #: Rules of a vocabulary (normalizer, pre_tokenizer) under which a text's ids are its words' ids. Fixed values.
 BY_WORDS = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -128,18 +128,17 @@ class Encoder:
         split = pc.ascii_split_whitespace(column)
         words = split.flatten().dictionary_encode()
         values = self._values(words.dictionary.cast(pa.binary()).to_pylist())
-        index, bounds = words.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
+        # The end id is one more word, which comes after each text.
         sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        ids, starts = np.frombuffer(b"".join(values), "<u4"), np.cumsum(sizes) - sizes
-        size = sizes[index]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        found = ids[np.repeat(starts[index] - upto[:-1], size) + np.arange(upto[-1])]
-        ends, n = upto[bounds[1:] - bounds[0]], len(bounds) - 1
-        out = np.empty(len(found) + n, np.uint32)
-        last = np.zeros(len(out), bool)
-        last[ends + np.arange(n)] = True
-        out[last], out[~last] = self.end_id, found
-        return out, ends + np.arange(1, n + 1)
+        offsets = np.concatenate([[0], np.cumsum(sizes), [sizes.sum() + 1]]).astype(np.int32)
+        ids = np.frombuffer(b"".join(values) + np.uint32(self.end_id).tobytes(), "<u4")
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        last = np.zeros(len(words) + len(bounds) - 1, bool)
+        last[bounds[1:] - bounds[0] + np.arange(len(bounds) - 1)] = True
+        index = np.full(len(last), len(values), np.int32)
+        index[~last] = words.indices.to_numpy()
+        found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)).take(pa.array(index))
+        return found.flatten().to_numpy(), found.offsets.to_numpy()[1:][last].astype(np.int64)
 
 
 def pieces(texts: pa.Array, most: int = 8 << 20):
