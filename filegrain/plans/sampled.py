@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from ..operators.cleaning import clean_files, removal_log
 from ..operators.extraction import extract
 from .built import be, has, le, raw, text, value
 from .queries import T, query
+from .samples import XMP, id3, iptc, sample, tiff
 
 KEY, KEY_SQL = "concat(cast(s_suppkey as string), '-', s_name)", "(s_suppkey || '-' || s_name)"
 DEGREES = "s_suppkey % 90"
@@ -50,13 +50,6 @@ def latitude(order: str) -> dict[bytes, Column]:
     return {struct.pack(order + "IIII", 6000, 100, 2300, 100): F.concat((le if order == "<" else be)(F.expr(DEGREES) * 100), raw(struct.pack(order + "III", 100, 2300, 100)))}
 
 
-@cache
-def sample(name: str) -> bytes:
-    from .samples import FILES
-
-    return FILES[name]
-
-
 def stored_zip(*entries: tuple[str, Column], note: str = "") -> Column:
     """An archive without compression."""
     local, central, offset = raw(b""), raw(b""), F.lit(0)
@@ -190,8 +183,6 @@ for _name, _make, _columns in REPORTS:
 
 def _removed(name: str) -> tuple[dict[str, int], int]:
     """Labels with bytes of what cleaning has to remove from a sample, and the size that is left. Sizes are those of the sample's parts."""
-    from .samples import XMP, iptc, tiff
-
     b, exif, xmp = sample(name), len(tiff()), len(XMP.encode())
     if name == "a.jpg":
         parts = {"EXIF (camera, GPS, date, thumbnail)": exif + 10, "XMP": xmp + 33, "IPTC / Photoshop": len(iptc()) + 4, "JPEG comment": 20, "Trailing data (after EOI)": 130}
@@ -206,8 +197,6 @@ def _removed(name: str) -> tuple[dict[str, int], int]:
         return {"Document info dictionary (author, application, dates)": b.index(b"\nendobj", b.index(b"3 0 obj")) - b.index(b"3 0 obj") - 8, "XMP metadata stream": len(zlib.compress(XMP.encode()))}, len(b)
     if name == "g.heic":
         return {"EXIF item (camera, GPS)": exif + 10}, len(b)
-    from .samples import id3
-
     parts = {"ID3v2 tag (title, artist, cover, comments)": len(id3()), "ID3v1 tag": 128, "APE tag": 32}
     return parts, len(b) - sum(parts.values())
 

@@ -9,6 +9,7 @@ import struct
 import wave
 import zipfile
 import zlib
+from functools import cache, partial
 
 from ..operators.extract import pdfcrypt
 
@@ -389,33 +390,45 @@ def msg():
     return ole({"__properties_version1.0": b"x", "__substg1.0_0037001F": u("Hello"), "__substg1.0_0C1A001F": u("A Sender"), "__substg1.0_007D001F": u("Received: from 10.1.2.3")})
 
 
-FILES = {
-    "a.jpg": jpeg(),
-    "b.png": png(),
-    "c.webp": webp(),
-    "d.tif": tiff(),
-    "f.gif": gif(),
-    "g.heic": heic(),
-    "s.svg": SVG.encode(),
-    "j.pdf": pdf_plain(),
-    "k.pdf": pdf_rich(),
-    "m.docm": docx(),
-    "n.xlsx": xlsx(),
-    "o.pptx": pptx(),
-    "p.odt": odt(),
-    "q.epub": epub(),
-    "r.jar": jar(),
-    "t.zip": plain_zip(),
-    "u.doc": doc(),
-    "u.msg": msg(),
-    "v.wav": wav(),
-    "x.m4a": m4a(),
-    "y.flac": flac(),
-    "z.mp3": mp3(),
-    "za.opus": opus(),
-    "zb.mkv": mkv(),
-    "zc.avi": avi(),
-    "zd.mov": mov(),
-    "bmp.bmp": b"BM" + struct.pack("<IIIIiiHHIIiiII", 70, 0, 54, 40, 3, -2, 1, 24, 0, 16, 2835, 2835, 0, 0) + bytes(16),
-    "i.ico": b"\0\0\1\0\2\0" + bytes([16, 16]) + bytes(14) + bytes([0, 0]) + bytes(14),
-} | {f"enc_{k}.pdf": pdf_encrypted(k) for k in ("rc4_40", "rc4_128", "aes128", "aes256r5", "aes256")} | {"enc_userpw.pdf": pdf_encrypted("rc4_128", b"secret")}
+BUILDERS = {
+    "a.jpg": jpeg,
+    "b.png": png,
+    "c.webp": webp,
+    "d.tif": tiff,
+    "f.gif": gif,
+    "g.heic": heic,
+    "s.svg": lambda: SVG.encode(),
+    "j.pdf": pdf_plain,
+    "k.pdf": pdf_rich,
+    "m.docm": docx,
+    "n.xlsx": xlsx,
+    "o.pptx": pptx,
+    "p.odt": odt,
+    "q.epub": epub,
+    "r.jar": jar,
+    "t.zip": plain_zip,
+    "u.doc": doc,
+    "u.msg": msg,
+    "v.wav": wav,
+    "x.m4a": m4a,
+    "y.flac": flac,
+    "z.mp3": mp3,
+    "za.opus": opus,
+    "zb.mkv": mkv,
+    "zc.avi": avi,
+    "zd.mov": mov,
+    "bmp.bmp": lambda: b"BM" + struct.pack("<IIIIiiHHIIiiII", 70, 0, 54, 40, 3, -2, 1, 24, 0, 16, 2835, 2835, 0, 0) + bytes(16),
+    "i.ico": lambda: b"\0\0\1\0\2\0" + bytes([16, 16]) + bytes(14) + bytes([0, 0]) + bytes(14),
+} | {f"enc_{k}.pdf": partial(pdf_encrypted, k) for k in ("rc4_40", "rc4_128", "aes128", "aes256r5", "aes256")} | {"enc_userpw.pdf": partial(pdf_encrypted, "rc4_128", b"secret")}
+
+
+@cache
+def sample(name: str) -> bytes:
+    return BUILDERS[name]()
+
+
+def __getattr__(name: str):
+    """FILES: all samples by name, made when they are asked for."""
+    if name == "FILES":
+        return {n: sample(n) for n in BUILDERS}
+    raise AttributeError(name)
