@@ -125,11 +125,7 @@ class _Part:
 def _bits(replies: pa.Table, kind: int, n: int) -> np.ndarray:
     rows = sorted((r for r in replies.to_pylist() if r["kind"] == kind), key=lambda r: r["receiver"])
     got = [np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).astype(bool) for r in rows]
-    return _complete(got, n, bool)
-
-
-def _complete(got: list[np.ndarray], n: int, kind) -> np.ndarray:
-    out = np.concatenate([*got, np.zeros(0, kind)])
+    out = np.concatenate([*got, np.zeros(0, bool)])
     if len(out) != n:
         raise ValueError(f"{len(out)} answers for {n} hashes")
     return out
@@ -142,12 +138,11 @@ def _blobs(sender: int, receivers: range, cuts: np.ndarray, pack, more=None) ->
     return pa.table({"sender": pa.array([sender] * len(full), pa.int64()), "receiver": pa.array([receivers[k] for k in full], pa.int64()), "n": pa.array([b - a for a, b in between], pa.int64()), "blob": pa.array([pack(a, b) for a, b in between], pa.binary()), "more": pa.array([more(a, b) if more else None for a, b in between], pa.binary())})
 
 
-def _replies(rows: list[dict], kind: int, answers: np.ndarray) -> pa.Table:
-    """Each row's share of the answers: flags as bits, numbers as they are."""
+def _replies(rows: list[dict], kind: int, flags: np.ndarray) -> pa.Table:
+    """Each row's share of the answers, a bit for each hash."""
     bits, at = [], 0
     for r in rows:
-        own = answers[at : at + r["n"]]
-        bits.append((np.packbits(own) if own.dtype == bool else own).tobytes())
+        bits.append(np.packbits(flags[at : at + r["n"]]).tobytes())
         at += r["n"]
     return pa.table({"sender": pa.array([r["sender"] for r in rows], pa.int64()), "kind": pa.array([kind] * len(rows), pa.int32()), "receiver": pa.array([r["receiver"] for r in rows], pa.int64()), "n": pa.array([r["n"] for r in rows], pa.int64()), "bits": pa.array(bits, pa.binary())})
 
@@ -172,22 +167,29 @@ class _Anchors:
     def of_owner(self) -> np.ndarray:
         return self.shared[self.index]
 
-    def read(self, replies: list[dict]) -> np.ndarray:
-        return _complete([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).astype(bool) for r in replies], len(self.keys), bool)
-
     def of_relay(self, answers: np.ndarray) -> np.ndarray:
         return answers[self.index]
 
 
+def _pack_windows(first: np.ndarray, second: np.ndarray, least: np.ndarray) -> bytes:
+    """Sorted first hashes as gaps; the others as they are."""
+    head = golomb(first)
+    return np.uint32(len(head)).tobytes() + head + second.tobytes() + least.tobytes()
+
+
+def _unpack_windows(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = 4 + int(np.frombuffer(blob, "<u4", 1)[0])
+    return ungolomb(blob[4:at]), np.frombuffer(blob, "<u4", n, at), np.frombuffer(blob, "<i8", n, at + 4 * n)
+
+
 class _Windows:
-    """The same for windows: two hashes, and the smallest id that has them."""
+    """The same for windows: two hashes, and the smallest id that has them. What is asked: does a smaller id have one too?"""
 
     kind, bits = 1, 64
 
     def __init__(self, t: pa.Table):
         self.rows = sorted(t.to_pylist(), key=lambda r: r["sender"])
-        cut = lambda kind, a: np.concatenate([np.frombuffer(r["blob"], kind, r["n"], a * r["n"]) for r in self.rows])
-        first, second, self.own = cut("<u8", 0), cut("<u4", 8), cut("<i8", 12)
+        first, second, self.own = (np.concatenate(x) for x in zip(*(_unpack_windows(r["blob"], r["n"]) for r in self.rows), strict=True))
         order = np.lexsort((self.own, second, first))
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)
@@ -196,18 +198,16 @@ class _Windows:
         self.keys, self.second, self.least = first[order][new], second[order][new], self.own[order][new]
 
     def pack(self, a: int, b: int) -> bytes:
-        return self.keys[a:b].tobytes() + self.second[a:b].tobytes() + self.least[a:b].tobytes()
+        return _pack_windows(self.keys[a:b], self.second[a:b], self.least[a:b])
 
     more = None
 
     def of_owner(self) -> np.ndarray:
-        return self.least[self.index]
-
-    def read(self, replies: list[dict]) -> np.ndarray:
-        return _complete([np.frombuffer(r["bits"], "<i8") for r in replies], len(self.keys), np.int64)
+        return self.least[self.index] < self.own
 
     def of_relay(self, answers: np.ndarray) -> np.ndarray:
-        return answers[self.index] < self.own
+        """A smaller id than the least of the relay's parts, or than the part's own among these."""
+        return answers[self.index] | self.of_owner()
 
 
 def _exchange(sent: DataFrame, held: type, parts: int, root: int) -> DataFrame:
@@ -227,8 +227,7 @@ def _exchange(sent: DataFrame, held: type, parts: int, root: int) -> DataFrame:
 
     def back(key: tuple, t: pa.Table, replies: pa.Table) -> pa.Table:
         own = held(t)
-        answers = own.read(sorted(replies.to_pylist(), key=lambda r: r["receiver"]))
-        return _replies(own.rows, held.kind, own.of_relay(answers))
+        return _replies(own.rows, held.kind, own.of_relay(_bits(replies, held.kind, len(own.keys))))
 
     relays = (F.floor(F.col("sender") / root) * root + F.col("receiver")).cast("long").alias("relay")
     by_relay = sent.select("*", relays).repartition(parts, "relay").groupBy("relay")
@@ -262,8 +261,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def send_windows(key: tuple, t: pa.Table, replies: pa.Table) -> pa.Table:
         p = matched(t, replies)
-        pack = lambda a, b: p.first[a:b].tobytes() + p.second[a:b].tobytes() + p.least[a:b].tobytes()
-        return _blobs(key[0].as_py(), range(root), bucket_cuts(p.first, root, 64), pack)
+        return _blobs(key[0].as_py(), range(root), bucket_cuts(p.first, root, 64), lambda a, b: _pack_windows(p.first[a:b], p.second[a:b], p.least[a:b]))
 
     def cut_words(key: tuple, t: pa.Table, replies: pa.Table) -> pa.Table:
         if not t.num_rows:
