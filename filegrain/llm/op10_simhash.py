@@ -234,7 +234,7 @@ def near_links(nodes: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (smallest node reachable) for the nodes of edges (a, b); alternating large-star and small-star rounds."""
     edges = checkpointed(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").distinct())
-    before = None
+    before, tasks = None, math.ceil(2 * edges.count() / KEYED_ROWS) + 1
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -242,7 +242,8 @@ def components(edges: DataFrame) -> DataFrame:
         # Now each row has a > b: the small star links all smaller neighbours of a, and a, to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("x"), F.col("m")), F.struct(F.col("a").alias("x"), F.col("m")))).alias("e"))
-        edges = checkpointed(linked.select(F.col("e.x").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
+        # A round has no more edges than the one before it; few of them are written by few tasks.
+        edges = checkpointed(linked.select(F.col("e.x").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct().coalesce(tasks))
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first())
         if now == before:
             break
