@@ -16,6 +16,9 @@ OPERATORS = {
     "op8_token_files": "op8_token_files",
     "op9_mixing": "op9_mixing",
     "op10_simhash": "op10_simhash",
+    "op11_hard_negatives": "op11_hard_negatives",
+    "op12_periodic_runs": "op12_periodic_runs",
+    "op13_jaccard_join": "op13_jaccard_join",
 }
 
 
