@@ -1,8 +1,9 @@
 """N-gram Jaccard join by prefix trees: exact links between sets of word shingles, and their components.
 
 Sets have one global order, rare shingles first, by a count of all shingles in a table of a bounded number of slots (any
-order gives right results; this one keeps groups small). Two sets at the similarity share one of their first
-n - ceil(s * n) + 1 shingles. So shingles in such a prefix are the keys where sets meet.
+order gives right results; this one keeps groups small). Two sets at the similarity share k of their first
+n - ceil(s * n) + k shingles. So shingles in such a prefix are the keys where sets meet, with k = n / SHARE; a set that
+shares fewer of them with all others together has no link.
 
 No group emits its pairs. Shingles that bring the same sets together count once (the sets' numbers are summed up, by
 exclusive or). First each set is compared with the least one of its group, the pivot, which joins a tight group at once;
@@ -27,6 +28,7 @@ columns of docs, whatever their names, are not read.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,10 @@ WORDS = 4
 PERCENT = 85
 #: A cell's limits: sets, and shingles of all its sets.
 CELL_ROWS, CELL_TOKENS = 2048, 2 << 20
+#: Of a set's tokens one in so many has to be shared within the prefix, which is that much longer.
+SHARE = 40
 #: Slots of the table of counts: 2^MOST_BITS at most, one byte each where it is broadcast.
-LEAST_BITS, MOST_BITS, SLICE_BITS = 12, 23, 12
+LEAST_BITS, MOST_BITS, SLICE_BITS = 12, 22, 12
 #: Rows of a list of sets that is broadcast, at most.
 BROADCAST_ROWS = 500_000
 CACHED_WORDS = 400_000
@@ -73,7 +77,13 @@ def ordered(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
-    return n - (percent * n + 99) // 100 + 1 if n else 0
+    """So many first tokens, in the global order, hold n // SHARE of what a set of n has in common with any similar one (one at least)."""
+    return n - (percent * n + 99) // 100 + max(1, n // SHARE) if n else 0
+
+
+def least_shared(size: str, percent: int = PERCENT):
+    """So many tokens of their prefixes two similar sets share, of which one has that size: the smaller one's share counts."""
+    return F.greatest(F.lit(1), F.expr(f"(({percent} * {size} + 99) div 100) div {SHARE}"))
 
 
 def similar(common, one, other, percent: int = PERCENT):
@@ -95,7 +105,7 @@ def token_classes(docs: DataFrame, words: int, bits: int) -> np.ndarray:
         parts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, 1 << cut)
         for a in range(0, len(parts), 64):
             some = [k for k in range(a, min(len(parts), a + 64)) if parts[k].any()]
-            yield pa.record_batch({"slice": pa.array(some, pa.int64()), "counts": pa.array([parts[k].tobytes() for k in some], pa.binary())})
+            yield pa.record_batch({"slice": pa.array(some, pa.int64()), "counts": pa.array([zlib.compress(parts[k].tobytes(), 1) for k in some], pa.binary())})
 
     def total(batches):
         key, held = None, None
@@ -105,7 +115,7 @@ def token_classes(docs: DataFrame, words: int, bits: int) -> np.ndarray:
                     if key is not None:
                         yield _class_row(key, held)
                     key, held = at, np.zeros(1 << cut, np.int64)
-                held += np.frombuffer(counts.as_py(), np.uint8)
+                held += np.frombuffer(zlib.decompress(counts.as_py()), np.uint8)
         if key is not None:
             yield _class_row(key, held)
 
@@ -278,15 +288,21 @@ def _several(rows: DataFrame, key: str) -> DataFrame:
 
 def links(rows: DataFrame, nodes: DataFrame, prefixes: DataFrame, classes, words: int, percent: int) -> DataFrame:
     """a < b: links between nodes that join the same nodes as all links do. rows: doc_id, digest, text; nodes: node, digest, least, size; prefixes: node, size, token."""
+    met = prefixes.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token")
+    shared = checkpointed(prefixes.join(met, "token"))
+    enough = shared.groupBy("node", "size").agg(F.count("*").alias("n")).where(F.col("n") >= least_shared("size", percent)).select("node")
+    kept = shared.join(enough, "node", "left_semi")
     # The nodes that a token brings together, by their number, ends and sum: tokens with equal ones bring the same together.
-    met = prefixes.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("sum")).where("pivot <> last")
-    once = met.groupBy("pivot", "last", "n", "sum").agg(F.min("token").alias("token")).select("token", "pivot")
-    held = prefixes.join(once, "token").join(nodes.select(F.col("node").alias("pivot"), F.col("size").alias("pivot_size")), "pivot")
-    buckets = checkpointed(held.select("token", "node", "size", "pivot", "pivot_size"))
+    alike = kept.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("sum")).where("pivot <> last")
+    once = alike.groupBy("pivot", "last", "n", "sum").agg(F.min("token").alias("token"), F.count("*").alias("weight")).select("token", "pivot", "weight")
+    held = kept.join(once, "token").join(nodes.select(F.col("node").alias("pivot"), F.col("size").alias("pivot_size")), "pivot")
+    buckets = checkpointed(held.select("token", "weight", "node", "size", "pivot", "pivot_size"))
     star = checkpointed(_met(rows, nodes, _star_cells(buckets, percent), classes, words, percent))
     labels = components(star)
-    placed = buckets.where("node <> pivot").join(labels, "node", "left").select("token", "node", "size", F.coalesce("root", "node").alias("label"))
-    rest = checkpointed(placed.join(_several(placed, "token"), "token", "left_semi"))
+    placed = buckets.where("node <> pivot").join(labels, "node", "left").select("token", "weight", "node", "size", F.coalesce("root", "node").alias("label"))
+    several = checkpointed(placed.join(_several(placed, "token"), "token", "left_semi"))
+    enough = several.groupBy("node", "size").agg(F.sum("weight").alias("n")).where(F.col("n") >= least_shared("size", percent)).select("node")
+    rest = checkpointed(several.drop("weight").join(enough, "node", "left_semi"))
     if rest.isEmpty():
         return star
     # Groups that share nodes are one larger group, in which a node moves once for each block.
