@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Generations, checkpointed, pick, table, text_bytes
+from .common import checkpointed, pick, table, text_bytes
 from .op8_token_files import pieces
 from .op10_simhash import components
 
@@ -50,30 +50,37 @@ SHARE = 40
 LEAST_BITS, MOST_BITS, SLICE_BITS = 12, 22, 12
 #: Rows of a list of sets that is broadcast, at most.
 BROADCAST_ROWS = 500_000
-CACHED_WORDS = 400_000
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_hashes = Generations(CACHED_WORDS, xxhash.xxh64_intdigest)
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of so many words; none without words."""
+def hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Of each shingle of so many words, in order."""
     split = text.encode().lower().split() if text else []
     if not split:
         return np.zeros(0, np.uint64)
-    _hashes.trim()
-    each = np.fromiter((_hashes[w] for w in split), np.uint64, len(split))
+    each = np.frombuffer(b"".join(map(xxhash.xxh64_digest, split)), ">u8").astype(np.uint64)
     width = min(words, len(split))
     n = len(split) - width + 1
     h = np.full(n, width, np.uint64)
     for k in range(width):  # the place of a word counts
         h = (h ^ (h >> np.uint64(32))) * FACTORS[k % 8] + each[k : k + n]
     h = (h ^ (h >> np.uint64(31))) * FACTORS[7]
-    return np.unique(h ^ (h >> np.uint64(29)))
+    return h ^ (h >> np.uint64(29))
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of so many words; none without words."""
+    return np.unique(hashes(text, words))
+
+
+def slots(tokens: np.ndarray, size: int) -> np.ndarray:
+    """Of a table of so many, a power of two."""
+    return (tokens >> np.uint64(16)).astype(np.int64) & (size - 1)
 
 
 def ordered(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Tokens in the global order: rare ones first."""
-    return tokens[np.lexsort((tokens, classes[(tokens >> np.uint64(16)).astype(np.int64) & (len(classes) - 1)]))]
+    return tokens[np.lexsort((tokens, classes[slots(tokens, len(classes))]))]
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
@@ -100,8 +107,9 @@ def token_classes(docs: DataFrame, words: int, bits: int) -> np.ndarray:
     def count(batches):
         counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            for text in batch.column("text"):
-                np.add.at(counts, (shingles(text.as_py(), words) >> np.uint64(16)).astype(np.int64) & ((1 << bits) - 1), 1)
+            for a, b in pieces(batch.column("text"), 4 << 20):
+                said = [hashes(t.as_py(), words) for t in batch.column("text").slice(a, b - a)]
+                counts += np.bincount(slots(np.concatenate(said), 1 << bits), minlength=1 << bits).astype(np.uint32)
         parts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, 1 << cut)
         for a in range(0, len(parts), 64):
             some = [k for k in range(a, min(len(parts), a + 64)) if parts[k].any()]
@@ -202,7 +210,7 @@ def _cell_links(classes, percent: int):
         sets = [np.frombuffer(t, "<u8") for _, _, t in rows]
         joined = np.concatenate(sets)
         # Frequent tokens get small numbers, so that sets share their beginnings.
-        order = np.lexsort((joined, classes.value[(joined >> np.uint64(16)).astype(np.int64) & (len(classes.value) - 1)]))
+        order = np.lexsort((joined, classes.value[slots(joined, len(classes.value))]))
         number = np.empty(len(joined), np.int64)
         number[order] = np.cumsum(np.diff(joined[order], prepend=joined[order[:1]]) != 0)
         number = number.max(initial=0) - number
