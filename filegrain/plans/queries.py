@@ -6,6 +6,7 @@ expressions that SQL can repeat.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from ..sources import pages as P
 from ..sources.plan import planned, planned_boxes
 from ..sources.shared import scratch
 from ..sources.store import unexpired
+from ..streaming.state import changes_of, expired, run_in_batches, tab_changes, tabs_now
 from ..streaming.tabs import badges as badges_of
 from ..streaming.tabs import is_media, progressive, run_to_table, tab_state
 
@@ -653,10 +655,33 @@ def tabs(spark, sf_dir):
     return tab_state(e, "at")
 
 
+def _in_time(df: DataFrame, batches: int = 4) -> list[DataFrame]:
+    """A table of events in so many parts of equal time, in order."""
+    first, last = df.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return [df]
+    step = (last - first) / batches
+    return [df.where((F.col("ts") >= first + k * step if k else F.lit(True)) & (F.col("ts") < first + (k + 1) * step if k < batches - 1 else F.lit(True))) for k in range(batches)]
+
+
 @query("w01_tab_state_stream", SQL["w01_tab_state"])
 def tabs_stream(spark, sf_dir):
-    events = _stream(spark, sf_dir, "events")
-    return run_to_table(tab_state(_tab_events(spark, sf_dir, events).withColumn("at", F.struct("ts", "event_id")), "at"))
+    """Tabs by keyed state, over four batches."""
+    events = _tab_events(spark, sf_dir)
+    return tabs_now(changes_of(_in_time(events), lambda stream: tab_changes(stream, is_media("mime"))))
+
+
+@query(
+    "w03_expired",
+    """SELECT key, item, CAST(date_trunc('milliseconds', ts) AS TIMESTAMP) AS saved_at FROM (
+      SELECT user_id AS key, event_id AS item, ts, epoch_ms(ts) AS at, lead(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS following, (SELECT max(epoch_ms(ts)) FROM events) AS last FROM events
+    ) WHERE coalesce(following, last - 1000) - at > 3600000""",
+)
+def expired_puts(spark, sf_dir):
+    """Each user's last event is held for an hour; those whose hour passes without another go out, over four batches."""
+    puts = T(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("item"), "ts")
+    out = changes_of(_in_time(puts), lambda stream: expired(stream, datetime.timedelta(hours=1), "ts"), "append")
+    return out.select("key", "item", F.col("saved_at").cast("timestamp_ntz").alias("saved_at"))
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -673,19 +698,21 @@ def badge_stream(spark, sf_dir):
 
 @query("w04_progressive", SQL["r03_rank"].replace("doc_id, severity,", "doc_id AS item_seq, severity,", 1))
 def progressive_ranks(spark, sf_dir):
-    """Ranks of the results of a stream, as its last batch shows them; its summary has to count as many."""
+    """Ranks of results that come in four batches, as the last one shows them; its summary has to count all."""
     base = scratch(spark, "progress")
 
     def show(rows: DataFrame, summary: DataFrame, number: int) -> None:
         rows.select("item_seq", "severity").limit(100).write.mode("overwrite").parquet(f"{base}/rows")
         summary.write.mode("overwrite").parquet(f"{base}/summary")
 
-    progressive(as_reports(spark, sf_dir, _stream(spark, sf_dir, "documents")), show, f"{base}/checkpoint").awaitTermination()
+    documents = T(spark, sf_dir, "documents")
+    parts = [documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == k) for k in range(4)]
+    run_in_batches(parts, lambda stream, checkpoint: progressive(as_reports(spark, sf_dir, stream), show, checkpoint, most=100).awaitTermination())
     from pyspark.sql import Window
 
     ranks = spark.read.parquet(f"{base}/rows").withColumn("place", F.row_number().over(Window.orderBy(F.desc("severity"), "item_seq")).cast("long"))  # 100 rows
     counted = spark.read.parquet(f"{base}/summary").first()
-    return ranks.where(F.col("place") <= counted["total"])
+    return ranks.where(F.lit(counted["total"] == documents.count()))
 
 
 @query("s16_media_events", f"SELECT event_id, mime FROM ({EVENT_SQL}) WHERE mime <> 'text/html'")

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import native
-from ..operators.relational import ranked, scan_summary
 from ..sources.shared import scratch
+from .snapshots import MOST, Snapshots
 
 MEDIA = r"^(image/|video/|audio/|application/(x-)?pdf)"
 
@@ -32,11 +32,16 @@ def badges(results: DataFrame) -> DataFrame:
     return results.select("tab_id", native.badge("mime", "flags").alias("b")).select("tab_id", "b.text", "b.color")
 
 
-def progressive(results: DataFrame, show: Callable[[DataFrame, DataFrame, int], None], checkpoint: str, trigger: dict | None = None):
-    """Start a query that, for each batch of results, shows it ranked and summed up. Returns the query."""
+def progressive(results: DataFrame, show: Callable[[DataFrame, DataFrame, int], None], checkpoint: str, trigger: dict | None = None, most: int = MOST, path: str | None = None):
+    """Start a query that, after each batch of results, shows the best of all results so far and their sums. Returns the query.
+
+    show(rows, summary, number): at most `most` rows. path: where snapshots are kept, beside the checkpoint if not given.
+    """
+    kept = Snapshots(results.sparkSession, path or f"{checkpoint.rstrip('/')}-snapshots", most)
 
     def each(batch: DataFrame, number: int) -> None:
-        show(ranked(batch), scan_summary(batch), number)
+        kept.merge(batch, number)
+        show(kept.rows(number), kept.summary(number), number)
 
     writer = results.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
