@@ -673,9 +673,9 @@ def tabs_stream(spark, sf_dir):
 
 @query(
     "w03_expired",
-    """SELECT key, item, CAST(date_trunc('milliseconds', ts) AS TIMESTAMP) AS saved_at FROM (
-      SELECT user_id AS key, event_id AS item, ts, epoch_ms(ts) AS at, lead(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS following, (SELECT max(epoch_ms(ts)) FROM events) AS last FROM events
-    ) WHERE coalesce(following, last - 1000) - at > 3600000""",
+    """SELECT key, item, make_timestamp(1000 * (epoch_us(ts) // 1000)) AS saved_at FROM (
+      SELECT user_id AS key, event_id AS item, ts, epoch_us(ts) // 1000 AS put_at, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS next_at, (SELECT max(epoch_us(ts) // 1000) FROM events) AS last_at FROM events
+    ) WHERE coalesce(next_at, last_at - 1000) - put_at > 3600000""",
 )
 def expired_puts(spark, sf_dir):
     """Each user's last event is held for an hour; those whose hour passes without another go out, over four batches."""
