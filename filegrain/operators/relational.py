@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import native
+from ..sources.shared import checkpointed
 
 PERSON = "(?i)author|last-modified|last-saved|owner"
 ACTIVE = "(?i)JavaScript|macro|executable|script"
@@ -81,6 +82,25 @@ def merge_parts(parts: DataFrame, key: str, s: str = "s", e: str = "e", size: st
     return rows.withColumn("fg_reach", reach).withColumn("fg_island", island).groupBy(key, "fg_island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("fg_island")
 
 
+def merge_spread(parts: DataFrame, key: str, s: str = "s", e: str = "e", size: str | None = None) -> DataFrame:
+    """merge_parts for keys with any number of parts: a key's parts are spread over tasks by their place, each task merges its own, and what reaches over from earlier tasks comes from one row for each key and task."""
+    low = F.greatest(F.col(s), F.lit(0))
+    high = F.least(F.col(e), F.col(size)) if size else F.col(e)
+    rows = parts.select(F.col(key).alias("k"), low.cast("long").alias("s"), high.cast("long").alias("e")).where("e > s")
+    # A checkpoint, so that a row's task is the same for all that follows.
+    rows = checkpointed(rows.repartitionByRange("k", "s").withColumn("task", F.spark_partition_id()))
+    own = Window.partitionBy("k", "task").orderBy("s", "e")
+    before = Window.partitionBy("k").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    beside = lambda left, right: left.join(right.toDF("of_k", "of_task", "known"), F.col("k").eqNullSafe(F.col("of_k")) & (F.col("task") == F.col("of_task"))).drop("of_k", "of_task")
+    carried = rows.groupBy("k", "task").agg(F.max("e").alias("most")).select("k", "task", F.max("most").over(before))
+    reached = beside(rows, carried).withColumn("reach", F.greatest(F.max("e").over(own.rowsBetween(Window.unboundedPreceding, -1)), "known")).drop("known")
+    marked = reached.withColumn("starts", F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach")), F.col("s")))
+    begun = marked.groupBy("k", "task").agg(F.max("starts").alias("last")).select("k", "task", F.max("last").over(before))
+    # Over rows up to here and their equals: of equal rows only one is marked.
+    placed = beside(marked, begun).withColumn("start", F.coalesce(F.max("starts").over(own), "known"))
+    return placed.groupBy("k", "start").agg(F.max("e").alias("e")).select(F.col("k").alias(key), F.col("start").alias("s"), "e")
+
+
 def bytes_read(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a + p["e"] - p["s"])
 
@@ -110,6 +130,21 @@ def nearest_paper(df: DataFrame, width: str, height: str, papers: list[tuple[str
     return df.withColumn("paper", out)
 
 
+def nearest_size(df: DataFrame, width: str, height: str, sizes: DataFrame, within: int = 4) -> DataFrame:
+    """df with paper: of a table of sizes (ordinal, name, w, h) the first whose sides are both nearer than within, in either orientation; null if none is.
+
+    Sizes stand in the nine cells of a grid around them, so pairs meet by equality; each pair of sides of df is looked up once.
+    """
+    cell = lambda c: F.floor(F.col(c) / within).cast("long")
+    turned = sizes.select("ordinal", "name", F.col("w").alias("a"), F.col("h").alias("b")).unionByName(sizes.select("ordinal", "name", F.col("h").alias("a"), F.col("w").alias("b")))
+    near = F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long"))
+    keyed = turned.withColumns({"x": cell("a"), "y": cell("b")}).withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).select("ordinal", "name", "a", "b", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
+    asked = df.select(F.col(width).alias("w"), F.col(height).alias("h")).distinct().withColumns({"x": cell("w"), "y": cell("h")})
+    met = asked.join(keyed, ["x", "y"]).where((F.abs(F.col("w") - F.col("a")) < within) & (F.abs(F.col("h") - F.col("b")) < within))
+    best = met.groupBy("w", "h").agg(F.min_by("name", "ordinal").alias("paper")).toDF("fg_w", "fg_h", "paper")
+    return df.join(best, (F.col(width) == F.col("fg_w")) & (F.col(height) == F.col("fg_h")), "left").drop("fg_w", "fg_h")
+
+
 def largest(df: DataFrame, keys: list[str], width: str, height: str, order: str, columns: list[str]) -> DataFrame:
     """For each key the row of the largest area; of equal ones the first."""
     best = F.max_by(F.struct(*columns), F.struct((F.col(width) * F.col(height)).alias("area"), (-F.col(order)).alias("o")))

@@ -19,6 +19,7 @@ from ..operators.cleaning import svg_text
 from ..operators.extract.pdf import PAPER
 from ..operators.extraction import extract, metadata_rows
 from ..sources import pages as P
+from ..sources import ranges
 from ..sources.plan import planned, planned_boxes
 from ..sources.shared import scratch
 from ..sources.store import unexpired
@@ -204,6 +205,27 @@ def merge_parts(spark, sf_dir):
     return R.merge_parts(_parts(spark, sf_dir), "file", size="size")
 
 
+@query("r12_merge_spread", SQL["r12_merge_parts"])
+def merge_spread(spark, sf_dir):
+    return R.merge_spread(_parts(spark, sf_dir), "file", size="size")
+
+
+@query(
+    "s12_ranges",
+    """SELECT CAST(doc_id % 32 AS INT) AS bucket, CAST(ceil(sum(octet_length(encode(text)) + 1) / 4096.0) AS BIGINT) AS n_ranges, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS n_bytes,
+    sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS content_sha256 FROM documents GROUP BY doc_id % 32""",
+)
+def file_ranges(spark, sf_dir):
+    """Files of documents' texts, read by ranges of 4 KiB and put together again."""
+    base = scratch(spark, "ranged")
+    rows = T(spark, sf_dir, "documents").select((F.col("doc_id") % 32).cast("int").alias("bucket"), "doc_id", "text").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+    rows.select("bucket", "text").write.partitionBy("bucket").text(base)
+    cut = ranges.cut(ranges.sizes(spark, base), 4096)
+    parts = ranges.read(cut).withColumn("bucket", F.regexp_extract("path", r"/bucket=(\d+)/", 1).cast("int"))
+    counts = parts.groupBy("bucket").agg(F.count("*").alias("n_ranges"), F.sum(F.octet_length("bytes")).cast("long").alias("n_bytes"))
+    return counts.join(ranges.together(parts, "bucket"), "bucket").select("bucket", "n_ranges", "n_bytes", F.sha2("content", 256).alias("content_sha256"))
+
+
 @query(
     "r13_read_ratio",
     f"""WITH m AS ({SQL["r12_merge_parts"]}) SELECT file, CAST(sum(e - s) AS BIGINT) AS bytes_read, round(sum(e - s) / 450.0, 6) AS ratio FROM m GROUP BY file""",
@@ -467,6 +489,22 @@ def paper(spark, sf_dir):
     return R.nearest_paper(p, "w", "h", list(PAPER)).select("p_partkey", "paper")
 
 
+@query(
+    "e09q_sizes",
+    """WITH p AS (SELECT p_partkey, 20 + p_partkey % 977 AS w, 20 + (p_partkey * 7 + p_size) % 991 AS h FROM part),
+    s AS (SELECT DISTINCT ps_w AS w, ps_h AS h, min(k) AS ordinal FROM (SELECT p_partkey AS k, 20 + (p_partkey * 13) % 977 AS ps_w, 20 + (p_partkey * 11) % 991 AS ps_h FROM part) GROUP BY 1, 2),
+    m AS (SELECT p.p_partkey, s.ordinal, row_number() OVER (PARTITION BY p.p_partkey ORDER BY s.ordinal) AS n FROM p JOIN s ON (abs(p.w - s.w) < 4 AND abs(p.h - s.h) < 4) OR (abs(p.w - s.h) < 4 AND abs(p.h - s.w) < 4))
+    SELECT p.p_partkey, 'size ' || m.ordinal AS paper FROM p LEFT JOIN m ON m.p_partkey = p.p_partkey AND m.n = 1""",
+)
+def paper_sizes(spark, sf_dir):
+    """The first near size of as many as there are parts."""
+    k = F.col("p_partkey")
+    part = T(spark, sf_dir, "part")
+    p = part.select("p_partkey", (20 + k % 977).alias("w"), (20 + (k * 7 + F.col("p_size")) % 991).alias("h"))
+    sizes = part.select((20 + (k * 13) % 977).alias("w"), (20 + (k * 11) % 991).alias("h"), k.alias("ordinal")).groupBy("w", "h").agg(F.min("ordinal").alias("ordinal"))
+    return R.nearest_size(p, "w", "h", sizes.withColumn("name", F.concat(F.lit("size "), F.col("ordinal").cast("string")))).select("p_partkey", "paper")
+
+
 @query("e14_id3v1", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN substr(p_name, 1, 30) END AS title, CASE WHEN p_partkey % 2 = 0 THEN CAST(1 + p_partkey % 200 AS INT) END AS track FROM part")
 def id3v1(spark, sf_dir):
     pad = lambda c, n: F.substring(F.concat(F.encode(c, "ISO-8859-1"), F.unhex(F.lit("00" * n))), 1, n)
