@@ -30,7 +30,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import pick, place, table
 
 NAMES = r"(?i:(password|passwd|secret|token|api_?key))"
 ASSIGN = NAMES + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -152,13 +152,14 @@ def log_ratio(token: Column, model: list[float]) -> Column:
     return F.when(F.length(token) > 1, F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / (F.length(token) - 1))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: DataFrame | None = None, least: float = LEAST) -> DataFrame:
-    """doc_id, base and spans: arrays of (start, kind, end, value) in order of start, then kind. A row for each row.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: DataFrame | None = None, least: float = LEAST, beside: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, base and spans: arrays of (start, kind, end, value) in order of start, then kind; then docs' columns that beside names. A row for each row.
 
     samples (token, secret; by default labelled_samples()) are what the models are counted from.
     """
     model = train(samples if samples is not None else labelled_samples(docs.sparkSession))
-    df = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")).withColumn("text", F.coalesce("text", F.lit("")))
+    kept = {f"fg_beside{k}": (name, docs.schema[place(docs, name)].dataType) for k, name in enumerate(beside)}
+    df = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"), **kept).withColumn("text", F.coalesce("text", F.lit("")))
     df = _found(df, ASSIGN, "assign", lambda v: F.length(F.regexp_extract(v, ASSIGN, 2)) >= 8)
     df = _found(df, ACCESS, "access", lambda v: F.lit(True))
     df = _found(df, HEX, "hex", lambda v: F.lit(True))
@@ -171,7 +172,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     added = F.filter("markov", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     df = df.withColumn("all", F.array_sort(F.concat("base", added)))
     named = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), F.element_at(F.array(*map(F.lit, KINDS)), x["k"] + 1).alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
-    return df.select("doc_id", named("base").alias("base"), named("all").alias("spans"))
+    return df.select("doc_id", named("base").alias("base"), named("all").alias("spans"), *[F.col(own).alias(name) for own, (name, _) in kept.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,5 +190,5 @@ def query_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = tokens.count()
     planted = docs.withColumn("n", F.pmod(F.xxhash64("doc_id"), F.lit(size)).cast("int")).join(F.broadcast(tokens), "n")
     planted = planted.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" left here: "), "token"))
-    spans = scan(planted).select("doc_id", F.get("spans", F.size("spans") - 1)["value"].alias("last"))
-    return planted.select("doc_id", "secret", "form", "token").join(spans, "doc_id").select("doc_id", "secret", "form", F.coalesce(F.col("last") == F.col("token"), F.lit(False)).alias("found"))
+    found = scan(planted, beside=("secret", "form", "token"))  # by row: ids may be null or repeat
+    return found.select("doc_id", "secret", "form", F.coalesce(F.get("spans", F.size("spans") - 1)["value"] == F.col("token"), F.lit(False)).alias("found"))

@@ -174,6 +174,13 @@ def test_op3_finds_planted_secrets(spark):
     assert len(rows) == 200 and sum(r["found"] for r in secrets) >= 0.9 * len(secrets) and sum(r["found"] for r in others) <= 0.03 * len(others)
 
 
+def test_op3_plants_by_row(spark, tmp_path):
+    rows = [(k % 20, f"text {k}") for k in range(40)] + [(None, "none"), (None, None), (None, "none")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op3_secrets.query_planted(spark, str(tmp_path)).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+
+
 def test_op3_hard_rows(hard, empty, spark):
     assert op3_secrets.scan(empty).count() == 0
     got = Counter((r["doc_id"], tuple((x["start"], x["end"]) for x in r["base"])) for r in op3_secrets.scan(hard).collect())
@@ -278,22 +285,20 @@ def test_op6_expands_each_reply(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int")
     made = op6_chat.examples(df)
     by = defaultdict(list)
-    for r in made.collect():
+    for r in op6_chat.whole(made).collect():
         by[r["conv_id"]].append(r)
     one = sorted(by[1], key=lambda r: r["example"])
     assert [op6_chat.unescape(r["formatted"][r["loss_start"] : r["loss_end"]]) for r in one] == ["A<|x", "B", ""]
     assert [len(op6_chat.turns_of(r["formatted"])) for r in one] == [3, 5, 6] == [r["n_turns"] for r in one]
     assert one[1]["formatted"].startswith(one[0]["formatted"])
+    assert sorted(r["example"] for r in by[3]) == [0, 1] and len(by[2]) == len(by[None]) == 1
     got = {r["conv_id"]: r for r in op6_chat.digests(made).collect()}
     assert got[1]["turns_sha256"] == sha("".join(f"{r}\n{t or ''}\n" for _, _, r, t, _ in rows[:6])) and got[1]["loss_sha256"] == sha("A<|xB")
     assert got[2]["loss_chars"] == 0 and got[2]["n_turns"] == 1 and got[None]["turns_sha256"] == sha("\n\n") and got[3]["n_turns"] == 2
     assert op6_chat.digests(op6_chat.examples(df.limit(0))).count() == 0
-    parts = op6_chat.examples(df, most_context=0)
-    again = {r["conv_id"]: r for r in op6_chat.digests(parts).collect()}
-    for k, r in got.items():
-        assert [r[c] for c in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256")] == [again[k][c] for c in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256")]
-    added = sorted((r for r in parts.collect() if r["conv_id"] == 1), key=lambda r: r["example"])
-    assert "".join(r["formatted"] for r in added) == one[-1]["formatted"] and [r["context_chars"] for r in added] == [0, len(one[0]["formatted"]), len(one[1]["formatted"])]
+    stored = sorted((r for r in made.collect() if r["conv_id"] == 1), key=lambda r: r["n_turns"])
+    assert "".join(r["formatted"] for r in stored) == one[-1]["formatted"] and [r["ends"] for r in stored] == [False, False, True, False, True, True]
+    assert [r["context_chars"] for r in stored] == [sum(len(x["formatted"]) for x in stored[:k]) for k in range(6)] and [r["example"] for r in stored] == [0, 0, 0, 1, 1, 2]
 
 
 def chat_digest(turns):
@@ -324,20 +329,18 @@ def test_op6_null_ids_and_long_conversations(spark, monkeypatch):
     assert sum(len(r["formatted"]) for r in made.collect()) < 50 * 60  # no row is another's context
     got = op6_chat.digests(made).collect()
     assert Counter((r["n_turns"], r["turns_sha256"]) for r in got) == Counter((1, sha(f"{r}\n{t}\n")) for _, _, r, t in rows)
-    for n in (100, 200):
-        rows = [(7, k, "user" if k % 2 else "assistant", "x" * 50) for k in range(n)]
-        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-        made = op6_chat.examples(df, most_context=1000)
-        assert sum(len(r["formatted"]) for r in made.collect()) < n * 100 + 12 * 1100  # in proportion
-        assert [tuple(r)[1:5] for r in op6_chat.digests(made).collect()] == [chat_digest([(r, t) for _, _, r, t in rows])]
+    assert op6_chat.whole(made).count() == 50
 
 
-def test_op6_context_without_replies_goes_out_in_parts(spark):
-    rows = [(7, k, "user", "y" * (1 << 20)) for k in range(10)] + [(7, 10, "assistant", "z")]
+@pytest.mark.parametrize("reply", ["assistant", "user"])
+def test_op6_long_conversations_are_stored_once(spark, reply):
+    """8,000 turns, with and without replies: output at most 1.5 times the input."""
+    rows = [(7, k, "user" if k % 2 else reply, "x" * 80) for k in range(8_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     made = op6_chat.examples(df)
     found = made.collect()
-    assert len(found) > 1 and max(len(r["formatted"]) for r in found) < 6 << 20
+    assert sum(len(r["formatted"]) for r in found) <= 1.5 * sum(len(r[3]) for r in rows) and max(len(r["formatted"]) for r in found) < 200
+    assert sum(r["ends"] for r in found) == (4_001 if reply == "assistant" else 1)
     assert [tuple(r)[1:5] for r in op6_chat.digests(made).collect()] == [chat_digest([(r, t) for _, _, r, t in rows])]
 
 
