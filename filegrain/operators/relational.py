@@ -169,11 +169,15 @@ def embedded_union(parents: DataFrame, children: DataFrame, parent: str = "paren
     return own.unionByName(other)
 
 
+def folded(c: Column) -> Column:
+    """Lower case by Turkish rules: I -> ı, İ -> i."""
+    return F.lower(F.translate(c, "Iİ", "ıi"))
+
+
 def field_search(rows: DataFrame, query: str) -> DataFrame:
-    """Long rows whose key, value or section title contains the query, in lower case by Turkish rules (I -> ı, İ -> i)."""
-    fold = lambda c: F.lower(F.translate(c, "Iİ", "ıi"))
-    q = fold(F.lit(query))
-    return rows.where(F.contains(fold(F.col("k")), q) | F.contains(fold(F.col("v")), q) | F.contains(fold(F.col("section_title")), q))
+    """Long rows whose key, value or section title contains the query, in lower case by Turkish rules."""
+    q = folded(F.lit(query))
+    return rows.where(F.contains(folded(F.col("k")), q) | F.contains(folded(F.col("v")), q) | F.contains(folded(F.col("section_title")), q))
 
 
 SEPARATORS = r"( · | — | / |: |, )"

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import native as N
 from ..operators import relational as R
-from ..operators import render
+from ..operators import render, search
 from ..operators.cleaning import svg_text
 from ..operators.extract.pdf import PAPER
 from ..operators.extraction import extract, metadata_rows
@@ -441,6 +441,15 @@ def field_search(spark, sf_dir):
     return R.field_search(rows, "IN ").select("file_id", F.col("k").alias("v"))
 
 
+@query("t09_indexed_search", SQL["t09_field_search"].replace("'IN '", "'Inst'"))
+def indexed_search(spark, sf_dir):
+    """The same by an index of trigrams, made here."""
+    path = f"{scratch(spark, 'index')}/postings"
+    rows = T(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("lang").alias("k"), F.col("text").alias("v"), F.lit("").alias("section_title"))
+    search.write_index(rows, "file_id", path)
+    return search.indexed_search(rows, "file_id", path, "Inst").select("file_id", F.col("k").alias("v"))
+
+
 @query("t10_predicates", "SELECT c_custkey, c_custkey % 5 IN (0, 1) AS sensitive, c_custkey % 4 IN (0, 3) AS executable, c_custkey % 3 = 1 AS retriable FROM customer")
 def predicates(spark, sf_dir):
     from ..operators.extract.pdf import EXECUTABLE
