@@ -19,9 +19,9 @@ from ..operators.cleaning import svg_text
 from ..operators.extract.pdf import PAPER
 from ..operators.extraction import extract, metadata_rows
 from ..sources import pages as P
-from ..sources import ranges
+from ..sources import ranges, saved
 from ..sources.plan import planned, planned_boxes
-from ..sources.shared import scratch
+from ..sources.shared import folder, scratch
 from ..sources.store import unexpired
 from ..streaming.state import changes_of, expired, run_in_batches, tab_changes, tabs_now
 from ..streaming.tabs import badges as badges_of
@@ -334,6 +334,21 @@ def csv_lines(spark, sf_dir):
     return render.csv_lines(as_reports(spark, sf_dir))
 
 
+@query(
+    "k04_exact_file",
+    f"""WITH f AS (SELECT encode(string_agg(line, chr(13) || chr(10) ORDER BY seq)) AS b FROM ({SQL["k04_csv_lines"]}))
+    SELECT CAST(s AS BIGINT) AS s, CAST(octet_length(piece) AS BIGINT) AS n_bytes, sha256(piece) AS piece_sha256
+    FROM (SELECT r.s, array_slice(b, r.s + 1, r.s + 4096) AS piece FROM f, unnest(range(0, octet_length(b), 4096)) AS r(s))""",
+)
+def exact_file(spark, sf_dir):
+    """The export as one file, which tasks write together and read again by ranges of 4 KiB."""
+    base = scratch(spark, "exact")
+    scheme, at = folder(spark, base)
+    saved.write_exact(render.csv_lines(as_reports(spark, sf_dir)), f"{scheme}:{at}/scan.csv", ["seq"])
+    parts = ranges.read(ranges.cut(ranges.sizes(spark, base), 4096))
+    return parts.select("s", F.octet_length("bytes").cast("long").alias("n_bytes"), F.sha2("bytes", 256).alias("piece_sha256"))
+
+
 @query(
     "k05_base_name",
     r"""SELECT p_partkey, CASE WHEN b = '' THEN 'file' ELSE substr(b, 1, 80) END AS base, (CASE WHEN b = '' THEN 'file' ELSE substr(b, 1, 80) END) || '-clean.' || coalesce(nullif(regexp_extract(n, '\.([A-Za-z0-9]{1,8})$', 1), ''), 'bin') AS clean
@@ -346,6 +361,24 @@ def base_names(spark, sf_dir):
     return p.select("p_partkey", N.base_name("n").alias("base"), N.clean_name("n").alias("clean"))
 
 
+@query(
+    "k06_saved_files",
+    r"""WITH n AS (SELECT p_partkey, replace(p_brand, '#', CASE WHEN p_size % 5 = 0 THEN ' (' || p_size || ')' ELSE ' ' END) || '-clean.jpg' AS name, p_name || ' ' || p_type AS content FROM part),
+    c AS (SELECT *, regexp_extract(name, '(?s)^(.*?)(?: \((\d{1,9})\))?(\.[^.]*)?\z', ['stem', 'number', 'ext']) AS x FROM n),
+    w AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p_partkey) AS nth, row_number() OVER (PARTITION BY x.stem, x.ext ORDER BY name, p_partkey) - 1 AS place,
+      greatest(max(TRY_CAST(x.number AS INT)) OVER (PARTITION BY x.stem, x.ext), 1) AS most FROM c)
+    SELECT CASE WHEN nth = 1 THEN name ELSE x.stem || ' (' || (most + place) || ')' || x.ext END AS name, CAST(octet_length(encode(content)) AS BIGINT) AS n_bytes, sha256(content) AS content_sha256 FROM w""",
+)
+def saved_files(spark, sf_dir):
+    """Each part as a file under the name of its brand, numbered apart, and read back."""
+    mark = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit(" ("), F.col("p_size").cast("string"), F.lit(")"))).otherwise(" ")
+    p = T(spark, sf_dir, "part").select("p_partkey", N.clean_name(F.concat(F.replace("p_brand", F.lit("#"), mark), F.lit(".jpg"))).alias("name"), F.concat_ws(" ", "p_name", "p_type").alias("bytes"))
+    base = scratch(spark, "saved")
+    saved.write_files(p, base, order=["p_partkey"])
+    read = spark.read.format("binaryFile").load(base)
+    return read.select(F.regexp_extract("path", "([^/]*)$", 1).alias("path"), "content").select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("name"), F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("content_sha256"))
+
+
 @query(
     "k07_badge",
     f"""SELECT doc_id, (CASE doc_id % 4 WHEN 0 THEN 'IMG' WHEN 1 THEN 'PDF' WHEN 2 THEN 'VID' ELSE 'SES' END) || CASE WHEN {_hit(0)} OR {_hit(1)} OR {_hit(2)} THEN '!' ELSE '' END AS text,

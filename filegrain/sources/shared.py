@@ -28,6 +28,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def folder(spark: SparkSession, path: str) -> tuple[str, str]:
+    """Make a folder; the scheme of its file system, and its path without it."""
+    files, at = _files(spark, path)
+    files.mkdirs(at)
+    return files.getUri().getScheme(), at.toUri().getPath()
+
+
 def removed(spark: SparkSession, path: str) -> None:
     files, at = _files(spark, path)
     files.delete(at, True)
