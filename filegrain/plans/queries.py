@@ -19,7 +19,7 @@ from ..operators.cleaning import svg_text
 from ..operators.extract.pdf import PAPER
 from ..operators.extraction import extract, metadata_rows
 from ..sources import pages as P
-from ..sources import ranges, saved
+from ..sources import log, ranges, saved
 from ..sources.plan import planned, planned_boxes
 from ..sources.shared import folder, scratch
 from ..sources.store import unexpired
@@ -800,6 +800,23 @@ def media_events(spark, sf_dir):
     return _tab_events(spark, sf_dir).where(is_media("mime")).select("event_id", "mime")
 
 
+@query("s16_media_stream", SQL["s16_media_events"])
+def media_stream(spark, sf_dir):
+    """The same from a log of events: four epochs, each read by a start from the checkpoint; the last start finds nothing new."""
+    base = scratch(spark, "log")
+    out = f"{base}/media"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    for part in [*_in_time(_tab_events(spark, sf_dir)), None]:
+        if part is not None:
+            log.append(part.select("event_id", "mime"), f"{base}/log")
+        events = log.stream(spark, f"{base}/log").select(F.from_json("line", "event_id long, mime string").alias("x")).select("x.event_id", "x.mime")
+        events.where(is_media("mime")).writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, mime string").parquet(out).select("event_id", "mime")
+
+
 @query(
     "r22_page_state",
     f"WITH s AS ({SQL['w01_tab_state']}) SELECT e.event_id, e.tab_id, s.mime FROM ({EVENT_SQL}) e LEFT JOIN s ON e.tab_id = s.tab_id AND e.url = s.url",
