@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import native as N
 from ..operators import relational as R
-from ..operators import render, search
+from ..operators import dictionary, render, search
 from ..operators.cleaning import svg_text
 from ..operators.extract.pdf import PAPER
 from ..operators.extraction import extract, metadata_rows
@@ -690,6 +690,33 @@ def translate(spark, sf_dir):
     return T(spark, sf_dir, "documents").select("doc_id", R.translated(said, EXACT, [(r"^(\d+) sayfa$", "$1 pages")]).alias("said"))
 
 
+@query(
+    "r19_dictionary",
+    r"""WITH x AS (SELECT l_orderkey, l_linenumber, w, CASE l_linenumber % 6 WHEN 0 THEN w WHEN 1 THEN u WHEN 2 THEN w || ' · q, ' || w WHEN 3 THEN '✓ ' || w || ', ' || u || ', other' WHEN 4 THEN 'a · b, ' || u ELSE 'none, here' END AS text
+      FROM (SELECT l_orderkey, l_linenumber, p_name || ' ' || p_brand AS w, CAST(l_quantity AS INT) || ' adet Supplier#' || printf('%09d', l_suppkey) AS u FROM lineitem JOIN part ON p_partkey = l_partkey)),
+    e AS (SELECT p_name || ' ' || p_brand AS rest, arg_min(p_type || ' (' || p_partkey || ')', p_partkey) AS target FROM part GROUP BY 1),
+    l AS (SELECT * FROM (VALUES (0, ''), (1, ' · '), (2, '  '), (3, ', '), (4, ' | '), (5, chr(10))) AS l(level, sep)),
+    p AS (SELECT text, level, sep, parts, unnest(range(1, len(parts) + 1)) AS place FROM (SELECT text, level, sep, CASE WHEN level = 0 THEN [text] ELSE string_split(text, sep) END AS parts FROM (SELECT DISTINCT text FROM x), l WHERE level = 0 OR contains(text, sep))),
+    m AS (SELECT *, CASE WHEN level > 0 AND parts[place][1:2] IN ('✓ ', '✗ ') THEN parts[place][1:2] ELSE '' END AS mark, parts[place][len(mark) + 1:] AS rest, regexp_extract(rest, '^([0-9]+) adet (Supplier#[0-9]+)$', ['n', 's']) AS g FROM p),
+    k AS (SELECT text, level, sep, place, mark, rest, coalesce(target, s_name || ': ' || g.n || ' pieces') AS said FROM m LEFT JOIN e USING (rest) LEFT JOIN supplier ON s_name = g.s),
+    b AS (SELECT text, level, string_agg(CASE WHEN place > 1 THEN sep ELSE '' END || mark || coalesce(said, rest), '' ORDER BY place) AS joined FROM k GROUP BY text, level HAVING count(said) > 0)
+    SELECT l_orderkey, l_linenumber, coalesce(said, text) AS said FROM x LEFT JOIN (SELECT text, arg_min(joined, level) AS said FROM b GROUP BY text) USING (text)""",
+)
+def dictionary_tables(spark, sf_dir):
+    """Lines named by a dictionary of all parts and a pattern for each supplier."""
+    parts = T(spark, sf_dir, "part").withColumn("w", F.concat_ws(" ", "p_name", "p_brand"))
+    unit = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" adet Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0"))
+    lines = T(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", unit.alias("u")).join(parts.select(F.col("p_partkey").alias("l_partkey"), "w"), "l_partkey")
+    k = F.col("l_linenumber") % 6
+    forms = {0: ["w"], 1: ["u"], 2: ["w", F.lit(" · q, "), "w"], 3: [F.lit("✓ "), "w", F.lit(", "), "u", F.lit(", other")], 4: [F.lit("a · b, "), "u"]}
+    text = F.lit("none, here")
+    for n, made in forms.items():
+        text = F.when(k == n, F.concat(*made)).otherwise(text)
+    exact = parts.select(F.col("p_partkey").alias("ordinal"), F.col("w").alias("source"), F.concat("p_type", F.lit(" ("), F.col("p_partkey").cast("string"), F.lit(")")).alias("target"))
+    patterns = T(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ordinal"), F.concat(F.lit("^([0-9]+) adet "), "s_name", F.lit("$")).alias("pattern"), F.concat("s_name", F.lit(": $1 pieces")).alias("template"))
+    return dictionary.translate(lines.select("l_orderkey", "l_linenumber", text.alias("text")), "text", exact, patterns).drop("text")
+
+
 @query(
     "f23_language",
     """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN CASE WHEN c_nationkey % 3 = 0 THEN 'tr' ELSE 'en' END WHEN 1 THEN 'tr' WHEN 2 THEN 'de' ELSE 'en' END AS lang,
