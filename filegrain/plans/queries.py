@@ -20,6 +20,7 @@ from ..operators.extract.pdf import PAPER
 from ..operators.extraction import extract, metadata_rows
 from ..sources import pages as P
 from ..sources import log, ranges, saved
+from ..sources.boxes import top_boxes
 from ..sources.plan import planned, planned_boxes
 from ..sources.shared import folder, scratch
 from ..sources.store import unexpired
@@ -186,6 +187,28 @@ def box_plan(spark, sf_dir):
     return out.select("l_orderkey", F.size("parts").cast("long").alias("n_parts"), R.bytes_read(F.col("parts")).alias("bytes_planned"))
 
 
+@query(
+    "s10_box_walk",
+    """WITH RECURSIVE f AS (SELECT l_orderkey AS file, string_agg(CASE WHEN l_partkey % 9 = 0 THEN '00000001' || hex(k) || printf('%016X', 16 + n) WHEN l_partkey % 41 = 0 THEN printf('%08X', l_partkey % 8) || hex(k) ELSE printf('%08X', 8 + n) || hex(k) END || repeat('00', n), '' ORDER BY l_linenumber, l_partkey, l_quantity) AS h
+      FROM (SELECT *, CAST(l_quantity AS INT) AS n, ['ftyp', 'moov', 'mdat', 'free', 'uuid', 'abcd'][1 + l_partkey % 6] AS k FROM lineitem) GROUP BY l_orderkey),
+    w AS (SELECT file, h, CAST(0 AS BIGINT) AS p, len(h) // 2 AS size, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS e, '' AS type, 0 AS head, 0 AS n FROM f
+      UNION ALL SELECT file, h, p + b, size, p, least(size, p + b), kind, head2, n + 1 FROM (
+        SELECT *, CASE WHEN short = 1 THEN 16 ELSE 8 END AS head2, CASE WHEN short = 1 THEN CAST('0x' || h[2 * p + 17:2 * p + 32] AS BIGINT) WHEN short = 0 THEN size - p ELSE short END AS b, decode(unhex(h[2 * p + 9:2 * p + 16])) AS kind
+        FROM (SELECT *, CAST('0x' || h[2 * p + 1:2 * p + 8] AS BIGINT) AS short FROM w WHERE p + 8 <= size AND n < 2000)) WHERE b >= head2)
+    SELECT file, s, e, type, CAST(head AS INT) AS head FROM w WHERE n > 0""",
+)
+def box_walk(spark, sf_dir):
+    """Each order as a file of ISO media with a box a line, held in pieces of 20 bytes."""
+    names = F.array(*map(F.lit, ("ftyp", "moov", "mdat", "free", "uuid", "abcd")))
+    n, kind = F.col("l_quantity").cast("int"), F.hex(F.get(names, (F.col("l_partkey") % 6).cast("int")))
+    number = lambda c, digits: F.lpad(F.hex(c.cast("long")), digits, "0")
+    head = F.when(F.col("l_partkey") % 9 == 0, F.concat(F.lit("00000001"), kind, number(n + 16, 16))).when(F.col("l_partkey") % 41 == 0, F.concat(number(F.col("l_partkey") % 8, 8), kind)).otherwise(F.concat(number(n + 8, 8), kind))
+    rows = T(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.unhex(F.concat(head, F.repeat(F.lit("00"), n))).alias("b"))
+    files = rows.groupBy("l_orderkey").agg(F.expr("listagg(b) WITHIN GROUP (ORDER BY l_linenumber, l_partkey, l_quantity)").alias("content")).withColumn("size", F.octet_length("content"))
+    pieces = F.transform(F.sequence(F.lit(0), F.col("size") - 1, F.lit(20)), lambda s: F.struct(s.cast("long").alias("s"), F.substring(F.col("content"), s + 1, F.lit(20)).alias("bytes")))
+    return files.select(F.col("l_orderkey").alias("file"), F.explode(top_boxes(pieces, F.col("size"))["boxes"]).alias("b")).select("file", "b.s", "b.e", "b.type", "b.head")
+
+
 PARTS_SQL = "SELECT l_orderkey AS file, CAST(l_partkey % 500 - 20 AS BIGINT) AS s, CAST(l_partkey % 500 - 20 + l_quantity * 3 AS BIGINT) AS e, CAST(450 AS BIGINT) AS size FROM lineitem"
 
 
