@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators.extract.detect import BITRATES, QUICKTIME, RATES, TYPES
+from ..operators.extract.detect import BITRATES, SIGNATURES, RATES, TYPES
 
 # --- types and MIME
 
@@ -49,52 +49,21 @@ def _mpeg_sync(b: Column) -> Column:
 
 
 def sniff(content) -> Column:
-    """Type of a file by its first bytes: the first rule that holds. Only 8 KiB of content are looked at."""
-    b = F.substring(_c(content), 1, 8192)
-    at = lambda start, n: F.substring(b, start + 1, n)
-    starts = lambda x: at(0, len(x)) == _hex(x)
-    number = lambda start, n: F.conv(F.hex(at(start, n)), 16, 10).cast("long")
-    latin = lambda start, n: F.decode(at(start, n), "ISO-8859-1")
-    head, more = latin(0, 1024), latin(0, 8192)
-    brands = F.decode(F.substring(b, F.lit(9), F.greatest(F.lit(4), F.least(F.lit(64), number(0, 4) - 8)).cast("int")), "ISO-8859-1")
-    major = F.substring(brands, 1, 4)
-    brand = (
-        F.when(brands.rlike("avif|avis") & ~major.rlike("^(isom|mp4|qt)"), "avif")
-        .when(major.rlike("heic|heix|hevc|heim|heis|mif1|msf1") | (brands.rlike("heic|heix") & brands.contains("mif1")), "heif")
-        .when(major.rlike("^M4[ABP]"), "m4a")
-        .when(major == "qt  ", "mov")
-        .when(major == "crx ", "cr3")
-        .when(major.startswith("3g"), "3gp")
-        .otherwise("mp4")
-    )
-    seven = lambda i: F.conv(F.hex(at(i, 1)), 16, 10).cast("int").bitwiseAND(F.lit(127))
-    after_id3 = F.shiftleft(seven(6), 21) + F.shiftleft(seven(7), 14) + F.shiftleft(seven(8), 7) + seven(9) + 10
-    riff = starts(b"RIFF")
-    little = F.conv(F.hex(F.encode(F.reverse(latin(2, 4)), "ISO-8859-1")), 16, 10).cast("long")
-    return (
-        F.when(F.length(b) < 4, None)
-        .when(starts(b"\xff\xd8\xff"), "jpeg")
-        .when(starts(b"\x89PNG"), "png")
-        .when(starts(b"GIF8"), "gif")
-        .when(riff & (at(8, 4) == _hex(b"WEBP")), "webp")
-        .when(riff & (at(8, 4) == _hex(b"WAVE")), "wav")
-        .when(riff & at(8, 4).isin(_hex(b"AVI "), _hex(b"AVIX")), "avi")
-        .when(starts(b"II*\0") | starts(b"MM\0*"), "tiff")
-        .when(at(4, 4) == _hex(b"ftyp"), brand)
-        .when(latin(4, 4).isin([x.decode() for x in QUICKTIME]) & (number(0, 4) >= 8), "mov")
-        .when(starts(b"fLaC"), "flac")
-        .when(starts(b"ID3") & (F.decode(F.substring(_c(content), after_id3 + 1, F.lit(4)), "ISO-8859-1") == "fLaC"), "flac")
-        .when(starts(b"ID3"), "mp3")
-        .when(starts(b"OggS"), "ogg")
-        .when(starts(b"\x1aE\xdf\xa3"), "mkv")
-        .when(starts(b"PK\3\4") | starts(b"PK\5\6") | starts(b"PK\3\6") | starts(b"PK\5\4"), "zip")
-        .when(starts(b"\xd0\xcf\x11\xe0"), "ole")
-        .when(head.contains("%PDF-"), "pdf")
-        .when(starts(b"BM") & (F.length(b) > 26) & (little > 26), "bmp")
-        .when(head.rlike(r"(?i)<svg[\s>]") | (head.rlike(r"^\s*(<\?xml|<!--)") & more.rlike(r"(?i)<svg[\s>]")), "svg")
-        .when(starts(b"\0\0\1\0") & (at(4, 1) > _hex(b"\0")) & (at(5, 1) == _hex(b"\0")), "ico")
-        .when(_mpeg_sync(b), "mp3")
-    )
+    """Type of a file by its first bytes: the first signature that fits. Only 8 KiB of content are looked at, and what follows an ID3 tag."""
+    c = _c(content)
+    latin = lambda start, n: F.decode(F.substring(c, start, n), "ISO-8859-1")
+    head = latin(F.lit(1), F.lit(8192))
+    number = lambda x: F.conv(F.hex(F.encode(x, "ISO-8859-1")), 16, 10).cast("long")
+    listed = F.greatest(F.lit(4), F.least(F.lit(64), number(F.substring(head, 1, 4)) - 8)).cast("int")
+    tag = F.aggregate(F.sequence(F.lit(7), F.lit(10)), F.lit(0).cast("long"), lambda n, k: n * 128 + number(head.substr(k, F.lit(1))) % 128)
+    views = {
+        "head": head,
+        "brands": F.when(F.substring(head, 5, 4) == "ftyp", latin(F.lit(9), listed)),
+        "behind": F.when(head.startswith("ID3"), latin((tag + 11).cast("int"), F.lit(4))),
+    }
+    flags = lambda p: ("(?si)", p[4:]) if p.startswith("(?i)") else ("(?s)", p)
+    rule = lambda p: "{}\\A(?:{})".format(*flags(p))
+    return F.coalesce(*[F.when(views[view].rlike(rule(pattern)), kind) for kind, view, pattern in SIGNATURES])
 
 
 def _lookup(kind, values: dict[str, str]) -> Column:

@@ -1,10 +1,10 @@
-"""Type detection of one file's head, for embedded files; whole tables use functions.native.sniff, which follows the same rules."""
+"""Type detection of one file's head, for embedded files; whole tables use functions.native.sniff, which reads the same table of signatures."""
 
 from __future__ import annotations
 
 import re
 
-from .binary import be, latin, le, synchsafe
+from .binary import be, latin, synchsafe
 
 #: type -> label, category, parser. Fixed values.
 TYPES = {
@@ -33,11 +33,41 @@ TYPES = {
     "zip": ("ZIP", "doc", "zip"),
     "ole": ("OLE", "doc", "ole"),
 }
-#: Signatures at the start that decide alone, in this order. Fixed values.
-MAGIC = [(b"\xff\xd8\xff", "jpeg"), (b"\x89PNG", "png"), (b"GIF8", "gif")]
-LATER = [(b"fLaC", "flac"), (b"OggS", "ogg"), (b"\x1aE\xdf\xa3", "mkv"), (b"PK\3\4", "zip"), (b"PK\5\6", "zip"), (b"PK\3\6", "zip"), (b"PK\5\4", "zip"), (b"\xd0\xcf\x11\xe0", "ole")]
-RIFF = {b"WEBP": "webp", b"WAVE": "wav", b"AVI ": "avi", b"AVIX": "avi"}
-QUICKTIME = (b"moov", b"mdat", b"wide", b"free", b"pnot", b"skip")
+#: An MPEG audio header whose fields are all defined: sync, version and layer, bit rate and sample rate.
+FRAME = r"\xff[\xe2-\xe7\xf2-\xf7\xfa-\xff][" + "".join(rf"\x{h:x}0-\x{h:x}b" for h in range(1, 15)) + "]."
+BLANK = r"[ \t-\r\xa0]"
+#: Types by what the start of a file looks like, as Latin-1 text: the first row whose pattern fits decides. Views: "head", the
+#: first 8 KiB; "brands", what an ftyp box lists; "behind", what follows an ID3 tag. Java and Python read the patterns alike. The signatures are fixed values.
+SIGNATURES = [
+    ("jpeg", "head", r"\xff\xd8\xff."),
+    ("png", "head", r"\x89PNG"),
+    ("gif", "head", "GIF8"),
+    ("webp", "head", "RIFF.{4}WEBP"),
+    ("wav", "head", "RIFF.{4}WAVE"),
+    ("avi", "head", "RIFF.{4}AVI[ X]"),
+    ("tiff", "head", r"II\*\x00|MM\x00\*"),
+    ("avif", "brands", "(?!isom|mp4|qt)(?=.*avi[fs])"),
+    ("heif", "brands", "hei[cxms]|hevc|m[is]f1|(?=.*mif1)(?=.*hei[cx])"),
+    ("m4a", "brands", "M4[ABP]"),
+    ("mov", "brands", "qt  "),
+    ("cr3", "brands", "crx "),
+    ("3gp", "brands", "3g"),
+    ("mp4", "brands", ""),
+    ("mov", "head", r"(?!\x00{3}[\x00-\x07]).{4}(?:moov|mdat|wide|free|pnot|skip)"),
+    ("flac", "head", "fLaC"),
+    ("flac", "behind", "fLaC"),
+    ("mp3", "head", "ID3."),
+    ("ogg", "head", "OggS"),
+    ("mkv", "head", r"\x1aE\xdf\xa3"),
+    ("zip", "head", r"PK[\x03\x05][\x04\x06]"),
+    ("ole", "head", r"\xd0\xcf\x11\xe0"),
+    ("pdf", "head", ".{0,1019}%PDF-"),
+    ("bmp", "head", r"BM(?![\x00-\x1a]\x00{3}).{25}"),
+    ("svg", "head", r"(?i).{0,1019}<svg[\s>]"),
+    ("svg", "head", rf"(?i)(?={BLANK}{{0,1019}}(?:<\?xml|<!--)).{{0,8187}}<svg[\s>]"),
+    ("ico", "head", r"\x00\x00\x01\x00[^\x00]\x00"),
+    ("mp3", "head", FRAME),
+]
 #: kbit/s by version-layer and index. Fixed values.
 BITRATES = {
     (1, 3): (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320),
@@ -49,63 +79,33 @@ BITRATES = {
 RATES = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 2.5: (11025, 12000, 8000)}
 
 
-def mpeg_frame(b: bytes, at: int) -> dict | None:
-    """Header of an MPEG audio frame with the frame's length, or None where fields are reserved."""
-    h = be(b, at, 4)
-    if at + 4 > len(b) or h >> 21 != 0x7FF:
-        return None
-    version = {0: 2.5, 2: 2, 3: 1}.get(h >> 19 & 3)
-    layer, index, rate = 4 - (h >> 17 & 3), h >> 12 & 15, h >> 10 & 3
-    if version is None or layer == 4 or index in (0, 15) or rate == 3:
-        return None
-    kbps = BITRATES[1, layer][index] if version == 1 else BITRATES[2, 1 if layer == 1 else 3][index]
-    hz, pad = RATES[version][rate], h >> 9 & 1
-    if layer == 1:
-        length = (12000 * kbps // hz + pad) * 4
-    else:
-        length = (144000 if version == 1 or layer == 2 else 72000) * kbps // hz + pad
-    samples = 384 if layer == 1 else 1152 if layer == 2 or version == 1 else 576
-    return {"version": version, "layer": layer, "kbps": kbps, "hz": hz, "mode": h >> 6 & 3, "samples": samples, "length": length}
+#: Version and layer by their four bits in the second byte of a header.
+KINDS = {v << 3 | (4 - layer) << 1: (version, layer) for v, version in ((3, 1), (2, 2), (0, 2.5)) for layer in (1, 2, 3)}
+_FRAME = re.compile(b"(?s)" + FRAME.encode())
+_SIGNATURES = [(kind, view, re.compile(f"(?s)(?:{pattern})") if not pattern.startswith("(?i)") else re.compile(f"(?si){pattern[4:]}")) for kind, view, pattern in SIGNATURES]
 
 
-def _brand(b: bytes) -> str:
-    brands = latin(b[8 : 8 + max(4, min(64, be(b, 0, 4) - 8))])
-    major = brands[:4]
-    if re.search("avi[fs]", brands) and not re.match("isom|mp4|qt", major):
-        return "avif"
-    if re.search("hei[cxms]|hevc|mif1|msf1", major) or ("mif1" in brands and re.search("hei[cx]", brands)):
-        return "heif"
-    if re.match("M4[ABP]", major):
-        return "m4a"
-    return "mov" if major == "qt  " else "cr3" if major == "crx " else "3gp" if major.startswith("3g") else "mp4"
+def mpeg_frame(b: bytes, at: int) -> dict | None:
+    """Header of an MPEG audio frame with the frame's length, or None where fields are reserved.
+
+    A frame holds samples / 8 * kbps * 1000 / hz bytes, in slots of four bytes in layer I and of one otherwise, and a padding slot.
+    """
+    if not _FRAME.match(b, at):
+        return None
+    version, layer = KINDS[b[at + 1] & 0x1E]
+    old = version == 1
+    samples = {1: 384, 2: 1152, 3: 1152 if old else 576}[layer]
+    kbps, hz = BITRATES[(1, layer) if old else (2, min(layer, 2) * 2 - 1)][b[at + 2] >> 4], RATES[version][b[at + 2] >> 2 & 3]
+    slot = 4 if layer == 1 else 1
+    slots = samples * 125 * kbps // (hz * slot) + (b[at + 2] >> 1 & 1)
+    return {"version": version, "layer": layer, "kbps": kbps, "hz": hz, "mode": b[at + 3] >> 6, "samples": samples, "length": slots * slot}
 
 
 def sniff(b: bytes) -> str | None:
-    if len(b) < 4:
-        return None
-    for magic, kind in MAGIC:
-        if b.startswith(magic):
-            return kind
-    if b[:4] == b"RIFF" and b[8:12] in RIFF:
-        return RIFF[b[8:12]]
-    if b[:4] in (b"II*\0", b"MM\0*"):
-        return "tiff"
+    """Type of a file by the table of signatures."""
+    views = {"head": latin(b[:8192])}
     if b[4:8] == b"ftyp":
-        return _brand(b)
-    if b[4:8] in QUICKTIME and be(b, 0, 4) >= 8:
-        return "mov"
+        views["brands"] = latin(b[8 : 8 + max(4, min(64, be(b, 0, 4) - 8))])
     if b[:3] == b"ID3":
-        return "flac" if b[10 + synchsafe(b, 6) :][:4] == b"fLaC" else "mp3"
-    for magic, kind in LATER:
-        if b.startswith(magic):
-            return kind
-    head = latin(b[:1024])
-    if "%PDF-" in head:
-        return "pdf"
-    if b[:2] == b"BM" and len(b) > 26 and le(b, 2, 4) > 26:
-        return "bmp"
-    if re.search(r"<svg[\s>]", head, re.I) or (re.match(r"\s*(<\?xml|<!--)", head) and re.search(r"<svg[\s>]", latin(b[:8192]), re.I)):
-        return "svg"
-    if b[:4] == b"\0\0\1\0" and len(b) > 5 and b[4] and not b[5]:
-        return "ico"
-    return "mp3" if mpeg_frame(b, 0) else None
+        views["behind"] = latin(b[10 + synchsafe(b, 6) :][:4])
+    return next((kind for kind, view, pattern in _SIGNATURES if view in views and pattern.match(views[view])), None)
