@@ -55,7 +55,7 @@ def sniff(content) -> Column:
     head = latin(F.lit(1), F.lit(8192))
     number = lambda x: F.conv(F.hex(F.encode(x, "ISO-8859-1")), 16, 10).cast("long")
     listed = F.greatest(F.lit(4), F.least(F.lit(64), number(F.substring(head, 1, 4)) - 8)).cast("int")
-    tag = F.aggregate(F.sequence(F.lit(7), F.lit(10)), F.lit(0).cast("long"), lambda n, k: n * 128 + number(head.substr(k, F.lit(1))) % 128)
+    tag = sum((number(F.substring(head, 7 + k, 1)) % 128 * 128 ** (3 - k) for k in range(4)), F.lit(0))
     views = {
         "head": head,
         "brands": F.when(F.substring(head, 5, 4) == "ftyp", latin(F.lit(9), listed)),
