@@ -344,6 +344,29 @@ def test_op6_long_conversations_are_stored_once(spark, reply):
     assert [tuple(r)[1:5] for r in op6_chat.digests(made).collect()] == [chat_digest([(r, t) for _, _, r, t in rows])]
 
 
+def test_op6_query_reads_examples_with_their_context(spark):
+    """Each reply is read from an example that holds all turns before it: the query's characters are those of all examples."""
+    at = "/root/testdata/sf0.001"
+    want, prefix, open_ = Counter(), defaultdict(str), defaultdict(bool)
+    for r in sorted(spark.read.parquet(f"{at}/conversations.parquet").collect(), key=lambda r: (r["conv_id"], r["turn"], r["role"], r["text"] or "")):
+        c = r["conv_id"]
+        prefix[c] += f"{op6_chat.OPEN}{op6_chat.escape_role(r['role'])}\n{op6_chat.escape(r['text'] or '')}{op6_chat.CLOSE}\n"
+        open_[c] = r["role"] != "assistant"
+        want[c] += 0 if open_[c] else len(prefix[c])
+    for c, left in open_.items():
+        want[c] += len(prefix[c]) if left else 0
+    assert any(want[c] > len(prefix[c]) for c in want)
+    got = {r["conv_id"]: r["formatted_chars"] for r in op6_chat.query(spark, at).collect() if r["conv_id"] >= 0}
+    assert got == want
+
+
+def test_op6_expands_stored_turns_in_any_order(spark):
+    rows = [(k % 3 if k % 5 else None, k, "assistant" if k % 2 else "user", f"<|{k}") for k in range(60)]
+    made = op6_chat.examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want = Counter(map(tuple, op6_chat.expanded(made).collect()))
+    assert want == Counter(map(tuple, op6_chat.whole(made.orderBy(F.desc("n_turns"))).collect())) and all(r[3][r[4] : r[5]].startswith("<\\|") or r[4] == r[5] == len(r[3]) for r in want)
+
+
 # --- 7
 
 
