@@ -1,14 +1,16 @@
-"""Op10 for a given similarity: near duplicates by the Jaccard similarity of word shingles, checked exactly.
+"""Op10 for a given similarity: near duplicates by SimHash with deletion variants, decided on word shingles.
 
-SimHash with deletion variants is op10_simhash. It can't reach a similarity of 0.8: such pairs differ in up to 11 of 64
-bits (README has the figures), for which no one-wildcard segments are selective. So candidates come from minima here.
+Distinct texts are nodes. Their fingerprints are op10's, of PRINT_WORDS words: an equality join on halves with one
+wildcard bit meets every two within 3 bits, and each of a forest of these links is decided on the sets of shingles
+themselves. Fingerprints can't reach all: at a similarity of 0.8 they differ in up to 13 of 64 bits (README has the figures),
+for which no one-wildcard segments are selective.
 
-Distinct texts are nodes. Candidates are nodes that share one of BANDS keys, each made of ROWS minima of the set under
-random orders: a pair at similarity s shares none with a chance of (1 - s^ROWS)^BANDS, 5 in a million at 0.8. Each
-candidate is then decided on the sets themselves.
+So there is a way for the rest, which compares only what fingerprints have not joined: nodes that share one of
+BANDS keys, each made of ROWS minima of the set under random orders. A pair at similarity s shares none with a chance of
+(1 - s^ROWS)^BANDS, 5 in a million at 0.8. Each such pair, too, is decided on the sets.
 
-No bucket emits its pairs. First each of its nodes is compared with its least one, the pivot, which joins a tight
-group at once. Buckets that hold more than one group after that are sent with their sets, a set once for each such
+No bucket emits its pairs. First each of its nodes is compared with its least one, the pivot, unless fingerprints have
+joined both to one node. Buckets that hold more than one group after that are sent with their sets, a set once for each such
 bucket, and emit a forest of their links; a task holds one of them at a time, in memory that follows its size.
 
 Defined results: null text is empty; texts of at most so many words as a shingle has are one shingle, empty ones are
@@ -28,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import at, checkpointed, named, numbered, pick
-from .op10_simhash import KEYED_ROWS, components
+from .op10_simhash import KEYED_ROWS, components, fingerprint, near_links
 from .op8_token_files import pieces
 
 WORDS = 5
 LEAST = 0.8
+#: Words of a fingerprint's shingles. An edit changes fewer short ones, so more similar texts lie within 3 bits (README); single words meet too many others.
+PRINT_WORDS = 2
 BANDS, ROWS = 40, 6
 SEED = 42
 BROADCAST_ROWS = 500_000
@@ -81,12 +85,14 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for a, b in pieces(batch.column("text"), 1 << 20):
-                sets = [shingles(t, words) for t in batch.column("text").slice(a, b - a).to_pylist()]
+                texts = batch.column("text").slice(a, b - a).to_pylist()
+                sets = [shingles(t, words) for t in texts]
+                prints = np.array([fingerprint(t, PRINT_WORDS) for t in texts], np.uint64).view(np.int64)
                 keys = band_keys(sets).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(a, b - a), "node": batch.column("node").slice(a, b - a), "size": pa.array([len(s) for s in sets], pa.int64()), "keys": lists})
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(a, b - a), "node": batch.column("node").slice(a, b - a), "fp": pa.array(prints), "size": pa.array([len(s) for s in sets], pa.int64()), "keys": lists})
 
-    return rows.mapInArrow(run, "doc_id long, node long, size long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, node long, fp long, size long, keys array<long>")
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
@@ -181,6 +187,32 @@ def _among(df: DataFrame, asked: DataFrame) -> DataFrame:
     return df.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, "node", "left_semi")
 
 
+def close_pairs(sketches: DataFrame) -> DataFrame:
+    """a < b: nodes whose fingerprints are equal or within 3 bits, so many that they join the same nodes as all such pairs do."""
+    prints = checkpointed(sketches.groupBy("fp").agg(F.min("node").alias("first")))
+    same = sketches.select("fp", "node").distinct().join(prints, "fp").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    of = lambda end, name: prints.select(F.col("fp").alias(end), F.col("first").alias(name))
+    near = near_links(prints.select("fp")).join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
+    return same.unionByName(near).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _decided(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets have the similarity."""
+    both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
+    return both.where(F.col("common") >= least * (F.size("of_a") + F.size("of_b") - F.col("common")) - 1e-9).select("a", "b")
+
+
+def _labels(star: DataFrame) -> DataFrame:
+    """node, label: the least node that it is linked with, of those below it."""
+    return star.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
+
+
+def _open(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) that have no label in common yet."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, n: the distinct rows of docs and how often each occurs), (node, root: nodes that have a near copy)."""
     rows = _rows(docs, id_col, text_col)
@@ -190,12 +222,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(distinct.count() / KEYED_ROWS))
     keyed = nodes.select(F.explode("keys").alias("key"), "node", "size").repartition(parts, "key").sortWithinPartitions("key", "node")
     buckets = checkpointed(keyed.mapInArrow(_pivots, "key long, node long, size long, pivot long, pivot_size long"))
-    sets = checkpointed(_sets(_among(rows, buckets.select("node").distinct()), words))
-    pairs = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).where(F.least("size", "pivot_size") >= least * F.greatest("size", "pivot_size") - 1e-9).distinct()
-    both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
-    star = checkpointed(both.where(F.col("common") >= least * (F.size("of_a") + F.size("of_b") - F.col("common")) - 1e-9).select("a", "b"))
+    close = checkpointed(close_pairs(sketches))
+    asked = buckets.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    sets = checkpointed(_sets(_among(rows, asked), words))
+    by_prints = checkpointed(_decided(close, sets, least))
+    pairs = buckets.where("node <> pivot").where(F.least("size", "pivot_size") >= least * F.greatest("size", "pivot_size") - 1e-9).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    star = checkpointed(by_prints.unionByName(_decided(_open(pairs, _labels(by_prints)), sets, least)))
     # What is not joined by one pivot: buckets of more than one label, without their pivots, which are compared already.
-    labels = star.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
+    labels = _labels(star)
     placed = buckets.join(labels, "node", "left").select("key", "node", "pivot", F.least("node", "label").alias("label"))
     rest = placed.where("node <> pivot").join(several(placed.where("node <> pivot")), "key", "left_semi")
     rest = rest.select("key", "node", "label").join(sets, "node").repartition(parts, "key").sortWithinPartitions("key", "node")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 import corpus_pipeline
 from filegrain.llm import op10_similar
@@ -56,3 +57,41 @@ def test_groups_in_one_bucket():
             if 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j])):
                 want = [want[j] if x == want[i] else x for x in want]
     assert len(set(root)) == len(set(want)) and len(set(zip(root, want, strict=True))) == len(set(want))
+
+
+def brute_print(text):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 2]), 42) for i in range(max(1, len(words) - 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_join_all_texts_within_three_bits(spark):
+    """The stage's own SimHash step joins texts as all pairs within 3 bits do, and what of it is similar ends in one group."""
+    said = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(400).collect()]
+    said += [t.rsplit(" ", 1)[0] for t in said[:60]]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    rows = op10_similar._rows(docs, "doc_id", "text")
+    text = {r["node"]: r["text"] for r in rows.collect()}
+    nodes = sorted(text)
+    place = {n: i for i, n in enumerate(nodes)}
+    sets, prints = [brute_shingles(text[n]) for n in nodes], [brute_print(text[n]) for n in nodes]
+    want, got = list(range(len(nodes))), list(range(len(nodes)))
+    for i in range(len(nodes)):
+        for j in range(i):
+            if want[i] != want[j] and (prints[i] ^ prints[j]).bit_count() <= 3:
+                want = [want[j] if x == want[i] else x for x in want]
+    links = [(place[r["a"]], place[r["b"]]) for r in op10_similar.close_pairs(op10_similar._sketches(rows, 5)).collect()]
+    for i, j in links:
+        got = [got[j] if x == got[i] else x for x in got]
+    assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want)) < len(nodes) - 30
+    root = {r["node"]: r["root"] for r in op10_similar.groups(docs)[1].collect()}
+    similar = [(i, j) for i, j in links if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert similar and all(root.get(nodes[i], nodes[i]) == root.get(nodes[j], nodes[j]) for i, j in similar)
+
+
+def test_pairs_that_fingerprints_joined_are_not_open(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (1, 4), (4, 5)], "a long, b long")
+    joined = spark.createDataFrame([(1, 2), (1, 3), (1, 5)], "a long, b long")
+    assert sorted(map(tuple, op10_similar._open(pairs, op10_similar._labels(joined)).collect())) == [(1, 4), (4, 5)]
