@@ -213,7 +213,9 @@ CLEANINGS = (
 
 
 def _files(spark: SparkSession, sf_dir: str, content: Column) -> DataFrame:
-    return T(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("file_id"), content.alias("content"))
+    """A file for each supplier. The table is a few bytes a file, so its rows are dealt to all cores before files are made of them."""
+    dealt = T(spark, sf_dir, "supplier").repartition(spark.sparkContext.defaultParallelism, "s_suppkey")
+    return dealt.select(F.col("s_suppkey").cast("string").alias("file_id"), content.alias("content"))
 
 
 def _cleaning(name: str, fields: tuple[str, ...]):

@@ -1,9 +1,12 @@
 """What reports say of files of each format; cleaning leaves none of it."""
 
+import random
 import re
+import time
 
 import pytest
 
+from filegrain import catalog
 from filegrain.operators import cleaning
 from filegrain.operators.extract import pdfcrypt
 from filegrain.operators.extract.binary import duration_text
@@ -131,6 +134,30 @@ def test_ciphers():
     assert pdfcrypt.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
 
 
+def test_aes_by_the_library_is_the_same_as_here(monkeypatch):
+    r = random.Random(5)
+    for n in [*range(50), 4096]:
+        for size in (16, 24, 32):
+            key, iv, data = r.randbytes(size), r.randbytes(16), r.randbytes(n)
+            for encrypt in (True, False):
+                fast = pdfcrypt.aes_cbc(key, iv, data, encrypt)
+                with monkeypatch.context() as m:
+                    m.setattr(pdfcrypt, "_openssl", lambda: None)
+                    assert pdfcrypt.aes_cbc(key, iv, data, encrypt) == fast
+
+
+def test_documents_of_revision_6_take_little_time():
+    """Each takes two hashes of some 70 rounds of AES over 2 to 4 KiB."""
+    began = time.process_time()
+    for _ in range(20):
+        assert analyse(FILES["enc_aes256.pdf"], {"type": "pdf"})["info"]["encrypted"]
+    assert time.process_time() - began < 5
+
+
+def test_sample_files_are_dealt_to_all_cores(spark):
+    assert catalog.queries()["e09i_encryption"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_durations():
     assert [duration_text(x) for x in (2, 125, 93.5, 42, 3723)] == ["0:02", "2:05", "1:33.50", "0:42", "1:02:03"]
 
