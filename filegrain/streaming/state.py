@@ -11,6 +11,7 @@ import datetime
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,33 +92,35 @@ class _Expiring(StatefulProcessor):
         self.handle = handle
         self.saved = handle.getValueState("saved", "item long, at long")
 
-    def _gone(self, key, item: int, at: int) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key[0]], "item": [item], "saved_at": [pd.Timestamp(at, unit="ms", tz="UTC")]})
+    def _gone(self, key, items, ats) -> pd.DataFrame:
+        return pd.DataFrame({"key": key[0], "item": items, "saved_at": pd.to_datetime(ats, unit="ms", utc=True)})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = self.saved.get() if self.saved.exists() else None
-        now = None if self.by_event else timerValues.getCurrentProcessingTimeInMs()
-        puts = []
-        for frame in rows:
-            puts += [(int(a) if self.by_event else now, int(i)) for a, i in zip(frame["at_ms"], frame["item"], strict=True)]
-        for at, item in sorted(puts):
-            if held and at < held[1]:
-                continue  # an older put than the one that holds
-            if held and at - held[1] > self.ttl:
-                yield self._gone(key, held[0], held[1])
-            held = (item, at)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        held = self.saved.get()
+        item, at = (np.concatenate(c) for c in zip(*((f["item"].astype("int64").to_numpy(), f["at_ms"].astype("int64").to_numpy()) for f in rows), strict=True))
+        if not self.by_event:
+            at = np.full(len(item), timerValues.getCurrentProcessingTimeInMs())
+        order = np.lexsort((item, at))
+        item, at = item[order], at[order]
         if held:
-            self.saved.update(held)
-            self.handle.registerTimer(held[1] + self.ttl + 1)
+            since = np.searchsorted(at, held[1])  # before it are older puts than the one that holds
+            item, at = np.append(held[0], item[since:]), np.append(held[1], at[since:])
+        over = np.flatnonzero(np.diff(at) > self.ttl)
+        self.saved.update((int(item[-1]), int(at[-1])))
+        if not held:
+            self.handle.registerTimer(int(at[-1]) + self.ttl + 1)
+        if len(over):
+            yield self._gone(key, item[over], at[over])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.saved.exists():
-            item, at = self.saved.get()
-            if at + self.ttl < expiredTimerInfo.getExpiryTimeInMs():
-                self.saved.clear()
-                yield self._gone(key, item, at)
+        """A key has one timer, of the put that came first; where a later one holds by now, it is set anew."""
+        item, at = self.saved.get()
+        now = timerValues.getCurrentWatermarkInMs() if self.by_event else timerValues.getCurrentProcessingTimeInMs()
+        if at + self.ttl < now:
+            self.saved.clear()
+            yield self._gone(key, [item], [at])
+        else:
+            self.handle.registerTimer(at + self.ttl + 1)
 
     def close(self) -> None:
         pass

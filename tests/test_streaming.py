@@ -2,7 +2,9 @@
 
 import datetime
 import time
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +62,61 @@ def test_expiry_by_events_time_whatever_the_batches(spark):
         assert sorted((r["key"], r["item"]) for r in out.collect()) == want
 
 
+class Held:
+    """A key's state and timers in memory, with the calls that were made."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), []
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls.append("register")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls.append("delete")
+        self.timers.discard(at)
+
+    def listTimers(self):  # noqa: N802
+        self.calls.append("list")
+        return list(self.timers)
+
+
+def test_what_a_key_costs_does_not_grow_with_its_puts():
+    """All that go out in a batch are one frame, and a batch of a key that is held takes two calls of the state."""
+    held, machine = Held(), state._Expiring(10, True)
+    machine.init(held)
+    frames = lambda at: iter([pd.DataFrame({"at_ms": at[k : k + 7], "item": at[k : k + 7]}) for k in range(0, len(at), 7)])
+    out = list(machine.handleInputRows((5,), frames([*range(0, 2000, 20), 1985, 1985]), None))
+    assert [len(f) for f in out] == [99] and out[0]["item"].tolist() == list(range(0, 1980, 20)) and held.value == (1985, 1985)
+    assert held.timers == {1996}
+    held.calls.clear()
+    out = list(machine.handleInputRows((5,), frames([1990, 1984, 2001, 2005]), None))
+    assert [f["item"].tolist() for f in out] == [[1990]] and held.value == (2005, 2005) and len(held.calls) <= 2
+    now = lambda at: SimpleNamespace(getCurrentWatermarkInMs=lambda: at, getExpiryTimeInMs=lambda: 1996)
+    held.timers.clear()
+    assert list(machine.handleExpiredTimer((5,), now(2015), now(2015))) == [] and held.timers == {2016}
+    assert [f["item"].tolist() for f in machine.handleExpiredTimer((5,), now(2016), now(2016))] == [[2005]] and held.value is None
+
+
 def test_expiry_by_the_clock(spark, tmp_path):
     """A key goes once the clock has moved past its time. Such a query has no end, so it is stopped."""
     got = []
