@@ -397,9 +397,8 @@ def saved_files(spark, sf_dir):
     mark = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit(" ("), F.col("p_size").cast("string"), F.lit(")"))).otherwise(" ")
     p = T(spark, sf_dir, "part").select("p_partkey", N.clean_name(F.concat(F.replace("p_brand", F.lit("#"), mark), F.lit(".jpg"))).alias("name"), F.concat_ws(" ", "p_name", "p_type").alias("bytes"))
     base = scratch(spark, "saved")
-    saved.write_files(p, base, order=["p_partkey"])
-    read = spark.read.format("binaryFile").load(base)
-    return read.select(F.regexp_extract("path", "([^/]*)$", 1).alias("path"), "content").select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("name"), F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("content_sha256"))
+    read = saved.read_files(saved.write_files(p, base, order=["p_partkey"]), base)
+    return read.select("name", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("content_sha256"))
 
 
 @query(

@@ -92,6 +92,26 @@ def write_files(rows: DataFrame, path: str, name: str = "name", content: str = "
     return named.drop("fg_bytes", content)
 
 
+def read_files(names: DataFrame, path: str, name: str = "fg_name") -> DataFrame:
+    """name, content of the files of these names below path, each once, as write_files has told them. No folder is listed, so the driver sees none of them; a file that isn't there is an error."""
+
+    def run(batches):
+        files, base = _at(path.rstrip("/"))
+        for batch in batches:
+            held, size = {}, 0
+            for own in batch.column(0).to_pylist():
+                with files.open_input_stream(f"{base}/{own}") as f:
+                    held[own] = f.read()
+                size += len(held[own])
+                if size >= BUFFER:
+                    yield pa.record_batch([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.binary())], ["name", "content"])
+                    held, size = {}, 0
+            yield pa.record_batch([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.binary())], ["name", "content"])
+
+    dealt = names.select(name).repartition(names.sparkSession.sparkContext.defaultParallelism, name)  # a name costs a file
+    return dealt.mapInArrow(run, "name string, content binary")
+
+
 def finish(spark: SparkSession, path: str) -> int:
     """Move the files of committed runs below path, by tasks; the number moved. It may be repeated: a file that is there already stays."""
     from pyarrow.fs import FileSelector, FileType

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from filegrain import catalog
 from filegrain.operators.layout import apart, placed
 from filegrain.sources import saved
 
@@ -48,6 +49,23 @@ def test_one_file_a_row(spark, tmp_path):
     assert os.listdir(tmp_path) == ["out"]
 
 
+def test_files_are_read_by_their_names(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(saved, "BUFFER", 5)
+    names = ["a b.txt", "a+b%20.txt", "ü#?.bin", "plain", "plain"]
+    rows = spark.createDataFrame([(k, n, b"x" * k) for k, n in enumerate(names)], "id int, name string, bytes binary")
+    told = saved.write_files(rows, str(tmp_path / "out"), order=["id"])
+    got = {r["name"]: bytes(r["content"]) for r in saved.read_files(told, str(tmp_path / "out")).collect()}
+    assert got == {"a b.txt": b"", "a+b%20.txt": b"x", "ü#?.bin": b"xx", "plain": b"xxx", "plain (2)": b"xxxx"}
+    os.remove(tmp_path / "out" / "plain")
+    with pytest.raises(Exception, match="plain"):
+        saved.read_files(told, str(tmp_path / "out")).collect()
+
+
+def test_the_driver_lists_no_saved_file(spark):
+    out = catalog.queries()["k06_saved_files"](spark, "/root/testdata/sf0.001")
+    assert out.count() == 200 and not [f for f in out.inputFiles() if not f.endswith(".parquet")]
+
+
 def test_a_run_that_fails_leaves_no_file(spark, tmp_path):
     rows = spark.range(40).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("name"), F.when(F.col("id") == 31, F.raise_error(F.lit("killed"))).otherwise(F.lit("x")).cast("binary").alias("bytes"))
     spark.dataSource.register(saved.FilesSink)
